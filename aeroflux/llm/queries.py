@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroflux.llm import langid, media, quality
+from aeroflux.llm import ann, langid, media, mixing, packing, quality, sharding, simhash, suffix
 from aeroflux.llm.common import crc_of_id, table
 
 
@@ -28,6 +28,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_media, op9_quality)}
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.with_slots(sharding.shard_by_tree(table(spark, sf_dir, "documents"), shards=24), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays and goes of every text, as counts and a digest of the operator's spans and bytes."""
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span.e - span.s)
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op9_quality, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
