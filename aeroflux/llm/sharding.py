@@ -106,7 +106,7 @@ def grow(points: DataFrame, leaves: int, total: int) -> dict[tuple[int, int], Sp
     splits: dict[tuple[int, int], Split] = {}
     level = [(0, leaves)]
     while level := [n for n in level if n[1] > 1]:
-        node = _node_of(splits, 0, leaves)
+        node = leaf_of(splits, 0, leaves)
         # the extent of every node along every dimension: one row a node
         extents = points.groupBy(node.alias("node")).agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
         found = {r["node"]: r for r in extents.collect()}
@@ -115,16 +115,12 @@ def grow(points: DataFrame, leaves: int, total: int) -> dict[tuple[int, int], Sp
             if (r := found.get(first)) is not None:
                 widest = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
                 open_nodes[first] = {"count": count, "dimension": widest, "low": r[f"low_{widest}"], "high": r[f"high_{widest}"] + 1, "below": 0, "weight": r["weight"], "want": r["weight"] * (count // 2) / count}
-        for first, cut in _medians(points, node, open_nodes, total / leaves * TOLERANCE).items():
+        for first, cut in _medians(points, node, dict(open_nodes), total / leaves * TOLERANCE).items():
             splits[first, open_nodes[first]["count"]] = (open_nodes[first]["dimension"], cut)
         level = [half for first, count in level for half in ((first, count // 2), (first + count // 2, count - count // 2))]
     return splits
 
 
-def _node_of(splits: dict, first: int, count: int) -> Column:
-    return leaf_of(splits, first, count)
-
-
 def _medians(points: DataFrame, node: Column, nodes: dict[int, dict], tolerance: float) -> dict[int, int]:
     """The cut of each node at which the weight below comes nearest to what is wanted."""
     cuts: dict[int, int] = {}

@@ -108,7 +108,7 @@ def sampled_tables(rows: int, bits: int = NEAR_BITS, differing: float = 0.15, re
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Vertical bit planes: (bits, words) of 64 rows each, from (rows, lanes) big-endian numbers; one empty word follows."""
     rows = len(fps)
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(rows, -1), axis=1).T
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(rows, 8 * fps.shape[1]), axis=1).T
     padded = np.zeros((bits.shape[0], (rows // 64 + 2) * 64), np.uint8)
     padded[:, :rows] = bits
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").astype(np.uint64)
