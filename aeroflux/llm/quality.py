@@ -162,6 +162,31 @@ def _gradients(network: Network, chunks: np.ndarray, document: np.ndarray, label
     return [g_E, g_W.astype(np.float32), g_b, g_v, g_c]
 
 
+def document_features(network: Network, tables: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Features of a batch's texts; chunks are pooled in groups of bounded size."""
+    features = np.zeros((len(texts), 2 * FILTERS), np.float32)
+    group: list[np.ndarray] = []
+    owners: list[int] = []
+
+    def flush() -> None:
+        if owners:
+            document = np.repeat(owners, [len(c) for c in group])
+            pooled, _ = network.pooled(np.concatenate(group), tables)
+            features[owners] = network.features(pooled, document, len(texts))[owners]
+            group.clear()
+            owners.clear()
+
+    for i, text in enumerate(texts):
+        chunks = chunks_of(np.frombuffer(text.as_py() or b"", np.uint8))
+        if len(chunks):
+            group.append(chunks)
+            owners.append(i)
+        if sum(map(len, group)) >= 512:
+            flush()
+    flush()
+    return features
+
+
 def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs."""
     prepare(docs.sparkSession)
@@ -169,28 +194,22 @@ def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
         for batch in batches:
-            features = np.zeros((batch.num_rows, 2 * FILTERS), np.float32)
-            group: list[np.ndarray] = []
-            owners: list[int] = []
-            held = 0
-
-            def flush() -> None:
-                if owners:
-                    document = np.repeat(owners, [len(c) for c in group])
-                    pooled, _ = network.pooled(np.concatenate(group), tables)
-                    features[owners] = network.features(pooled, document, batch.num_rows)[owners]
-
-            for i, text in enumerate(batch.column(1)):
-                chunks = chunks_of(np.frombuffer(text.as_py() or b"", np.uint8))
-                if len(chunks):
-                    group.append(chunks)
-                    owners.append(i)
-                    held += len(chunks)
-                if held >= 512:
-                    flush()
-                    group, owners, held = [], [], 0
-            flush()
-            p = network.probability(features)
+            p = network.probability(document_features(network, tables, batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose score reaches the threshold."""
+    prepare(docs.sparkSession)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = network.tables()
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary())
+            p = network.probability(document_features(network, tables, texts))
+            yield batch.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroflux.llm import ann, langid, media, mixing, packing, quality, sharding, simhash, suffix
+from aeroflux.llm import ann, langid, lines, media, mixing, packing, quality, sharding, simhash, suffix
 from aeroflux.llm.common import crc_of_id, table
 
 
@@ -21,6 +21,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each text has and loses, and a digest of what stays."""
+    kept = lines.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_of_id() % 5 == 0
@@ -58,6 +64,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op8_line_dedup, op9_quality, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -318,3 +318,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, bits: int = 64, radius: int
     found = components(links(nodes, tables, radius))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, bits: int = 64, radius: int = RADIUS, exact: bool = True) -> DataFrame:
+    """docs with one document of each group: the smallest doc_id, and one of the rows that share it."""
+    found = near_groups(docs, words, bits, radius, exact)
+    lead = found.select(F.col("component_id").alias("lead_id")).distinct()
+    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["lead_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"])

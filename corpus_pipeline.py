@@ -1,15 +1,60 @@
-"""Five-stage corpus pipeline over ``documents``: quality, line dedup, near-dedup, mixing, packing."""
+"""Five-stage corpus pipeline over ``documents``: quality, line dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aeroflux.llm import lines, mixing, packing, quality, simhash
+from aeroflux.llm.common import checkpoint, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, does not reject."""
+    network = quality.train(quality.sample(docs, table(spark, sf_dir, "labels")))
+    return quality.keep(docs, network).select(*COLUMNS)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines whose template recurs across documents."""
+    return lines.drop_lines(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id."""
+    return simhash.keep_one(docs, simhash.NEAR_WORDS, simhash.NEAR_BITS, simhash.NEAR_RADIUS, exact=False).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    times = mixing.mix(docs).where(F.col("times") > 0).select(F.col("doc_id").alias("mixed_id"), "times")
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
