@@ -128,13 +128,10 @@ def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: b
     parts = profiled.join(tog, "code", "left").join(data.species.select("species_id", "name", "mw"), "species_id", "left").join(doubled, ["record_key", "species_id"], "left")
     parts = parts.withColumn("rate", F.col("rate") * to_tog * F.col("code_fraction") * F.col("species_fraction"))
     dropped = parts.where("doubled").withColumn("pollutant", F.col("name")).select(*keep, *OUT)
-    parts = parts.where("doubled IS NULL")
-    grouped = _in_groups(parts.where(F.col("spec_type") == "VOC"), data.group_factors, mechanism, mass)
-    single_kinds = _as_species(parts.where(F.col("spec_type").isin("VOCUngrouped", "NOx")), mass)
-    pm = _as_species(parts.where(F.col("spec_type") == "PM2.5"), True)
+    profile_rows = _by_type(parts.where("doubled IS NULL"), data.group_factors, mechanism, mass)
     singles = _singles(typed.where(F.col("spec_type") == "Single"), data, mechanism, mass)
     direct = typed.where(F.col("spec_type") == "Direct").join(data.spec_profile.select(F.col("pollutant_key").alias("spec_key"), "species", "factor"), "spec_key").withColumn("pollutant", F.col("species")).withColumn("rate", F.col("rate") * F.col("factor"))
-    out = [x.select(*keep, *OUT) for x in (grouped, single_kinds, pm, singles, direct)]
+    out = [x.select(*keep, *OUT) for x in (profile_rows, singles, direct)]
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
@@ -145,6 +142,19 @@ def _unit(mass: bool) -> Column:
     return F.lit("kg/s" if mass else "kmol/s")
 
 
+def _by_type(rows: DataFrame, factors: DataFrame, mechanism: str, mass: bool) -> DataFrame:
+    """Species rows in one pass: VOC goes to mechanism groups, PM2.5 stays mass, the other gases are species in mass or moles."""
+    is_voc = F.col("spec_type") == "VOC"
+    keyed = rows.withColumn("group_key", F.when(is_voc, F.col("species_id")))
+    mine = factors.where(F.col("mech") == mechanism).select(F.col("species_id").alias("group_key"), "grp", F.col("mass" if mass else "molar").alias("group_factor"))
+    joined = keyed.join(mine, "group_key", "left")
+    missing = F.raise_error(F.concat(F.lit(f"mechanism {mechanism} has no species "), F.col("species_id"))).cast("string")
+    in_mass = F.lit(mass) | (F.col("spec_type") == "PM2.5")
+    rate = F.when(is_voc, F.col("rate") * F.col("group_factor")).when(in_mass, F.col("rate")).otherwise(F.col("rate") / F.nullif(F.col("mw"), F.lit(0.0)))
+    named = joined.withColumn("pollutant", F.when(is_voc, F.coalesce("grp", missing)).otherwise(F.col("name")))
+    return named.withColumn("unit", F.when(in_mass, "kg/s").otherwise("kmol/s")).withColumn("rate", rate)
+
+
 def _in_groups(rows: DataFrame, factors: DataFrame, mechanism: str, mass: bool) -> DataFrame:
     mine = factors.where(F.col("mech") == mechanism).select("species_id", "grp", F.col("mass" if mass else "molar").alias("group_factor"))
     joined = rows.join(mine, "species_id", "left")

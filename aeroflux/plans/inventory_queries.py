@@ -173,11 +173,11 @@ def match_two_codes(spark, sf_dir):
     return matching.match_code_double(pairs, "scc", "fips", view(spark, sf_dir, "code_ref"), "scc", "fips", "code", required=True)
 
 
-@query(f"SELECT m.code, i.pollutant, count(*) AS n, round(sum(i.tons), 0) AS tons FROM {{inv}} i JOIN ({J2}) m ON m.scc = i.scc AND m.fips = i.fips GROUP BY ALL")
+@query(f"SELECT m.code, i.pollutant, count(*) AS n, round(sum(i.tons), -1) AS tons FROM {{inv}} i JOIN ({J2}) m ON m.scc = i.scc AND m.fips = i.fips GROUP BY ALL")
 def surrogate_assignment(spark, sf_dir):
     ref = view(spark, sf_dir, "code_ref").withColumn("country", F.lit(0))
     found = surrogates.assign_surrogate(view(spark, sf_dir, "inv"), ref)
-    return found.groupBy("code", "pollutant").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tons"), 0).alias("tons"))
+    return found.groupBy("code", "pollutant").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tons"), -1).alias("tons"))
 
 
 @query(f"""SELECT scc, fips, arg_min(code, i) AS code FROM (SELECT d.scc, d.fips, r.code, s.i FROM (SELECT DISTINCT scc, fips FROM (SELECT substr(scc, 1, 7) || '000' AS scc, fips FROM {{inv}}) x) d CROSS JOIN {numbers(6)} JOIN {{code_ref}} r ON r.scc = d.scc AND r.fips = rpad(substr(d.fips, 1, 5 - s.i), 5, '0')) t GROUP BY scc, fips""")
