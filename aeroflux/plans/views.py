@@ -36,7 +36,7 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
   cast(max(value) AS float) AS nox, cast(min(value) AS float) AS so2, cast(count(*) AS float) AS gload, cast(0 AS float) AS sload, cast(sum(value) AS float) AS heat
 FROM {events} GROUP BY 1, 2, 3""",
     "stacks": """SELECT c_custkey AS source_id, cast(c_custkey % 40 AS string) AS oris,
-  cast(-125.0 + 58.0 * ((c_custkey * 7919) % 10007) / 10007 AS double) AS lon, cast(25.0 + 24.0 * ((c_custkey * 104729) % 10009) / 10009 AS double) AS lat,
+  -125.0 + 58.0 * cast((c_custkey * 7919) % 10007 AS double) / 10007 AS lon, 25.0 + 24.0 * cast((c_custkey * 104729) % 10009 AS double) / 10009 AS lat,
   cast(greatest(c_acctbal, 0) AS double) / 100 AS height_m, cast(1.0 + c_nationkey / 10.0 AS double) AS diam_m,
   cast(280.0 + c_nationkey * 8 AS double) AS temp_k, cast(1.0 + c_nationkey * 1.5 AS double) AS vel_ms, c_nationkey AS nation FROM {customer}""",
     "shapes": """SELECT cast(n_nationkey AS int) AS shape_id, cast(10.0 * (n_nationkey % 5) AS double) AS x1, cast(10.0 * floor(n_nationkey / 5) AS double) AS y1,
