@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroflux.llm.common import checkpoint, prepare
+from aeroflux.llm.common import prepare, stored
 
 LENGTH, GRAM = 100, 50
 #: Strings in a run at most.
@@ -61,20 +61,25 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def grams(data: np.ndarray, size: int) -> np.ndarray:
+def _sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def grams(data: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of every gram."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    return _mixed((sums[size:] - sums[:-size]) * _power(_INVERSE, n - size + 1))
+    sums = _sums(data) if sums is None else sums
+    return _mixed((sums[size:] - sums[:-size]) * _power(_INVERSE, len(data) - size + 1))
 
 
-def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, number of strings, does the hash occur twice inside) of each run of a text."""
+def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first string, number of strings, does the hash occur twice inside, hash of the run's bytes) of each run of a text."""
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, bool))
-    hashes, width = grams(data, gram), length - gram + 1
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, bool, np.uint64))
+    sums = _sums(data)
+    hashes, width = grams(data, gram, sums), length - gram + 1
     least = _window_min(hashes, width)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end = np.r_[start[1:], n]
@@ -89,7 +94,8 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         first = a + (hashes[a[:, None] + inside] == v).argmax(axis=1)
         last = b - 1 + width - 1 - (hashes[b[:, None] - 1 + inside[::-1]] == v).argmax(axis=1)
         twice[i : i + 4096] = first != last
-    return value, start, end - start, twice
+    whole = _mixed((sums[end + length - 1] - sums[start]) * _power(_INVERSE, n)[start])
+    return value, start, end - start, twice, whole
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,15 +106,18 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("count", "<i2"), ("flag", "<i2")])
-#: Flags of an entry: its hash is known to occur again; its run begins a new place only for counting.
-AGAIN, COUNTED = 1, 2
+#: A run: 40 bits of its hash, 32 bits of its bytes' hash, its place, strings less one, and flags.
+ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("text", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("count", "u1"), ("flag", "u1")])
+#: Flags of an entry: its hash occurs twice inside the run; it isn't at its hash's bucket; all of it is known to be removed.
+TWICE, AWAY, GONE = 1, 2, 4
+#: Different runs of one hash that a batch sends to the hash's bucket; more go to a bucket of the batch's own.
+HOME = 8
 
 
 def pack_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, data): for each batch and bucket the runs' hashes and places, column after column.
 
-    Hashes that occur again inside a batch send all their runs but one to a bucket of the batch's own, already known as repeated; so no hash sends more than one entry of a batch to its bucket, however common it is.
+    Equal runs of a batch are settled there: all but the first are known to go. So however common a run is, a batch sends it to its bucket once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,25 +125,34 @@ def pack_runs(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, at = _texts(batch.column(2))
             doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = []
+            parts, values = [], []
             for i in range(batch.num_rows):
-                value, start, count, twice = runs(data[at[i] : at[i + 1]])
+                value, start, count, twice, whole = runs(data[at[i] : at[i + 1]])
                 if len(value):
                     entry = np.zeros(len(value), ENTRY)
-                    entry["hash"], entry["start"], entry["count"], entry["flag"] = value, start, count, twice * AGAIN
+                    entry["low"], entry["high"] = value & np.uint64(0xFFFFFFFF), (value >> np.uint64(32)) & np.uint64(0xFF)
+                    entry["text"], entry["start"], entry["count"], entry["flag"] = whole >> np.uint64(32), start, count - 1, twice * TWICE
                     entry["doc"], entry["tie"] = doc[i], tie[i]
                     parts.append(entry)
+                    values.append(value)
             if not parts:
                 continue
-            entries = np.concatenate(parts)
-            entries = entries[np.argsort(entries["hash"], kind="stable")]
-            same = entries["hash"][1:] == entries["hash"][:-1]
-            later = np.r_[False, same]
-            entries["flag"][later | np.r_[same, False]] |= AGAIN
-            home = (entries["hash"] % np.uint64(buckets)).astype(np.int64)
+            entries, value = np.concatenate(parts), np.concatenate(values)
+            order = np.lexsort((entries["start"], entries["tie"], entries["doc"], entries["text"], value))
+            entries, value = entries[order], value[order]
+            same = value[1:] == value[:-1]
+            equal = np.r_[False, same & (entries["text"][1:] == entries["text"][:-1])]
+            entries["flag"][equal] |= GONE | AWAY
+            # a row given twice is one document
+            twin = np.r_[False, (entries["doc"][1:] == entries["doc"][:-1]) & (entries["tie"][1:] == entries["tie"][:-1]) & (entries["start"][1:] == entries["start"][:-1])] & equal
+            entries, value, equal = entries[~twin], value[~twin], equal[~twin]
+            fresh = np.r_[True, value[1:] != value[:-1]]
+            kinds = np.cumsum(~equal)
+            nth = kinds - kinds[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            entries["flag"][nth >= HOME] |= AWAY
             turn += 1
-            home[later] = (int(entries["hash"][0] >> np.uint64(8)) + turn) % buckets
-            entries["flag"][later] |= COUNTED
+            home = (value % np.uint64(buckets)).astype(np.int64)
+            home[(entries["flag"] & AWAY) != 0] = (int(value[0] >> np.uint64(8)) + turn) % buckets
             order = np.argsort(home, kind="stable")
             entries, home = entries[order], home[order]
             first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
@@ -145,12 +163,14 @@ def pack_runs(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _columns(entries: np.ndarray) -> bytes:
-    """Entries column after column, documents as differences, for the exchange's compression."""
-    order = np.lexsort((entries["start"], entries["tie"], entries["doc"]))
-    entries = entries[order].copy()
+    """Entries column after column, places as differences, for the exchange's compression."""
+    entries = entries[np.lexsort((entries["start"], entries["tie"], entries["doc"]))]
+    out = entries.copy()
+    same = (entries["doc"][1:] == entries["doc"][:-1]) & (entries["tie"][1:] == entries["tie"][:-1])
+    out["start"][1:] -= np.where(same, entries["start"][:-1], 0).astype(np.int32)
     for name in ("doc", "tie"):
-        entries[name][1:] = np.diff(entries[name])
-    return b"".join(entries[name].tobytes() for name in ENTRY.names)
+        out[name][1:] = np.diff(entries[name])
+    return b"".join(out[name].tobytes() for name in ENTRY.names)
 
 
 def _entries(data: bytes) -> np.ndarray:
@@ -160,24 +180,42 @@ def _entries(data: bytes) -> np.ndarray:
         kind = ENTRY[name]
         out[name] = np.frombuffer(data, kind, n, at)
         at += n * kind.itemsize
+    changed = np.r_[True, (out["doc"][1:] != 0) | (out["tie"][1:] != 0)]
     for name in ("doc", "tie"):
-        np.cumsum(out[name], out=out[name])
+        out[name] = np.cumsum(out[name])
+    sums = np.cumsum(out["start"].astype(np.int64))
+    first = np.flatnonzero(changed)
+    out["start"] = sums - (sums[first] - out["start"][first])[np.cumsum(changed) - 1]
     return out
 
 
 def repeated_runs(packed: DataFrame) -> DataFrame:
-    """(doc, tie, start, count, hash) of the runs whose hash occurs again."""
+    """(doc, tie, start, count, key, gone) of the runs that go wholly, and of those whose hash has other runs too.
+
+    The key is 40 bits of the run's hash.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         entries = np.concatenate([_entries(x) for x in table["data"].to_pylist()])
-        counted = (entries["flag"] & COUNTED) == 0
-        own = entries[counted]
-        _, kind, count = np.unique(own["hash"], return_inverse=True, return_counts=True)
-        again = (count[kind] > 1) | ((own["flag"] & AGAIN) != 0)
-        found = np.concatenate([own[again], entries[~counted]])
-        return pa.table({name: np.ascontiguousarray(found[name]).view(kind) if name == "hash" else found[name].astype(kind) for name, kind in (("doc", "i8"), ("tie", "i8"), ("start", "i4"), ("count", "i4"), ("hash", "i8"))})
-
-    return packed.groupBy("bucket").applyInArrow(run, "doc long, tie long, start int, count int, hash long")
+        key = entries["low"].astype(np.int64) | (entries["high"].astype(np.int64) << 32)
+        home = (entries["flag"] & AWAY) == 0
+        order = np.flatnonzero(home)
+        order = order[np.lexsort((entries["start"][order], entries["tie"][order], entries["doc"][order], entries["text"][order], key[order]))]
+        own, own_key = entries[order], key[order]
+        equal = np.r_[False, (own_key[1:] == own_key[:-1]) & (own["text"][1:] == own["text"][:-1]) & (own["count"][1:] == own["count"][:-1])] if len(own) else np.zeros(0, bool)
+        lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(own))))
+        twin = equal & (own["doc"] == own["doc"][lead]) & (own["tie"] == own["tie"][lead]) & (own["start"] == own["start"][lead])
+        gone = equal & ~twin
+        # what stays is looked at again if its hash has another content, here or away, or repeats inside
+        left = ~equal
+        _, kind, contents = np.unique(own_key[left], return_inverse=True, return_counts=True)
+        again = (contents[kind] > 1) | ((own["flag"][left] & TWICE) != 0)
+        found = np.concatenate([own[gone], entries[~home], own[left][again]])
+        keys = np.concatenate([own_key[gone], key[~home], own_key[left][again]])
+        flags = np.concatenate([np.ones(gone.sum(), bool), (entries["flag"][~home] & GONE) != 0, np.zeros(again.sum(), bool)])
+        return pa.table({"doc": found["doc"], "tie": found["tie"], "start": found["start"], "count": found["count"].astype(np.int32) + 1, "key": keys, "gone": flags})
+
+    return packed.groupBy("bucket").applyInArrow(run, "doc long, tie long, start int, count int, key long, gone boolean")
 
 
 def cut_runs(docs: DataFrame, found: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
@@ -185,8 +223,8 @@ def cut_runs(docs: DataFrame, found: DataFrame, buckets: int, length: int = LENG
 
     Runs of hot hashes are dealt out string by string. Equal content inside a batch keeps its first occurrence; the others are removed wholly.
     """
-    place = F.struct("start", "count", "hash", "hot")
-    joined = docs.join(found.groupBy("doc", "tie").agg(F.collect_list(place).alias("runs")), ["doc", "tie"]).select("doc", "tie", "text", F.col("runs.start").alias("s"), F.col("runs.count").alias("n"), F.col("runs.hash").alias("h"), F.col("runs.hot").alias("hot"))
+    place = F.struct("start", "count", "key", "hot")
+    joined = docs.join(found.groupBy("doc", "tie").agg(F.collect_list(place).alias("runs")), ["doc", "tie"]).select("doc", "tie", "text", F.col("runs.start").alias("s"), F.col("runs.count").alias("n"), F.col("runs.key").alias("h"), F.col("runs.hot").alias("hot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,46 +358,102 @@ def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, size: np.ndarray
     return np.stack([doc[first], tie[first], start[first], reach[last]], axis=1)
 
 
+def _collapse(place: np.ndarray, strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """(first occurrences, later ones) of equal strings of a key; a place given twice is one."""
+    order = np.lexsort((place["at"], place["tie"], place["doc"])).tolist()
+    keys, where = place["key"].tolist(), list(zip(place["doc"].tolist(), place["tie"].tolist(), place["at"].tolist()))
+    first: dict[tuple[int, bytes], int] = {}
+    late = []
+    for i in order:
+        k = first.setdefault((keys[i], strings[i]), i)
+        if where[k] != where[i]:
+            late.append(i)
+    return list(first.values()), late
+
+
+def _shared_parts(place: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, list[bytes]]:
+    """The stretches of the runs whose strings may occur again in these runs, by a hash of each string.
+
+    What is left out has no equal, so the construction needs only the stretches.
+    """
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    if len(flat) < length:
+        return place[:0], []
+    sizes = place["size"]
+    ends = np.cumsum(sizes)
+    hashes = grams(flat, length)
+    valid = np.ones(len(hashes), bool)
+    for back in range(1, length):
+        cut = ends[:-1] - back
+        valid[cut[(cut >= 0) & (cut < len(hashes))]] = False
+    at = np.flatnonzero(valid)
+    _, kind, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    at = at[count[kind] > 1]
+    if not len(at):
+        return place[:0], []
+    owner = np.searchsorted(ends, at, side="right")
+    fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])]
+    begin = np.flatnonzero(fresh)
+    last = np.r_[begin[1:], len(at)] - 1
+    who, start, stop = owner[begin], at[begin], at[last] + length
+    parts = place[who].copy()
+    parts["at"] += start - (ends - sizes)[who]
+    parts["size"] = stop - start
+    return parts, [flat[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist())]
+
+
 def mark(place: np.ndarray, strings: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Spans (doc, tie, start, end) of one bucket: everything but the first occurrence of each string."""
-    # equal runs: the first occurrence stays in the collection, the others go
-    order = np.lexsort((place["at"], place["tie"], place["doc"]))
-    first: dict[tuple[int, bytes], int] = {}
-    gone = []
-    for i in order.tolist():
-        content = (int(place["key"][i]), strings[i])
-        k = first.setdefault(content, i)
-        if k != i and place[["doc", "tie", "at"]][i] != place[["doc", "tie", "at"]][k]:
-            gone.append(i)
+    first, late = _collapse(place, strings)
+    gone = [place[late]]
     found = []
-    if gone:
-        p = place[gone]
-        found.append(_spans(p["doc"], p["tie"], p["at"], p["size"]))
-    # the distinct runs of a hash are built together if there are two, or one that may repeat inside
-    distinct = np.array(sorted(first.values(), key=lambda i: (int(place["key"][i]), i)))
-    keys, count = place["key"][distinct], place["size"][distinct] - length + 1
-    _, kind, alike = np.unique(keys, return_inverse=True, return_counts=True)
-    distinct = distinct[(alike[kind] > 1) & (np.bincount(kind, count)[kind] > alike[kind]) | (count > 1) & (alike[kind] == 1) & _inside(strings, distinct, length)]
+    first.sort(key=lambda i: (int(place["key"][i]), i))
     at = 0
-    while at < len(distinct):
-        end = min(at + COLLECTION, len(distinct))
-        while end < len(distinct) and place["key"][distinct[end]] == place["key"][distinct[end - 1]]:
-            end += 1
-        chosen = distinct[at:end]
+    while at < len(first):
+        end = _whole_keys(place["key"][first], at, 16 * COLLECTION)
+        parts, texts = _shared_parts(place[first[at:end]], [strings[i] for i in first[at:end]], length)
         at = end
-        owner, offset, group = construct([strings[i] for i in chosen], length)
-        p = place[chosen[owner]]
-        start = p["at"] + offset
-        order = np.lexsort((start, p["tie"], p["doc"], group))
-        g, p, start = group[order], p[order], start[order]
-        fresh = np.r_[True, g[1:] != g[:-1]]
-        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        late = (p["doc"] != p["doc"][lead]) | (p["tie"] != p["tie"][lead]) | (start != start[lead])
-        if late.any():
-            found.append(_spans(p["doc"][late], p["tie"][late], start[late], np.full(late.sum(), length, np.int64)))
+        if not len(parts):
+            continue
+        kept, late = _collapse(parts, texts)
+        gone.append(parts[late])
+        distinct = np.array(sorted(kept, key=lambda i: (int(parts["key"][i]), i)))
+        keys, count = parts["key"][distinct], parts["size"][distinct] - length + 1
+        _, kind, alike = np.unique(keys, return_inverse=True, return_counts=True)
+        # a hash's parts are built together if there are two, or one that may repeat inside
+        distinct = distinct[(alike[kind] > 1) & (np.bincount(kind, count)[kind] > alike[kind]) | (count > 1) & (alike[kind] == 1) & _inside(texts, distinct, length)]
+        low = 0
+        while low < len(distinct):
+            high = _whole_keys(parts["key"][distinct], low, COLLECTION)
+            found.append(_later(parts[distinct[low:high]], [texts[i] for i in distinct[low:high]], length))
+            low = high
+    whole = np.concatenate(gone)
+    if len(whole):
+        found.append(_spans(whole["doc"], whole["tie"], whole["at"], whole["size"]))
     return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
 
 
+def _whole_keys(keys: np.ndarray, at: int, count: int) -> int:
+    """End of a stretch of about so many sorted keys that breaks no key."""
+    end = min(at + count, len(keys))
+    while end < len(keys) and keys[end] == keys[end - 1]:
+        end += 1
+    return end
+
+
+def _later(place: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
+    """Spans of the strings that also start earlier in this collection."""
+    owner, offset, group = construct(strings, length)
+    p = place[owner]
+    start = p["at"] + offset
+    order = np.lexsort((start, p["tie"], p["doc"], group))
+    g, p, start = group[order], p[order], start[order]
+    fresh = np.r_[True, g[1:] != g[:-1]]
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    late = (p["doc"] != p["doc"][lead]) | (p["tie"] != p["tie"][lead]) | (start != start[lead])
+    return _spans(p["doc"][late], p["tie"][late], start[late], np.full(late.sum(), length, np.int64)) if late.any() else np.zeros((0, 4), np.int64)
+
+
 def _inside(strings: list[bytes], chosen: np.ndarray, length: int) -> np.ndarray:
     """May a run repeat one of its own strings: does a 16-byte piece that all its strings cover occur twice."""
     out = np.zeros(len(chosen), bool)
@@ -378,10 +472,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BY
     prepare(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(total / bucket_bytes))
-    found = checkpoint(repeated_runs(pack_runs(docs, buckets)))
+    runs_found = stored(repeated_runs(pack_runs(docs, buckets)))
+    gone = runs_found.where("gone").select("doc", "tie", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("count") + (length - 1)).cast("long").alias("e"))
+    found = runs_found.where("NOT gone").drop("gone")
     # hashes with very many runs: fewer than all runs / HOT
-    hot = found.groupBy("hash").count().where(F.col("count") > HOT).select("hash", F.lit(True).alias("hot"))
-    found = found.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = found.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    found = found.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cut = cut_runs(docs, found, buckets, length)
 
     def run(table: pa.Table) -> pa.Table:
@@ -394,8 +490,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BY
             rows = _spans(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] - rows[:, 2])
         return pa.table({"doc": rows[:, 0], "tie": rows[:, 1], "s": rows[:, 2], "e": rows[:, 3]})
 
-    spans = checkpoint(cut.groupBy("bucket").applyInArrow(run, "doc long, tie long, s long, e long"))
-    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = stored(cut.groupBy("bucket").applyInArrow(run, "doc long, tie long, s long, e long"))
+    return spans.union(gone).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
