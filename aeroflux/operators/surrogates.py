@@ -8,9 +8,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aeroflux.operators.grids import Grid, Projection, extent, projected_rings
 from aeroflux.operators.matching import match_code, match_code_double
@@ -155,14 +156,21 @@ def simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
     """Rings without points that lie within the tolerance of the line through their neighbours; 0 leaves all."""
     if tolerance <= 0:
         return shapes
-    at = shapes.columns.index("rings")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch.isetitem(at, [[[{"x": x, "y": y} for x, y in thinned([(p["x"], p["y"]) for p in ring], tolerance)] for ring in rings] for rings in batch.iloc[:, at]])
-            yield batch
+            rows = [r | {"rings": points_of([thinned(ring, tolerance) for ring in plain(r["rings"])])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
-    return shapes.mapInPandas(run, shapes.schema)
+    return shapes.mapInArrow(run, shapes.schema)
+
+
+def plain(rings: list) -> list[Ring]:
+    return [[(p["x"], p["y"]) for p in ring] for ring in rings]
+
+
+def points_of(rings: list[Ring]) -> list:
+    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]
 
 
 def thinned(points: Ring, tolerance: float) -> Ring:
@@ -281,8 +289,7 @@ def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
         x0, y0 = grid.x0 + col * grid.dx, grid.y0 + row * grid.dy
         x1, y1 = x0 + grid.dx, y0 + grid.dy
         out = []
-        for ring in rings:
-            points = [(p["x"], p["y"]) for p in ring]
+        for points in plain(rings):
             if kind == "polygon":
                 part = clip_box(points, x0, y0, x1, y1)
                 out += [part] if len(part) > 2 else []
@@ -300,29 +307,30 @@ def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
                         out.append([(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])) for t in (low, high)])
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["rings"] = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in cut(*v)] for v in zip(batch["kind"], batch["rings"], batch["row"], batch["col"])]
-            yield batch[batch["rings"].map(len) > 0]
+            rows = [r | {"rings": points_of(part)} for r in batch.to_pylist() if (part := cut(r["kind"], r["rings"], r["row"], r["col"]))]
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
-    return spread.mapInPandas(run, spread.schema)
+    return spread.mapInArrow(run, spread.schema)
 
 
 def create_surrogate(inputs: DataFrame, weights: DataFrame, grid: Grid, srg_code: str) -> DataFrame:
     """(srg_code, grid, shape_id, row, col, weight, covered): each cell's share of the weight inside an input shape.
 
-    The denominator counts all of the shape, also off the grid; cells without weight are absent. Pairs of tiles' parts are salted by weight shape, so a tile full of parts is no single task.
+    The denominator counts all of the shape, also off the grid; cells without weight are absent. A tile full of parts is split by Spark's own skew handling of the join.
     """
     parts = tiles(inputs.withColumn("kind", F.lit("polygon")), grid, "shape_id").drop("kind").withColumnRenamed("rings", "shape")
     others = tiles(weights, grid, "weight_id").join(weights.select("weight_id", "weight"), "weight_id")
     met = parts.join(others, ["row", "col"])
 
-    @F.pandas_udf("double")
-    def common(kind: pd.Series, weight: pd.Series, shape: pd.Series) -> pd.Series:
-        plain = lambda rings: [[(p["x"], p["y"]) for p in ring] for ring in rings]
-        return pd.Series([common_size(k, plain(w), plain(s)) for k, w, s in zip(kind, weight, shape)], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [common_size(r["kind"], plain(r["rings"]), plain(r["shape"])) * r["weight"] for r in batch.select(["kind", "rings", "shape", "weight"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shape_id"), batch.column("row"), batch.column("col"), pa.array(sizes, pa.float64())], names=["shape_id", "row", "col", "size"])
 
-    sizes = met.withColumn("size", common("kind", "rings", "shape") * F.col("weight"))
+    schema = T.StructType([*met.select("shape_id", "row", "col").schema.fields, T.StructField("size", T.DoubleType())])
+    sizes = met.mapInArrow(run, schema)
     cells = sizes.groupBy("shape_id", "row", "col").agg(F.sum("size").alias("size"))
     whole = F.sum("size").over(Window.partitionBy("shape_id"))
     on_grid = F.col("row").between(0, grid.ny - 1) & F.col("col").between(0, grid.nx - 1)

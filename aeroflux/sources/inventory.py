@@ -202,7 +202,10 @@ def _fixed(kind: str, line: Column, factor: float) -> tuple[list[Column], Column
 
 def parse(lines: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of all data lines; a record has one pollutant and its intervals."""
-    about = headers(lines)
+    # one row for each file, as the list of files itself; only the kinds that occur are planned for
+    found = headers(lines)
+    rows = found.collect()
+    about, kinds = F.broadcast(lines.sparkSession.createDataFrame(rows, found.schema)), {r["kind_of_file"] for r in rows}
     data = lines.where(is_data(F.col("value"))).join(about, "file", "left")
     value, kind = F.col("value"), F.col("kind_of_file")
     wanted = F.lit(None).cast("int")
@@ -222,6 +225,8 @@ def parse(lines: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
     good = data.where(F.col("reason").isNull())
     parts = []
     for name, count in FIELDS.items():
+        if name not in kinds:
+            continue
         schema = ", ".join(f"c{i} string" for i in range(count))
         rows = good.where(kind == name).withColumn("f", F.from_csv("value", schema))
         c = [F.col(f"f.c{i}") for i in range(count)]
@@ -231,8 +236,14 @@ def parse(lines: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
             rows = rows.where(F.coalesce(c[12], F.lit("")) != "")
         parts.append(rows.select("sector", "file", "line_id", *_delimited(name, c, factor)))
     for name in WIDTHS:
+        if name not in kinds:
+            continue
         rows = good.where(kind == name).select("*", F.posexplode("pols").alias("_i", "_pol"))
         parts.append(rows.select("sector", "file", "line_id", *_fixed(name, value, factor)))
+    if not parts:
+        name = "ff10_nonpoint"
+        rows = good.where(F.lit(False)).withColumn("f", F.from_csv("value", ", ".join(f"c{i} string" for i in range(FIELDS[name]))))
+        parts.append(rows.select("sector", "file", "line_id", *_delimited(name, [F.col(f"f.c{i}") for i in range(FIELDS[name])], factor)))
     records = parts[0]
     for part in parts[1:]:
         records = records.unionByName(part)
