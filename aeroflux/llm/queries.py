@@ -66,4 +66,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op8_line_dedup, op9_quality, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_nearest": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+  AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false) AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score, cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS int) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
+    "op7_mix": r"""
+WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size, md5('mix:' || coalesce(cast(doc_id AS varchar), 'null')) AS key FROM documents),
+s AS (SELECT source, cast(sum(size) AS bigint) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS weight, source_size * 2e0 AS cap, sum(source_size) OVER () * 1.5e0 AS total FROM s),
+l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, coalesce(least(cap, max(CASE WHEN level <= ratio THEN level END) OVER () * weight), cap) AS target FROM l),
+q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS through FROM d),
+p AS (SELECT q.doc_id, q.size, q.key, a.again, (q.through + a.again * t.source_size) / t.target AS finish FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) AS a(again) WHERE q.size > 0),
+c AS (SELECT doc_id, count(*) AS times FROM (SELECT doc_id, sum(size) OVER (ORDER BY finish, key, again) AS through FROM p) x WHERE through <= (SELECT sum(target) FROM t) GROUP BY doc_id)
+SELECT q.doc_id, q.size, t.source_size, t.target, cast(coalesce(c.times, 0) * q.size AS bigint) AS taken FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON c.doc_id = q.doc_id""",
+}
