@@ -185,7 +185,8 @@ PLUME = f"""WITH air AS ({AIR}), top AS (SELECT max(k) + 1 AS kemit FROM air),
 own AS (SELECT s.source_id, s.row, s.col, s.h, s.d, s.v, s.t, coalesce(min(CASE WHEN a.height >= s.h THEN a.k - 1 END), (SELECT kemit - 2 FROM top)) AS k FROM (SELECT source_id, cast(source_id % 20 AS int) AS row, cast(source_id % 10 AS int) AS col, greatest(height_m, 0) AS h, greatest(diam_m, 0) AS d, least(greatest(vel_ms, 0), 40) AS v, temp_k AS t FROM {{stacks}}) s JOIN air a ON a.row = s.row AND a.col = s.col AND a.k BETWEEN 1 AND (SELECT kemit - 1 FROM top) GROUP BY ALL),
 raised AS (SELECT o.*, greatest(a.wind, 1) AS w, greatest(o.t, a.temp + 10) AS ts, a.temp AS ta, a.grad >= 0.005 AS stable, a.grad / a.temp * a.exner AS s1 FROM own o JOIN air a ON a.row = o.row AND a.col = o.col AND a.k = o.k),
 high AS (SELECT *, h + CASE WHEN ts - ta < 50 AND v > w AND v > 10 THEN d * power(v, 1.4) / power(w, 1.4) WHEN stable THEN 29.0 * power((ts - ta) * 9.80665 / ts * v * d * d / 4 / s1, 1.0 / 3) / power(w, 1.0 / 3) ELSE 7.4 * power((ts - ta) * 9.80665 / ts * v * d * d / 4 * h * h, 1.0 / 3) / w END AS z FROM raised)
-SELECT g.source_id, coalesce(min(CASE WHEN a.height >= g.z THEN a.k - 1 END), (SELECT kemit - 2 FROM top)) AS layer FROM high g JOIN air a ON a.row = g.row AND a.col = g.col AND a.k BETWEEN 1 AND (SELECT kemit - 1 FROM top) GROUP BY g.source_id"""
+SELECT s.source_id, coalesce(p.layer, 0) AS layer FROM {{stacks}} s LEFT JOIN (
+SELECT g.source_id, coalesce(min(CASE WHEN a.height >= g.z THEN a.k - 1 END), (SELECT kemit - 2 FROM top)) AS layer FROM high g JOIN air a ON a.row = g.row AND a.col = g.col AND a.k BETWEEN 1 AND (SELECT kemit - 1 FROM top) GROUP BY g.source_id) p ON p.source_id = s.source_id"""
 
 
 def plume_layers(spark, sf_dir):
