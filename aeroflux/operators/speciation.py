@@ -66,12 +66,15 @@ def profile_codes(emissions: DataFrame, spec_ref: DataFrame, spec_combo: DataFra
     The full name is looked up before the name. ``partial`` falls back to less specific codes; pollutant texts fall back as well, so rows for zeros serve all.
     """
     ref = spec_ref.select("scc", "pol", "code")
+    keys = ["scc", "full_name", "pollutant"]
+    distinct = emissions.select(*keys).distinct()
     if partial:
-        full = match_code_double(emissions, "scc", "full_name", ref, "scc", "pol", "code").withColumnRenamed("code", "full_code")
-        coded = match_code_double(full, "scc", "pollutant", ref, "scc", "pol", "code").withColumn("code", F.coalesce("full_code", "code")).drop("full_code")
+        full = match_code_double(distinct, "scc", "full_name", ref, "scc", "pol", "code").withColumnRenamed("code", "full_code")
+        found = match_code_double(full, "scc", "pollutant", ref, "scc", "pol", "code")
     else:
-        full = emissions.join(ref.select("scc", F.col("pol").alias("full_name"), F.col("code").alias("full_code")), ["scc", "full_name"], "left")
-        coded = full.join(ref.withColumnRenamed("pol", "pollutant"), ["scc", "pollutant"], "left").withColumn("code", F.coalesce("full_code", "code")).drop("full_code")
+        full = distinct.join(ref.select("scc", F.col("pol").alias("full_name"), F.col("code").alias("full_code")), ["scc", "full_name"], "left")
+        found = full.join(ref.withColumnRenamed("pol", "pollutant"), ["scc", "pollutant"], "left")
+    coded = emissions.join(found.select(*keys, F.coalesce("full_code", "code").alias("code")), keys, "left")
     missing = F.raise_error(F.concat(F.lit("no speciation profile for "), F.concat_ws("/", "scc", "full_name"))).cast("string")
     coded = coded.withColumn("code", F.coalesce("code", missing))
     plain = coded.where(F.col("code") != "COMBO").withColumn("code_fraction", F.lit(1.0))
@@ -120,15 +123,17 @@ def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: b
     """(emissions, dropped) by species or mechanism group; dropped holds what single pollutants of the record state already."""
     keep = [c for c in emissions.columns if c in ("sector", "file", "fips", "scc", "country")]
     typed = with_type(emissions, data.speciation, data.spec_names, data.spec_profile)
-    doubled = double_counted(typed, data.spec_names, data.species).withColumn("doubled", F.lit(True))
-    profiled = expand_profiles(profile_codes(typed.where(F.col("spec_type").isin(*PROFILE_KIND)), data.spec_ref, data.spec_combo, partial), data.profiles)
+    # one list for each record, joined before rows multiply by species
+    doubled = double_counted(typed, data.spec_names, data.species).groupBy("record_key").agg(F.collect_set("species_id").alias("stated"))
+    marked = typed.where(F.col("spec_type").isin(*PROFILE_KIND)).join(doubled, "record_key", "left")
+    profiled = expand_profiles(profile_codes(marked, data.spec_ref, data.spec_combo, partial), data.profiles)
     tog = data.voc_to_tog.select("code", F.col("factor").alias("tog"))
     is_voc = F.col("spec_type").isin("VOC", "VOCUngrouped")
     to_tog = F.when(is_voc, F.coalesce("tog", F.raise_error(F.concat(F.lit("no VOC factor for "), F.col("code"))).cast("double"))).otherwise(F.lit(1.0))
-    parts = profiled.join(tog, "code", "left").join(data.species.select("species_id", "name", "mw"), "species_id", "left").join(doubled, ["record_key", "species_id"], "left")
+    parts = profiled.join(tog, "code", "left").join(data.species.select("species_id", "name", "mw"), "species_id", "left").withColumn("doubled", F.coalesce(F.array_contains("stated", F.col("species_id")), F.lit(False)))
     parts = parts.withColumn("rate", F.col("rate") * to_tog * F.col("code_fraction") * F.col("species_fraction"))
     dropped = parts.where("doubled").withColumn("pollutant", F.col("name")).select(*keep, *OUT)
-    profile_rows = _by_type(parts.where("doubled IS NULL"), data.group_factors, mechanism, mass)
+    profile_rows = _by_type(parts.where("NOT doubled"), data.group_factors, mechanism, mass)
     singles = _singles(typed.where(F.col("spec_type") == "Single"), data, mechanism, mass)
     direct = typed.where(F.col("spec_type") == "Direct").join(data.spec_profile.select(F.col("pollutant_key").alias("spec_key"), "species", "factor"), "spec_key").withColumn("pollutant", F.col("species")).withColumn("rate", F.col("rate") * F.col("factor"))
     out = [x.select(*keep, *OUT) for x in (profile_rows, singles, direct)]
