@@ -48,10 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return found.withColumn("target", F.coalesce(F.least("cap", reached * F.col("weight")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """(row_id, doc_id, source, size, source_size, target, times, taken) for every document; times is how often the mix takes it."""
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, doc_id, source, size, source_size, target, times, taken) for every document; times is how often the mix takes it. ``carry`` names further columns to keep."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = checkpoint(docs.select("doc_id", "source", (size_of_text() if size is None else size).alias("size")).withColumn("key", key).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = checkpoint(docs.select("doc_id", "source", *carry, (size_of_text() if size is None else size).alias("size")).withColumn("key", key).withColumn("row_id", F.monotonically_increasing_id()))
     bucket = F.substring("key", 1, DIGITS)
     # one row for each source and bucket: bounded by sources x 4,096
     cells = checkpoint(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("cell")))
@@ -64,11 +64,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
         .withColumn("inside", inside)
         .alias("r")
         .join(offsets.alias("o"), F.expr("r.source <=> o.source AND r.bucket = o.bucket"))
-        .select("row_id", "doc_id", "r.source", "size", "key", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("through"))
+        .select("row_id", "doc_id", *carry, "r.source", "size", "key", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("through"))
     )
     passes = placed.withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("finish", (F.col("through") + F.col("again") * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target")))
     times = cut_at_budget(passes.where(F.col("size") > 0), placed).groupBy("row_id").agg(F.count(F.lit(1)).alias("times"))
-    return placed.join(times, "row_id", "left").select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("times", F.lit(0)).alias("times"), (F.coalesce("times", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
+    return placed.join(times, "row_id", "left").select("row_id", "doc_id", *carry, "source", "size", "source_size", "target", F.coalesce("times", F.lit(0)).alias("times"), (F.coalesce("times", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
 
 
 def cut_at_budget(queue: DataFrame, placed: DataFrame) -> DataFrame:

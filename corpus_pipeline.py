@@ -31,10 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    times = mixing.mix(docs).where(F.col("times") > 0).select(F.col("doc_id").alias("mixed_id"), "times")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
-    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    """Documents as often as the mix takes them; rows of the same doc_id and text stand for each other."""
+    keys = ["id_key", "text_key"]
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_key"), F.xxhash64("text").alias("text_key"))
+    times = mixing.mix(keyed, carry=tuple(keys)).groupBy(*keys).agg(F.sum("times").cast("int").alias("times")).where(F.col("times") > 0)
+    taken = keyed.dropDuplicates(keys).join(times, keys)
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

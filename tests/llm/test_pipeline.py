@@ -37,3 +37,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert abs(words_in(kept["mixing"]) - 1.5 * words_in(kept["near_dedup"])) < 0.05 * words_in(kept["mixing"])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.select("doc_id").distinct().count() == len(ids["packing"])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and an empty table go through every stage."""
+    rng = random.Random(3)
+    text = words(rng, 80)
+    rows = [(1, text, "en", "a", 0), (1, text, "en", "a", 0), (1, words(rng, 50), "en", "a", 0), (None, words(rng, 60), None, None, None), (2, None, "en", "b", 0), (3, "", "fr", "b", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, table in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(table, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert (out.count() > 0) == bool(table), name
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, schema), "")
+    assert mixed.where("doc_id = 1 AND text = '%s'" % text).count() <= 4
+    once = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
+    assert once.where("doc_id = 1").count() == 1
