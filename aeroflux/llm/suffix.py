@@ -106,8 +106,8 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-#: A run: 40 bits of its hash, 32 bits of its bytes' hash, its place, strings less one, and flags.
-ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("text", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("count", "u1"), ("flag", "u1")])
+#: A run: 40 bits of its hash, 64 bits of its bytes' hash, its place, strings less one, and flags.
+ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("text", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("count", "u1"), ("flag", "u1")])
 #: Flags of an entry: its hash occurs twice inside the run; it isn't at its hash's bucket; all of it is known to be removed.
 TWICE, AWAY, GONE = 1, 2, 4
 #: Different runs of one hash that a batch sends to the hash's bucket; more go to a bucket of the batch's own.
@@ -131,7 +131,7 @@ def pack_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(value):
                     entry = np.zeros(len(value), ENTRY)
                     entry["low"], entry["high"] = value & np.uint64(0xFFFFFFFF), (value >> np.uint64(32)) & np.uint64(0xFF)
-                    entry["text"], entry["start"], entry["count"], entry["flag"] = whole >> np.uint64(32), start, count - 1, twice * TWICE
+                    entry["text"], entry["start"], entry["count"], entry["flag"] = whole, start, count - 1, twice * TWICE
                     entry["doc"], entry["tie"] = doc[i], tie[i]
                     parts.append(entry)
                     values.append(value)
@@ -471,7 +471,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BY
     """(doc, tie, spans array<struct<s,e>>) of the documents that lose bytes; docs has doc, tie and text."""
     prepare(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(64, math.ceil(total / bucket_bytes))
+    buckets = max(64, math.ceil(total / bucket_bytes)) | 1  # odd, so that a bucket's number and 40 bits of a hash tell more than either
     runs_found = stored(repeated_runs(pack_runs(docs, buckets)))
     gone = runs_found.where("gone").select("doc", "tie", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("count") + (length - 1)).cast("long").alias("e"))
     found = runs_found.where("NOT gone").drop("gone")
