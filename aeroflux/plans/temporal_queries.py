@@ -69,8 +69,10 @@ ZONES = "(VALUES ('America/New_York'), ('America/Chicago'), ('America/Denver'),
 
 @query(f"""SELECT code, tz, hour_ts, round(t_factor, 9) AS t_factor FROM ({factor_sql(f"SELECT c.code, z.tz, h.hour_ts, {LOCAL} AS local_ts FROM {{t_codes}} c CROSS JOIN {ZONES} CROSS JOIN {HOURS}")}) f""")
 def temporal_factors(spark, sf_dir):
-    zones = view(spark, sf_dir, "zones").select("tz").distinct()
-    rows = view(spark, sf_dir, "t_codes").select("code", "code").toDF("month_code", "week_code").withColumn("day_code", F.col("week_code")).join(zones).join(hours_of(spark, sf_dir, "1996-06-29", 96))
+    start = F.lit("1996-06-29").cast("timestamp")
+    zones = F.array(*map(F.lit, ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles")))
+    rows = view(spark, sf_dir, "t_codes").select(*[F.col("code").alias(c) for c in ("month_code", "week_code", "day_code")], F.explode(zones).alias("tz"))
+    rows = tm.steps(rows, start, start + F.make_dt_interval(F.lit(4)))
     rows = rows.withColumn("local_ts", tm.local_time(F.col("hour_ts"), F.col("tz")))
     found = tm.temporal_factor(rows, profiles_of(spark, sf_dir), view(spark, sf_dir, "holidays"))
     return found.select(F.col("month_code").alias("code"), "tz", "hour_ts", F.round("t_factor", 9).alias("t_factor"))
