@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroflux.llm import lines, mixing, packing, quality, simhash
+from aeroflux.llm import lines, mixing, nearcopies, packing, quality
 from aeroflux.llm.common import checkpoint, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,7 +27,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
-    return simhash.keep_one(docs, simhash.NEAR_WORDS, simhash.NEAR_BITS, simhash.NEAR_RADIUS, exact=False).select(*COLUMNS)
+    return nearcopies.keep_one(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
