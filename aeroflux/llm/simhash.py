@@ -1,16 +1,15 @@
 """SimHash near-dedup by bit-sliced comparison.
 
-Fingerprints are majorities of the bits of hashed word shingles. Distinct fingerprints meet in tables: a table takes some of the bits as its key, so only fingerprints that agree there are compared. With blocks chosen by pigeonhole (``exact_tables``) no pair within the radius is missed; with random bits (``sampled_tables``), for wide fingerprints and radii, the recall is known beforehand.
+Fingerprints are majorities of the bits of hashed word shingles. Distinct fingerprints meet in tables: a table takes some of the bits as its key, so only fingerprints that agree there are compared. Its blocks are chosen by pigeonhole (``exact_tables``), so no pair within the radius is missed.
 
 Inside a table the fingerprints of a task are stored as vertical bit planes. Rows of one key are compared at growing distances in the sorted order: planes are xor-ed 64 rows at a time, carry-save counters add up the differing bits, and words of 64 comparisons are abandoned as soon as all of them exceed the radius. Links already implied by others are skipped, so a group of copies yields a spanning tree and never all pairs. Components are found by large-star/small-star rounds over the links.
 
-Defined results: null and word-less texts have fingerprint zero, linked like any other; shorter texts than a shingle are one shingle; equal fingerprints are one node with the smallest doc_id (null sorts last); repeated rows get the same component; an empty table gives an empty result; other columns are ignored.
+Defined results: null and word-less texts have fingerprint zero, linked like any other; shorter texts than a shingle are one shingle; equal fingerprints are one node, named by a hash of the fingerprint and labelled by the smallest doc_id of its component (null sorts last), so rows without doc_id or with the same one are not linked by that; repeated rows get the same component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from aeroflux.llm.common import checkpoint, prepare
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: For near copies on five-word shingles: a 0.8 similarity leaves about 39 of 256 bits different on average; unrelated texts differ in about 128.
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS = 5, 256, 50
 #: Distinct fingerprints of one key that one task compares; larger groups are compared as pairs of chunks.
 GROUP = 1 << 14
 
@@ -97,14 +94,6 @@ def exact_tables(rows: int, bits: int = 64, radius: int = RADIUS) -> list[tuple[
     return min((plan(blocks) for blocks in range(radius + 1, radius + 5) if blocks <= bits), key=lambda p: p[0])[1]
 
 
-def sampled_tables(rows: int, bits: int = NEAR_BITS, differing: float = 0.15, recall: float = 0.98, seed: int = 7) -> list[tuple[int, ...]]:
-    """Random keys, long enough for short groups and many enough that a pair with this share of differing bits meets with probability ``recall``."""
-    length = max(8, min(28, math.ceil(math.log2(rows + 2)) - 5))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** length))
-    rng = np.random.default_rng(seed)
-    return [tuple(sorted(rng.choice(bits, length, replace=False).tolist())) for _ in range(count)]
-
-
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Vertical bit planes: (bits, words) of 64 rows each, from (rows, lanes) big-endian numbers; one empty word follows."""
     rows = len(fps)
@@ -309,20 +298,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, bits: int = 64, radius: int = RADIUS, exact: bool = True) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def near_groups(docs: DataFrame, words: int = WORDS, bits: int = 64, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id of the component, null if it has none."""
     prints = checkpoint(fingerprints(docs, words, bits))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("node")))
-    count = nodes.count()
-    tables = exact_tables(count, bits, radius) if exact else sampled_tables(count, bits)
-    found = components(links(nodes, tables, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, words: int = WORDS, bits: int = 64, radius: int = RADIUS, exact: bool = True) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id, and one of the rows that share it."""
-    found = near_groups(docs, words, bits, radius, exact)
-    lead = found.select(F.col("component_id").alias("lead_id")).distinct()
-    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["lead_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("fp")))
+    found = components(links(nodes, exact_tables(nodes.count(), bits, radius), radius))
+    named = checkpoint(nodes.join(found, "node", "left").select("fp", "first_id", F.coalesce("component", "node").alias("c")))
+    labels = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
+    return prints.join(named.join(labels, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
