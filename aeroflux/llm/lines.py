@@ -2,11 +2,11 @@
 
 A line's tokens are parsed by a tree of fixed depth: the number of tokens, then the leading tokens; tokens with digits are variable fields. Lines of one leaf that agree in most places are one template whose other places are variable. Templates that recur across documents are dropped from all of them.
 
-Recurrence counts documents that differ: every document has a sketch, its few smallest gram hashes. Copies and near copies have two or more of them in common and count as one document, so a document that was copied a thousand times does not make boilerplate of its own lines. A template is dropped if at least ``min_docs`` different documents have it.
+Recurrence counts documents that differ: copies and near copies (``nearcopies``: a similarity of at least 0.8 of the five-word shingles, and what such links connect) are one group and count as one document, so a document that was copied a thousand times does not make boilerplate of its own lines. Documents that only share a passage count each. A template is dropped if at least ``min_docs`` groups have it.
 
-A task sums up its lines before they are exchanged (a count and a bounded sketch set for each distinct line), so a line in a third of all documents sends one row a task. A leaf's lines are linked through identical segments of places, which misses no pair within the allowed share of variable places, and each line is compared with its segment's first line only, never with all.
+A task sums up its lines before they are exchanged. A leaf's lines meet by equal segments of the places behind the leading tokens, which misses no pair within the allowed share of variable places: a leaf is never held by one task, and a segment that more than CHUNK lines share is dealt to pairs of chunks.
 
-Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every line that has it; ties go to the smaller hash; repeated rows are documents of their own but share a sketch; other columns pass through unchanged.
+Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every line that has it; ties go to the smaller hash; repeated rows are one group; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -22,20 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeroflux.llm.common import checkpoint, prepare
-from aeroflux.llm.suffix import grams
+from aeroflux.llm import nearcopies
+from aeroflux.llm.common import checkpoint, prepare, stored
 
 #: Documents that must share a template, leading tokens of a leaf, and the share of places that may vary.
 MIN_DOCS, LEADING, VARIABLE = 4, 3, 0.2
-#: Hashes of a sketch, and how many of them alike documents share.
-SMALLEST, SHARED = 8, 2
-#: Sketches kept of a line, many times more than ``min_docs``: a fair choice by hash among those with different smallest hashes.
-SKETCHES = 64
 #: Distinct lines that a task sums up before it sends them on.
 HELD = 50_000
+#: Lines that one task compares; more are compared as pairs of chunks.
+CHUNK = 4096
 #: Dropped lines (8 bytes each) that are sent to every task; more are joined.
 BROADCAST = 500_000
-GRAM = 32
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"\d")
@@ -56,34 +53,14 @@ def line_hash(tokens: list[str]) -> int:
     return _hash(" ".join(tokens))
 
 
-def sketch_of(text: str) -> np.ndarray:
-    """The smallest gram hashes in order; a text shorter than a gram has its own hash alone."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    if len(data) < GRAM:
-        return np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
-    hashes = grams(data, GRAM)
-    if len(hashes) > 16 * SMALLEST:
-        hashes = np.partition(hashes, 4 * SMALLEST)[: 4 * SMALLEST]
-    return np.unique(hashes)[:SMALLEST]
-
-
-def _fair(sketches: dict[int, bytes]) -> dict[int, bytes]:
-    """At most SKETCHES of them, chosen by a hash of their keys."""
-    if len(sketches) <= SKETCHES:
-        return sketches
-    order = sorted(sketches, key=lambda k: (k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    return {k: sketches[k] for k in order[:SKETCHES]}
-
-
 class Summary:
-    """A task's lines: leaf, documents, smallest sketches and token hashes of each distinct line."""
+    """A task's lines: leaf, token hashes and the nodes of the documents of each distinct line."""
 
     def __init__(self):
-        self.lines: dict[int, list] = {}
+        self.lines: dict[int, tuple] = {}
+        self.held = 0
 
-    def add(self, text: str) -> None:
-        sketch = sketch_of(text)
-        first, sketch = int(sketch[0]), sketch.tobytes()
+    def add(self, text: str, node: int) -> None:
         for line in set(text.split("\n")):
             tokens = tokens_of(line)
             if not tokens:
@@ -92,85 +69,116 @@ class Summary:
             have = self.lines.get(key)
             if have is None:
                 leaf = _hash(f"{len(tokens)} " + " ".join(tokens[:LEADING]))
-                self.lines[key] = [leaf, 1, {first: sketch}, np.array([zlib.crc32(t.encode()) & 0xFFFF for t in tokens], "<u2").tobytes()]
-            else:
-                have[1] += 1
-                have[2].setdefault(first, sketch)
-                if len(have[2]) > 4 * SKETCHES:
-                    have[2] = _fair(have[2])
+                have = self.lines[key] = (leaf, np.array([zlib.crc32(t.encode()) & 0xFFFF for t in tokens], "<u2").tobytes(), set())
+            have[2].add(node)
+            self.held += 1
 
     def rows(self) -> pa.RecordBatch:
         values = self.lines.values()
-        sketches = [list(_fair(v[2]).values()) for v in values]
-        out = [pa.array([v[0] for v in values], pa.int64()), pa.array(list(self.lines), pa.int64()), pa.array([v[1] for v in values], pa.int64()), pa.array(sketches, pa.list_(pa.binary())), pa.array([v[3] for v in values], pa.binary())]
-        self.lines = {}
-        return pa.RecordBatch.from_arrays(out, names=["leaf", "line", "docs", "sketches", "tokens"])
-
-
-def different(sketches: list[bytes]) -> int:
-    """How many of the documents differ: those that share enough of their sketch are one."""
-    chosen = list(_fair({int.from_bytes(x[:8], "little"): x for x in sorted(sketches)}).values())
-    table = np.zeros((len(chosen), SMALLEST), np.uint64)
-    for i, x in enumerate(chosen):
-        values = np.frombuffer(x, np.uint64)
-        table[i, : len(values)] = values
-    common = ((table[:, None, :, None] == table[None, :, None, :]) & (table[:, None, :, None] != 0)).sum(axis=(2, 3))
-    alike = common >= SHARED
-    root = np.arange(len(chosen))
-    while True:  # the smallest alike document, until nothing changes
-        up = np.where(alike, root[None, :], len(chosen)).min(axis=1, initial=len(chosen))
-        up = np.minimum(root, up)[np.minimum(root, up)]
-        if np.array_equal(up, root):
-            return len(np.unique(root))
-        root = up
-
-
-def recurring(leaf: list[tuple[int, int, list[bytes], bytes]], min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> list[int]:
-    """Lines of one leaf, given as (line, docs, sketches, tokens), whose template recurs."""
-    merged: dict[int, list] = {}
-    for line, docs, sketches, tokens in leaf:
-        have = merged.setdefault(line, [0, [], tokens])
-        have[0] += docs
-        have[1] += sketches
-    order = sorted(merged, key=lambda line: (-merged[line][0], line))
-    if sum(merged[line][0] for line in order) < min_docs:
+        out = [pa.array(list(self.lines), pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.binary()), pa.array([list(v[2]) for v in values], pa.list_(pa.int64()))]
+        self.lines, self.held = {}, 0
+        return pa.RecordBatch.from_arrays(out, names=["line", "leaf", "tokens", "nodes"])
+
+
+def segments(places: int, variable: float) -> list[tuple[int, int]]:
+    """Segments of the places behind the leading ones; lines of a leaf within the allowed share agree on one of them at least."""
+    allowed = int(places * variable)
+    if allowed == 0:
         return []
-    tokens = np.stack([np.frombuffer(merged[line][2], "<u2") for line in order])
-    root = _templates(tokens, variable)
-    out = []
-    by: dict[int, list[int]] = {}
-    for i, r in enumerate(root.tolist()):
-        by.setdefault(r, []).append(i)
-    for members in by.values():
-        docs = sum(merged[order[i]][0] for i in members)
-        if docs >= min_docs and different([x for i in members for x in merged[order[i]][1]]) >= min_docs:
-            out += [order[i] for i in members]
-    return out
-
-
-def _templates(tokens: np.ndarray, variable: float) -> np.ndarray:
-    """Template (first line's place) of each line of a leaf; most frequent lines come first."""
+    edges = np.linspace(min(LEADING, places), places, allowed + 2).astype(int)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+def spanning(tokens: np.ndarray, variable: float) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the same lines as all pairs within the allowed share do."""
     lines, places = tokens.shape
-    root = np.arange(lines)
-    allowed = int(places * variable)
-    if lines == 1 or allowed == 0:
-        return root
-    edges = np.linspace(0, places, allowed + 2).astype(int)
-    for a, b in zip(edges[:-1], edges[1:]):
-        segment = np.ascontiguousarray(tokens[:, a:b]).view([("", "V%d" % (2 * (b - a)))]).ravel()
-        _, first, kind = np.unique(segment, return_index=True, return_inverse=True)
-        leader = first[kind]
-        alike = (tokens == tokens[leader]).sum(axis=1) >= places - allowed
-        for i in np.flatnonzero(alike & (root != root[leader])).tolist():
-            x, y = i, int(leader[i])
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            root[max(x, y)] = min(x, y)
-    while not np.array_equal(root, root[root]):
-        root = root[root]
-    return root
+    least = places - int(places * variable)
+    rest, found = np.arange(lines), []
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            alike = (tokens[rest] == tokens[i]).sum(axis=1) >= least
+            if alike.any():
+                new = rest[alike].tolist()
+                found += [(i, j) for j in new]
+                reached += new
+                rest = rest[~alike]
+    return found
+
+
+def recurring(leaf: list[tuple[int, int, list, bytes]], min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> list[int]:
+    """Lines of one leaf, given as (line, docs, groups, tokens), whose template recurs: a small leaf's result without Spark."""
+    merged: dict[int, tuple[set, bytes]] = {}
+    for line, _, groups, tokens in leaf:
+        merged.setdefault(line, (set(), tokens))[0].update(groups)
+    order = sorted(merged)
+    if not order:
+        return []
+    root = list(range(len(order)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in spanning(np.stack([np.frombuffer(merged[line][1], "<u2") for line in order]), variable):
+        x, y = top(i), top(j)
+        root[max(x, y)] = min(x, y)
+    of: dict[int, set] = {}
+    for i, line in enumerate(order):
+        of.setdefault(top(i), set()).update(merged[line][0])
+    return [line for i, line in enumerate(order) if len(of[top(i)]) >= min_docs]
+
+
+def template_links(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) of lines of the same template; lines has line, leaf and tokens, a line possibly several times."""
+    spark = lines.sparkSession
+    several = lines.groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x < y").select("leaf")
+    distinct = lines.select("line", "leaf", "tokens").join(several, "leaf", "left_semi").dropDuplicates(["line"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines_, tokens_ = [], [], []
+            for line, leaf, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                for a, b in segments(len(tokens) // 2, variable):
+                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, a) + tokens[2 * a : 2 * b]) - (1 << 63))
+                    lines_.append(line)
+                    tokens_.append(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines_, pa.int64()), pa.array(tokens_, pa.binary())], names=["key", "line", "tokens"])
+
+    rows = checkpoint(distinct.select("line", "leaf", "tokens").mapInArrow(keyed, "key long, line long, tokens binary"))
+    sizes = checkpoint(rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
+    c = F.pmod(F.xxhash64("line"), F.col("chunks").cast("long")).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("c")).alias("x"), F.greatest(o, F.col("c")).alias("y")))
+    dealt = rows.join(sizes, "key").withColumn("c", c).withColumn("p", F.explode(partners)).where("chunks = 1 OR p.x < p.y").select("key", "p.x", "p.y", "line", "tokens")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            table = np.frombuffer(b"".join(t for _, t in held), "<u2").reshape(len(held), -1)
+            return [(held[i][0], held[j][0]) for i, j in spanning(table, variable)]
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for key, x, y, line, tokens in zip(*(col.to_pylist() for col in batch.columns)):
+                if (key, x, y) != group:
+                    found += close()
+                    group, held = (key, x, y), []
+                held.append((line, tokens))
+            yield out(found)
+        yield out(close())
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["key", "x", "y"]
+    return dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
 def templates_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> DataFrame:
@@ -180,33 +188,21 @@ def templates_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary()
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    summary.add(text.as_py())
-                if len(summary.lines) >= HELD:
+            for text, node in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is not None:
+                    summary.add(nearcopies.unpacked(text), node)
+                if len(summary.lines) >= HELD or summary.held >= 4 * HELD:
                     yield summary.rows()
         yield summary.rows()
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, rows = None, []
-
-        def close() -> list[int]:
-            return recurring(rows, min_docs, variable) if sum(r[1] for r in rows) >= min_docs else []
-
-        for batch in batches:
-            out: list[int] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for value, *row in zip(*columns):
-                if value != leaf:
-                    out += close()
-                    leaf, rows = value, []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["line"])
-        yield pa.RecordBatch.from_arrays([pa.array(close(), pa.int64())], names=["line"])
-
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lines = docs.select("text").mapInArrow(summed, "leaf long, line long, docs long, sketches array<binary>, tokens binary")
-    return lines.repartition(parts, "leaf").sortWithinPartitions("leaf", "line").mapInArrow(judged, "line long")
+    marked = nearcopies.marked(docs.select("text"))
+    found = nearcopies.groups(marked)
+    lines = stored(marked.select("text", "near_node").mapInArrow(summed, "line long, leaf long, tokens binary, nodes array<long>"))
+    templates = nearcopies.components(template_links(lines, variable)).select(F.col("node").alias("line"), F.col("component").alias("template"))
+    has = lines.select("line", F.explode("nodes").alias("node")).join(found, "node", "left").select("line", F.coalesce("component", "node").alias("near_group")).distinct()
+    has = checkpoint(has.join(templates, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "near_group"))
+    often = has.select("template", "near_group").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
+    return has.select("line", "template").distinct().join(often, "template", "left_semi").select("line")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float = VARIABLE, broadcast: int = BROADCAST) -> DataFrame:
