@@ -17,8 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows, so that a Python worker holds a few MB of text at once."""
+    """Arrow batches of at most 1,000 rows and about 8 MB, so that a Python worker holds a few MB of text at once.
+
+    These are settings of the session; other queries of it only get smaller batches by them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def parts_of_shuffle(df: DataFrame) -> int:
+    """Partitions for an exchange that is asked for by number: the session setting, which is sized to the cluster and its data."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_folder(spark: SparkSession) -> str:

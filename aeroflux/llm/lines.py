@@ -1,18 +1,16 @@
 """Line dedup with a log-template tree.
 
-A line's tokens are parsed by a tree of fixed depth: the number of tokens, then the leading tokens; tokens with digits are variable fields. Lines of one leaf that agree in most places are one template whose other places are variable. Templates that recur across documents are dropped from all of them.
+A line's words are parsed by a tree of fixed depth: the number of words, then the leading words; words with digits are variable fields. Lines of one leaf that agree in most places are one template whose other places are variable. Templates that recur across documents are dropped from all of them.
 
 Recurrence counts documents that differ: copies and near copies (``nearcopies``: a similarity of at least 0.8 of the five-word shingles, and what such links connect) are one group and count as one document, so a document that was copied a thousand times does not make boilerplate of its own lines. Documents that only share a passage count each. A template is dropped if at least ``min_docs`` groups have it.
 
-A task sums up its lines before they are exchanged. A leaf's lines meet by equal segments of the places behind the leading tokens, which misses no pair within the allowed share of variable places: a leaf is never held by one task, and a segment that more than CHUNK lines share is dealt to pairs of chunks.
+One pass over the texts gives the lines' hashes and the documents' near-copy keys. Only leaves that enough documents have are looked at further, which are few. Their lines meet by equal segments of the places behind the leading words, which misses no pair within the allowed share of variable places; a leaf is never held by one task, and a segment that many lines share is dealt to pairs of chunks (``linking``).
 
-Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every line that has it; ties go to the smaller hash; repeated rows are one group; other columns pass through unchanged.
+Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every document that has it; repeated rows and equal texts are one group; other columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,60 +22,59 @@ from pyspark.sql import types as T
 
 from aeroflux.llm import nearcopies
 from aeroflux.llm.common import checkpoint, prepare, stored
+from aeroflux.llm.linking import connected, shared
+from aeroflux.llm.wording import Words, stretches
 
-#: Documents that must share a template, leading tokens of a leaf, and the share of places that may vary.
+#: Documents that must share a template, leading words of a leaf, and the share of places that may vary.
 MIN_DOCS, LEADING, VARIABLE = 4, 3, 0.2
-#: Distinct lines that a task sums up before it sends them on.
-HELD = 50_000
 #: Lines that one task compares; more are compared as pairs of chunks.
 CHUNK = 4096
 #: Dropped lines (8 bytes each) that are sent to every task; more are joined.
 BROADCAST = 500_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_DIGIT = re.compile(r"\d")
-FIELD = "<*>"
 
+def line_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number inside the text, hash) of every line that has a word."""
+    words = Words(texts, exact=True)
+    number, hashes, *_ = words.lines(LEADING)
+    text = words.line_text[number]
+    first = np.searchsorted(words.line_text, np.arange(len(texts)))
+    return text, number - first[text], hashes.view(np.int64)
+
+
+def _rows_of(texts: list[bytes | None], nodes: np.ndarray) -> pa.RecordBatch:
+    """The distinct lines of some texts, and for each text a row without a line, with its near-copy keys."""
+    words = Words(texts, exact=True)
+    number, hashes, leaf, start, count = words.lines(LEADING)
+    text = words.line_text[number]
+    order = np.lexsort((hashes, text))
+    again = np.r_[False, (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])] if len(order) else np.zeros(0, bool)
+    keep = np.sort(order[~again])
+    codes = words.codes().tobytes()
+    data = [codes[2 * a : 2 * (a + n)] for a, n in zip(start[keep].tolist(), count[keep].tolist())]
+    keys = nearcopies.keys_of(words)
+    own = [i for i, k in enumerate(keys) if k is not None]
+    none = pa.nulls(len(own), pa.int64())
+    columns = [
+        pa.concat_arrays([pa.array(nodes[text[keep]], pa.int64()), pa.array(nodes[own], pa.int64())]),
+        pa.concat_arrays([pa.array(hashes[keep].view(np.int64)), none]),
+        pa.concat_arrays([pa.array(leaf[keep].view(np.int64)), none]),
+        pa.array(data + [keys[i] for i in own], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "line", "leaf", "data"])
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """(node, line, leaf, data) in the shared folder: of each line the codes of its words; rows without a line have their text's near-copy keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal texts are one
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            for part in stretches([len(t or b"") for t in texts]):
+                yield _rows_of(texts[part], nodes[part])
 
-def tokens_of(line: str) -> list[str]:
-    """The line's words; those with digits are variable fields."""
-    found = _WORD.findall(line)
-    return [FIELD if _DIGIT.search(t) else t for t in found] if _DIGIT.search(line) else found
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
-def line_hash(tokens: list[str]) -> int:
-    return _hash(" ".join(tokens))
-
-
-class Summary:
-    """A task's lines: leaf, token hashes and the nodes of the documents of each distinct line."""
-
-    def __init__(self):
-        self.lines: dict[int, tuple] = {}
-        self.held = 0
-
-    def add(self, text: str, node: int) -> None:
-        for line in set(text.split("\n")):
-            tokens = tokens_of(line)
-            if not tokens:
-                continue
-            key = line_hash(tokens)
-            have = self.lines.get(key)
-            if have is None:
-                leaf = _hash(f"{len(tokens)} " + " ".join(tokens[:LEADING]))
-                have = self.lines[key] = (leaf, np.array([zlib.crc32(t.encode()) & 0xFFFF for t in tokens], "<u2").tobytes(), set())
-            have[2].add(node)
-            self.held += 1
-
-    def rows(self) -> pa.RecordBatch:
-        values = self.lines.values()
-        out = [pa.array(list(self.lines), pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.binary()), pa.array([list(v[2]) for v in values], pa.list_(pa.int64()))]
-        self.lines, self.held = {}, 0
-        return pa.RecordBatch.from_arrays(out, names=["line", "leaf", "tokens", "nodes"])
+    return stored(docs.select(nearcopies.node_of().alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, line long, leaf long, data binary"))
 
 
 def segments(places: int, variable: float) -> list[tuple[int, int]]:
@@ -89,165 +86,146 @@ def segments(places: int, variable: float) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
-def spanning(tokens: np.ndarray, variable: float) -> list[tuple[int, int]]:
-    """Links (i, j) that connect the same lines as all pairs within the allowed share do."""
-    lines, places = tokens.shape
+def spanning(codes: np.ndarray, variable: float, label: np.ndarray | None = None, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the same lines as all pairs within the allowed share do.
+
+    ``label``: lines with the same one are connected already; ``part``: where given, only lines of different parts are compared.
+    """
+    lines, places = codes.shape
     least = places - int(places * variable)
-    rest, found = np.arange(lines), []
-    while len(rest) > 1:
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            i = reached.pop()
-            alike = (tokens[rest] == tokens[i]).sum(axis=1) >= least
-            if alike.any():
-                new = rest[alike].tolist()
-                found += [(i, j) for j in new]
-                reached += new
-                rest = rest[~alike]
+    label = np.arange(lines) if label is None else np.unique(label, return_inverse=True)[1].copy()
+    found = []
+    for i in range(lines):
+        other = np.flatnonzero(label != label[i])
+        if part is not None:
+            other = other[part[other] != part[i]]
+        near = other[(codes[other] == codes[i]).sum(axis=1) >= least] if len(other) else other
+        if len(near):
+            joined, first = np.unique(label[near], return_index=True)
+            found += [(i, int(j)) for j in near[first]]
+            label[np.isin(label, joined)] = label[i]
     return found
 
 
-def recurring(leaf: list[tuple[int, int, list, bytes]], min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> list[int]:
-    """Lines of one leaf, given as (line, docs, groups, tokens), whose template recurs: a small leaf's result without Spark."""
-    merged: dict[int, tuple[set, bytes]] = {}
-    for line, _, groups, tokens in leaf:
-        merged.setdefault(line, (set(), tokens))[0].update(groups)
-    order = sorted(merged)
-    if not order:
-        return []
-    root = list(range(len(order)))
+def recurring(leaf: list[tuple[int, set, bytes]], min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> list[int]:
+    """Lines of one leaf, given as (line, groups of documents, codes), whose template recurs: a small leaf's result without Spark."""
+    root = list(range(len(leaf)))
 
     def top(i: int) -> int:
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in spanning(np.stack([np.frombuffer(merged[line][1], "<u2") for line in order]), variable):
-        x, y = top(i), top(j)
-        root[max(x, y)] = min(x, y)
+    if leaf:
+        for i, j in spanning(np.stack([np.frombuffer(codes, "<u2") for _, _, codes in leaf]), variable):
+            x, y = top(i), top(j)
+            root[max(x, y)] = min(x, y)
     of: dict[int, set] = {}
-    for i, line in enumerate(order):
-        of.setdefault(top(i), set()).update(merged[line][0])
-    return [line for i, line in enumerate(order) if len(of[top(i)]) >= min_docs]
+    for i, (_, groups, _) in enumerate(leaf):
+        of.setdefault(top(i), set()).update(groups)
+    return [line for i, (line, _, _) in enumerate(leaf) if len(of[top(i)]) >= min_docs]
 
 
-def template_links(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) of lines of the same template; lines has line, leaf and tokens, a line possibly several times."""
-    spark = lines.sparkSession
-    several = lines.groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x < y").select("leaf")
-    distinct = lines.select("line", "leaf", "tokens").join(several, "leaf", "left_semi").dropDuplicates(["line"])
+def templates(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK) -> DataFrame:
+    """(line, template) of lines that others of their leaf are like, from (line, leaf, data), each line once."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lines_, tokens_ = [], [], []
-            for line, leaf, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b in segments(len(tokens) // 2, variable):
-                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, a) + tokens[2 * a : 2 * b]) - (1 << 63))
-                    lines_.append(line)
-                    tokens_.append(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines_, pa.int64()), pa.array(tokens_, pa.binary())], names=["key", "line", "tokens"])
-
-    rows = checkpoint(distinct.select("line", "leaf", "tokens").mapInArrow(keyed, "key long, line long, tokens binary"))
-    sizes = checkpoint(rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
-    c = F.pmod(F.xxhash64("line"), F.col("chunks").cast("long")).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("c")).alias("x"), F.greatest(o, F.col("c")).alias("y")))
-    dealt = rows.join(sizes, "key").withColumn("c", c).withColumn("p", F.explode(partners)).where("chunks = 1 OR p.x < p.y").select("key", "p.x", "p.y", "line", "tokens")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def close() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            table = np.frombuffer(b"".join(t for _, t in held), "<u2").reshape(len(held), -1)
-            return [(held[i][0], held[j][0]) for i, j in spanning(table, variable)]
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            keys, nodes = [], []
+            for line, leaf, codes in zip(*(c.to_pylist() for c in batch.columns)):
+                for a, b in segments(len(codes) // 2, variable):
+                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, a) + codes[2 * a : 2 * b]) - (1 << 63))
+                    nodes.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
 
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for key, x, y, line, tokens in zip(*(col.to_pylist() for col in batch.columns)):
-                if (key, x, y) != group:
-                    found += close()
-                    group, held = (key, x, y), []
-                held.append((line, tokens))
-            yield out(found)
-        yield out(close())
+    def judge(mine: list[bytes], its: list[bytes]) -> list[bool]:
+        out = []
+        for a, b in zip(mine, its):
+            x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+            out.append(len(x) == len(y) and int((x != y).sum()) <= int(len(x) * variable))
+        return out
+
+    def block(data: list[bytes], label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
+        return spanning(np.frombuffer(b"".join(data), "<u2").reshape(len(data), -1), variable, label, part)
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["key", "x", "y"]
-    return dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    members = shared(lines.select("line", "leaf", "data").mapInArrow(keyed, "key long, node long"))
+    return connected(members, lines.select(F.col("line").alias("node"), "data"), judge, block, chunk).select(F.col("node").alias("line"), F.col("component").alias("template"))
 
 
 def templates_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float = VARIABLE) -> DataFrame:
     """(line) hashes of the lines whose template recurs across documents; docs has a column text."""
     prepare(docs.sparkSession)
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Summary()
-        for batch in batches:
-            for text, node in zip(*(c.to_pylist() for c in batch.columns)):
-                if text is not None:
-                    summary.add(nearcopies.unpacked(text), node)
-                if len(summary.lines) >= HELD or summary.held >= 4 * HELD:
-                    yield summary.rows()
-        yield summary.rows()
-
-    marked = nearcopies.marked(docs.select("text"))
-    found = nearcopies.groups(marked)
-    lines = stored(marked.select("text", "near_node").mapInArrow(summed, "line long, leaf long, tokens binary, nodes array<long>"))
-    templates = nearcopies.components(template_links(lines, variable)).select(F.col("node").alias("line"), F.col("component").alias("template"))
-    has = lines.select("line", F.explode("nodes").alias("node")).join(found, "node", "left").select("line", F.coalesce("component", "node").alias("near_group")).distinct()
-    has = checkpoint(has.join(templates, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "near_group"))
-    often = has.select("template", "near_group").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    return has.select("line", "template").distinct().join(often, "template", "left_semi").select("line")
+    rows = parsed(docs)
+    lines = rows.where("line IS NOT NULL")
+    # a leaf of fewer lines, or of a single text, has no template that recurs
+    often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"))
+    often = often.where((F.col("n") >= min_docs) & (F.col("a") < F.col("b"))).select("leaf", (F.col("x") < F.col("y")).alias("several"))
+    held = stored(lines.join(often, "leaf").select("node", "line", "leaf", "several", F.when(F.col("several"), F.col("data")).alias("data")))
+    alike = templates(held.where("several").dropDuplicates(["line"]).select("line", "leaf", "data"), variable)
+    has = checkpoint(held.select("line", "node").distinct().join(alike, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "node"))
+    # only documents of templates with enough texts need their near copies known
+    texts = has.select("template", "node").distinct()
+    wide = checkpoint(texts.join(texts.groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "template"))
+    keys = rows.where("line IS NULL").select("node", F.col("data").alias("keys")).join(wide.select("node").distinct(), "node", "left_semi")
+    families = nearcopies.components_of(keys, docs)
+    counted = wide.join(families, "node", "left").select("template", F.coalesce("component", "node").alias("family")).distinct().groupBy("template").count().where(F.col("count") >= min_docs)
+    return has.select("line", "template").distinct().join(counted, "template", "left_semi").select("line")
+
+
+def cleaned(texts: list[bytes | None], gone: np.ndarray | list[np.ndarray]) -> tuple[list[bytes | None], list[int], list[int]]:
+    """(texts without lines whose hash is gone, numbers of lines, and of dropped ones); gone is sorted, one for all or one for each text."""
+    out, n_lines, n_dropped = list(texts), [0 if t is None else t.count(b"\n") + 1 for t in texts], [0] * len(texts)
+    for part in stretches([len(t or b"") for t in texts]):
+        text, number, hashes = line_hashes(texts[part])
+        if isinstance(gone, np.ndarray):
+            at = np.minimum(np.searchsorted(gone, hashes), max(len(gone) - 1, 0))
+            hit = gone[at] == hashes if len(gone) else np.zeros(len(hashes), bool)
+        else:
+            edges = np.searchsorted(text, np.arange(part.stop - part.start + 1))
+            hit = np.concatenate([np.isin(hashes[a:b], gone[part.start + i]) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))] or [np.zeros(0, bool)])
+        for i in np.unique(text[hit]).tolist():
+            lose = set(number[hit & (text == i)].tolist())
+            out[part.start + i] = b"\n".join(x for k, x in enumerate(texts[part.start + i].split(b"\n")) if k not in lose)
+            n_dropped[part.start + i] = len(lose)
+    return out, n_lines, n_dropped
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float = VARIABLE, broadcast: int = BROADCAST) -> DataFrame:
     """docs with shortened texts, and n_lines and n_dropped besides its own columns."""
     gone = checkpoint(templates_to_drop(docs, min_docs, variable))
-    fields = [f"`{c}`" for c in docs.columns]
+    fields, width = [F.col(f"`{c}`") for c in docs.columns], len(docs.columns)
     text_at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
-    def cleaned(text: str | None, dropped) -> tuple[str | None, int, int]:
-        if text is None:
-            return None, 0, 0
-        lines = text.split("\n")
-        kept = [x for x in lines if not ((tokens := tokens_of(x)) and line_hash(tokens) in dropped)]
-        return "\n".join(kept), len(lines), len(lines) - len(kept)
-
-    def applied(batch: pa.RecordBatch, dropped_of) -> pa.RecordBatch:
-        rows = [cleaned(t.as_py(), dropped_of(i)) for i, t in enumerate(batch.column(text_at))]
-        texts, n_lines, n_dropped = zip(*rows) if rows else ((), (), ())
-        columns = list(batch.columns)[: len(fields)]
-        columns[text_at] = pa.array(texts, pa.string())
+    def applied(batch: pa.RecordBatch, dropped: np.ndarray | list[np.ndarray]) -> pa.RecordBatch:
+        texts, n_lines, n_dropped = cleaned(batch.column(text_at).cast(pa.binary()).to_pylist(), dropped)
+        columns = list(batch.columns)[:width]
+        columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[f.name for f in schema])
 
     if gone.count() <= broadcast:
-        known = frozenset(r[0] for r in gone.collect())  # at most ``broadcast`` numbers
+        known = np.sort(np.array([r[0] for r in gone.collect()], np.int64))  # at most ``broadcast`` numbers
 
         def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield applied(batch, lambda _: known)
+                yield applied(batch, known)
 
         return docs.mapInArrow(with_set, schema)
 
-    # too many to send: each document's own dropped lines are joined to it
+    # too many to send: each document's own dropped lines are joined to it; equal texts lose equal lines, so a hash of the text is the key
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(n, line_hash(t)) for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in set((text or "").split("\n")) if (t := tokens_of(x))]
-            rows, lines = zip(*pairs) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lines, pa.int64())], names=["row_key", "line"])
+            texts = batch.column(1).to_pylist()
+            for part in stretches([len(t or b"") for t in texts]):
+                text, _, hashes = line_hashes(texts[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + part.start)), pa.array(hashes)], names=["row_key", "line"])
 
     def with_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(batch.num_columns - 1)
-            yield applied(batch, lambda i: frozenset(own[i].as_py() or ()))
+            own = batch.column(batch.num_columns - 1).to_pylist()
+            yield applied(batch, [np.array(x or [], np.int64) for x in own])
 
-    # equal texts lose equal lines, so a hash of the text is the key
     key = F.xxhash64("text")
-    per_text = docs.select(key.alias("row_key"), "text").mapInArrow(hashed, "row_key long, line long").join(gone.distinct(), "line", "left_semi").groupBy("row_key").agg(F.collect_set("line").alias("gone_lines"))
-    return docs.select("*", key.alias("row_key")).join(per_text, "row_key", "left").select(*fields, "gone_lines").mapInArrow(with_list, schema)
+    per_text = docs.select(key.alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "row_key long, line long").join(gone.distinct(), "line", "left_semi").groupBy("row_key").agg(F.collect_set("line").alias("gone_lines"))
+    packed = docs.select(F.struct(*fields).alias("row"), key.alias("row_key")).join(per_text, "row_key", "left")
+    return packed.select("row.*", "gone_lines").mapInArrow(with_list, schema)

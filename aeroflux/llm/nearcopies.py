@@ -1,82 +1,57 @@
-"""Groups of near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what such links connect.
+"""SimHash near-dedup of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and of what such links connect.
 
-Candidates come from min-hash bands: BANDS keys of ROWS min-hashes each, whatever the number of rows. A pair at a similarity of exactly 0.8 shares no key, and is missed, with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-6; more alike pairs are missed less. Every candidate pair is either compared by its shingle sets or already connected: the members of a key are compared with a leader, then with the next one as long as they are not connected, and after LEADERS rounds with each other.
+Documents meet in blocks: BANDS min-hash keys of ROWS min-hashes, whatever the number of documents; a pair at a similarity of exactly 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS = 3.5e-4, a more alike pair with less. In a block, SimHash fingerprints of the sets are compared in bit planes (``simhash.within``): pairs beyond RADIUS of BITS are abandoned. At a similarity of 0.8 a fingerprint differs in 15 % of the bits, 38.7 of 256 with a deviation of 5.7, so 60 loses 1e-4 of such pairs; sets under SMALL shingles, for which that doesn't hold, are not filtered. Pairs that stay are compared by the sets themselves, so no link is below 0.8.
 
-Defined results: null and word-less texts are one group of their own; a text shorter than a shingle is one shingle; equal shingle sets are one node, whatever their doc_id; letters A to Z are lower-cased.
+Defined results: null and word-less texts are one group of their own; a text shorter than a shingle is one shingle; equal texts are one node, whatever their doc_id; letters A to Z are lower-cased; repeated rows are one; a null doc_id comes last when one row of a group is chosen; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from aeroflux.llm.common import checkpoint, prepare, stored
-from aeroflux.llm.simhash import components
+from aeroflux.llm.common import WORD, prepare, stored
+from aeroflux.llm.linking import connected, shared
+from aeroflux.llm.simhash import forest, majority, pairs_within
+from aeroflux.llm.wording import Words, stir, stretches
 
 WORDS = 5
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 40, 6
-#: Rounds in which a key's members are compared with one of them.
-LEADERS = 3
-#: Words whose hashes a worker remembers.
-KNOWN = 1 << 19
+BANDS, ROWS = 20, 5
+BITS, RADIUS, SMALL = 256, 60, 16
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5)
-_XOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_TIMES = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def node_of(text: str = "text") -> Column:
+    """A document's node: a hash of its text, 0 if it has no word."""
+    return F.when(F.col(text).rlike(WORD), F.xxhash64(text)).otherwise(F.lit(0)).cast("long")
 
 
-_hash_of = _Words()
-
-
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _PRIME
-    return x ^ (x >> np.uint64(32))
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes in order."""
+    return np.unique(Words([text]).shingles(WORDS)[0])
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingles' 64-bit hashes in order."""
-    found = (text or "").encode().lower().split()  # of bytes, both know ASCII only
-    if not found:
-        return np.zeros(0, np.uint64)
-    words = np.fromiter(map(_hash_of.__getitem__, found), np.uint64, len(found))
-    width = min(WORDS, len(found))
-    count = len(found) - width + 1
-    out = np.full(count, width, np.uint64)
-    for k in range(width):
-        out = _stir(out + words[k : k + count])
-    return np.unique(out)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set that is not empty."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 512):
-        np.minimum(least, ((x[None, at : at + 512] ^ _XOR) * _TIMES).min(axis=1), out=least)
-    least = least.reshape(BANDS, ROWS).astype(np.uint64)
-    out = _stir(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for k in range(ROWS):
-        out = _stir(out + least[:, k])
-    return out
+def band_keys(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts that have shingles, their BANDS keys each); at is where each text's shingles begin."""
+    own = np.flatnonzero(np.diff(at))
+    if not len(own):
+        return own, np.zeros((0, BANDS), np.uint64)
+    x, begin = (shingles >> np.uint64(32)).astype(np.uint32), at[own]
+    keys = np.repeat(stir(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :], len(own), axis=0)
+    for band in range(BANDS):
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            keys[:, band] = stir(keys[:, band] + np.minimum.reduceat((x ^ _XOR[k]) * _TIMES[k], begin))
+    return own, keys
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -84,112 +59,122 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return common * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - common) and common > 0
 
 
-def unpacked(data: bytes | None) -> str | None:
-    """A text of ``marked``."""
-    return None if data is None else zstandard.decompress(data).decode()
+def keys_of(words: Words) -> list[bytes | None]:
+    """Each text's keys as bytes; None if it has no word."""
+    own, keys = band_keys(*words.shingles(WORDS))
+    out: list[bytes | None] = [None] * (len(words.text_at) - 1)
+    for i, k in zip(own.tolist(), keys):
+        out[i] = k.tobytes()
+    return out
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs with near_node, a hash of the shingle set, and near_keys, written to the shared folder; text is compressed."""
+def sketched(docs: DataFrame) -> DataFrame:
+    """(node, keys binary) of every row of docs; null for a text without a word."""
     prepare(docs.sparkSession)
-    text_at = docs.columns.index("text")
-    fields = [T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField("near_node", T.LongType()), T.StructField("near_keys", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            nodes, keys, texts = [], [], batch.column(text_at).to_pylist()
-            for text in texts:
-                shingles = shingle_set(text)
-                nodes.append(xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63))
-                keys.append(band_keys(shingles).tobytes() if len(shingles) else b"")
-            columns = list(batch.columns)
-            columns[text_at] = pa.array([None if t is None else pack(t.encode()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            for part in stretches([len(t or b"") for t in texts]):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(keys_of(Words(texts[part])), pa.binary())], names=["node", "keys"])
 
-    return stored(docs.mapInArrow(run, schema))
+    return docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, keys binary")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = batch.column(1).to_pylist()
-        sizes = np.array([len(x) // 8 for x in raw], np.int64)
-        nodes = np.repeat(batch.column(0).to_numpy(), sizes)
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in raw])
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(nodes, pa.int64())], names=["key", "node"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lead, shingles = None, None
+def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, data): the fingerprint of the text's shingle set, and the text, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        out = []
-        for a, b, mine, its in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != lead:
-                lead, shingles = b, shingle_set(unpacked(its))
-            if alike(shingle_set(unpacked(mine)), shingles):
-                out.append((a, b))
-        a, b = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        data = []
+        for text in batch.column(1).to_pylist():
+            shingles = shingle_set(text)
+            data.append(len(shingles).to_bytes(4, "big") + b"".join(x.to_bytes(8, "big") for x in majority(shingles, BITS)) + pack(text))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "data"])
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that verified links connect; docs is marked."""
-    nodes = docs.select(F.col("near_node").alias("node"), "near_keys").dropDuplicates(["node"])
-    of_key = Window.partitionBy("key")
-    bands = nodes.mapInArrow(_split, "key long, node long")
-    members = checkpoint(bands.withColumn("x", F.min("node").over(of_key)).withColumn("y", F.max("node").over(of_key)).where("x < y").select("key", "node", F.col("node").alias("c")))
-    texts = stored(docs.select(F.col("near_node").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    links: list[DataFrame] = []
-    found = None
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            led = members.withColumn("lead", F.min(F.struct("node", "c")).over(of_key))
-            pairs = led.where("c <> lead.c").select("node", F.col("lead.node").alias("lead"))
-        else:
-            other = members.select("key", F.col("node").alias("lead"), F.col("c").alias("d"))
-            pairs = members.join(other, "key").where("node < lead AND c <> d").select("node", "lead")
-        mine, its = texts.select("node", F.col("text").alias("mine")), texts.select(F.col("node").alias("lead"), F.col("text").alias("its"))
-        links.append(checkpoint(pairs.distinct().join(mine, "node").join(its, "lead").select("node", "lead", "mine", "its").mapInArrow(_verify, "a long, b long")))
-        found = components(reduce(DataFrame.union, links))
-        if turn < LEADERS:
-            # the leader was compared with all; keys whose members are connected are done
-            left = members.withColumn("lead", F.min("node").over(of_key)).where("node <> lead").select("key", "node").join(found, "node", "left")
-            left = left.select("key", "node", F.coalesce("component", "node").alias("c"))
-            members = checkpoint(left.withColumn("x", F.min("c").over(of_key)).withColumn("y", F.max("c").over(of_key)).where("x < y").select("key", "node", "c"))
-            if members.isEmpty():
-                break
+_HEAD = 4 + BITS // 8
+
+
+def _prints(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints as rows of 64-bit numbers, numbers of shingles)."""
+    heads = np.frombuffer(b"".join(d[:_HEAD] for d in data), np.uint8).reshape(-1, _HEAD)
+    return np.ascontiguousarray(heads[:, 4:]).view(">u8").astype(np.uint64), np.ascontiguousarray(heads[:, :4]).view(">u4").ravel()
+
+
+def _set_of(data: bytes) -> np.ndarray:
+    return shingle_set(zstandard.decompress(data[_HEAD:]))
+
+
+def _judge(mine: list[bytes], its: list[bytes]) -> list[bool]:
+    if not mine:
+        return []
+    (a, size), (b, other) = _prints(mine), _prints(its)
+    close = pairs_within(a, b, RADIUS) | (np.minimum(size, other) < SMALL)
+    out, lead, shingles = [], None, None
+    for yes, m, i in zip(close.tolist(), mine, its):
+        if yes:
+            if i != lead:
+                lead, shingles = i, _set_of(i)
+            yes = alike(_set_of(m), shingles)
+        out.append(yes)
+    return out
+
+
+def _block(data: list[bytes], label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
+    prints, size = _prints(data)
+    sets: dict[int, np.ndarray] = {}
+
+    def check(i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in sets:
+                if len(sets) > 512:
+                    sets.clear()
+                sets[k] = _set_of(data[k])
+        return alike(sets[i], sets[j]) if i in sets and j in sets else alike(_set_of(data[i]), _set_of(data[j]))
+
+    found = []
+    for which, radius in ((size >= SMALL // 2, RADIUS), (size < 2 * SMALL, BITS)):  # small sets without a filter; the two overlap
+        at = np.flatnonzero(which)
+        if len(at) > 1:
+            chosen = lambda x: None if x is None else x[at]
+            found += [(int(at[i]), int(at[j])) for i, j in forest(np.zeros(len(at), np.int64), prints[at], radius, chosen(part), label[at], lambda i, j, at=at: check(int(at[i]), int(at[j])))]
     return found
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    of_rows = marked(docs)
-    found = groups(of_rows).select(F.col("node").alias("near_node"), "component")
-    return of_rows.join(found, "near_node", "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("component", "near_node").alias("near_group"))
+def components_of(sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes, from (node, keys) of documents and the documents themselves."""
+    prepare(docs.sparkSession)
+    rows = sketches.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "keys").mapInArrow(_split, "key long, node long")
+    members = shared(rows)
+    texts = docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return connected(members, stored(texts.mapInArrow(_payload, "node long, data binary")), _judge, _block)
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    """rows with their texts unpacked."""
-    text_at = rows.columns.index("text")
-    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in rows.schema.fields])
+def groups(docs: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of docs that verified links connect."""
+    return components_of(stored(sketched(docs)), docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[text_at] = pa.array([unpacked(t) for t in columns[text_at].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node_of().alias("node"))
 
 
 def with_groups(docs: DataFrame) -> DataFrame:
     """docs with near_group besides its own columns, equal for near copies."""
-    return _plain(_grouped(docs))
+    return _packed(docs).join(groups(docs), "node", "left").select("row.*", F.coalesce("component", "node").alias("near_group"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the smallest (doc_id, hash of the packed text), null last."""
-    rank: Column = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
-    grouped = _grouped(docs).withColumn("near_rank", rank)
-    lead = grouped.groupBy("near_group").agg(F.min("near_rank").alias("near_rank"))
-    kept = grouped.join(lead, ["near_group", "near_rank"], "left_semi").dropDuplicates(["near_group"])
-    return _plain(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    """docs with one row of each group: the smallest (doc_id, node, hash of the other columns), null last; only rows equal in all of these are interchangeable."""
+    others = [f"row.`{c}`" for c in docs.columns if c != "text"]
+    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.coalesce("row.doc_id", F.lit(0)).cast("long").alias("id"), F.col("node").alias("at"), F.xxhash64(*others).alias("rest"))
+    ranked = _packed(docs).withColumn("rank", rank)
+    lead = ranked.select("node", "rank").join(groups(docs), "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("rank").alias("rank")).select(F.col("rank.at").alias("node"), "rank")
+    return ranked.join(lead, ["node", "rank"]).dropDuplicates(["node", "rank"]).select("row.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,11 @@ def _more(hashes: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS, bits: int = 64) -> list[int]:
     """The bits as unsigned 64-bit numbers; a bit is 1 if it is set in over half of the shingles."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words), bits)
+
+
+def majority(hashes: np.ndarray, bits: int = 64) -> list[int]:
+    """The bits that over half of the hashes have, as unsigned 64-bit numbers."""
     out = []
     for lane in range(bits // 64):
         counts = np.zeros(64, np.int64)
@@ -137,6 +141,21 @@ def within(planes: np.ndarray, shift: int, lanes: np.ndarray, radius: int) -> np
     return out
 
 
+def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of a and b, (rows, lanes) each, differ in at most ``radius`` bits."""
+    rows = len(a)
+    shift = (rows + 63) // 64 * 64
+    both = np.zeros((shift + rows, a.shape[1]), np.uint64)
+    both[:rows], both[shift:] = a, b
+    planes = _planes(both)
+    lanes = np.zeros(planes.shape[1], np.uint64)
+    asked = _bits(np.ones(rows, bool))
+    lanes[: len(asked)] = asked
+    out = np.zeros(rows, bool)
+    out[_indices(within(planes, shift, lanes, radius))] = True
+    return out
+
+
 def _bits(mask: np.ndarray) -> np.ndarray:
     packed = np.zeros((len(mask) + 63) // 64 * 64, np.uint8)
     packed[: len(mask)] = mask
@@ -158,10 +177,10 @@ def _settle(root: np.ndarray) -> np.ndarray:
         root = up
 
 
-def forest(groups: np.ndarray, fps: np.ndarray, radius: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(groups: np.ndarray, fps: np.ndarray, radius: int, part: np.ndarray | None = None, label: np.ndarray | None = None, check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that span the components of each group; rows of a group stand together.
 
-    ``part``: 0 or 1 by row; where given, groups with both are compared across the parts only.
+    ``part``: 0 or 1 by row; where given, groups with both are compared across the parts only. ``label``: rows of a group with the same label are connected already. ``check(i, j)``: a pair within the radius is a link only if this holds.
     """
     n = len(groups)
     size_of = np.diff(np.r_[np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]), n]) if n else np.zeros(0, int)
@@ -172,6 +191,9 @@ def forest(groups: np.ndarray, fps: np.ndarray, radius: int, part: np.ndarray |
     part = None if part is None else part[keep]
     links: list[tuple[int, int]] = []
     root = np.arange(len(index))
+    if label is not None and len(index):
+        _, first, inverse = np.unique(np.stack([groups, label[index]], axis=1), axis=0, return_index=True, return_inverse=True)
+        root = first[inverse.ravel()]
     planes = _planes(fps)
     shift, packed_at = 1, len(index)
     while len(index) > shift:
@@ -188,7 +210,7 @@ def forest(groups: np.ndarray, fps: np.ndarray, radius: int, part: np.ndarray |
                     a = root[a]
                 while root[b] != b:
                     b = root[b]
-                if a != b:
+                if a != b and (check is None or check(int(index[i]), int(index[i + shift]))):
                     root[max(a, b)] = min(a, b)
                     links.append((int(index[i]), int(index[i + shift])))
             root = _settle(root)

@@ -305,10 +305,11 @@ def test_line_templates(spark):
 
 
 def test_template_generalises_variable_places():
-    leaf = [(k, 1, [np.array([k * 977 + 1], np.uint64).tobytes()], np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + k], "<u2").tobytes()) for k in range(6)]
+    leaf = [(k, {k}, np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + k], "<u2").tobytes()) for k in range(6)]
     assert sorted(lines.recurring(leaf)) == list(range(6))
-    apart = [(k, 1, [np.array([k * 977 + 1], np.uint64).tobytes()], np.arange(10 * k, 10 * k + 10).astype("<u2").tobytes()) for k in range(6)]
-    assert lines.recurring(apart) == []
+    assert lines.recurring([(line, {0}, codes) for line, _, codes in leaf]) == []
+    apart = [(k, {k}, np.arange(10 * k, 10 * k + 10).astype("<u2").tobytes()) for k in range(6)]
+    assert lines.recurring(apart) == [] and lines.recurring([]) == []
 
 
 def test_quality_learns_and_scores_all(spark):

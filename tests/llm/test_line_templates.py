@@ -49,11 +49,10 @@ def test_templates_of_one_leaf_equal_brute_force(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_lines(frame).collect()}
     assert {i for i in got if got[i]} == {i for i in size if size[i] >= lines.MIN_DOCS}
     assert sum(got.values()) >= 38
-    kept = lines.Summary()
-    for i, t in enumerate(texts):
-        kept.add(t, i)
-    rows = spark.createDataFrame([(k, v[0], bytearray(v[1])) for k, v in kept.lines.items()], "line long, leaf long, tokens binary")
+    _, _, hashes = lines.line_hashes([t.encode() for t in texts])
+    hashes = hashes.tolist()
+    distinct = lines.parsed(frame).where("line IS NOT NULL").dropDuplicates(["line"]).select("line", "leaf", "data")
     for chunk in (4096, 10):  # the second forces pairs of chunks
-        top = {r["node"]: r["component"] for r in lines.nearcopies.components(lines.template_links(rows, chunk=chunk)).collect()}
-        of = [top.get(lines.line_hash(lines.tokens_of(t)), lines.line_hash(lines.tokens_of(t))) for t in texts]
+        top = {r["line"]: r["template"] for r in lines.templates(distinct, chunk=chunk).collect()}
+        of = [top.get(h, h) for h in hashes]
         assert all((of[i] == of[j]) == (find(i) == find(j)) for i in range(len(texts)) for j in range(i))

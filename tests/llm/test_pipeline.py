@@ -54,4 +54,4 @@ def test_stages_on_odd_tables(spark, tmp_path):
     mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, schema), "")
     assert mixed.where("doc_id = 1 AND text = '%s'" % text).count() <= 4
     once = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
-    assert once.where("doc_id = 1").count() == 1
+    assert {r["text"] for r in once.where("doc_id = 1").collect()} == {text, rows[2][1]} and once.count() == 4  # different texts of one doc_id stay; null and empty texts are one group
