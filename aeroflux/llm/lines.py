@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from aeroflux.llm import nearcopies
 from aeroflux.llm.common import checkpoint, prepare, stored
-from aeroflux.llm.linking import connected, shared
+from aeroflux.llm.linking import connected, stars
 from aeroflux.llm.wording import Words, stretches
 
 #: Documents that must share a template, leading words of a leaf, and the share of places that may vary.
@@ -145,10 +145,15 @@ def templates(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK)
             out.append(len(x) == len(y) and int((x != y).sum()) <= int(len(x) * variable))
         return out
 
-    def block(data: list[bytes], label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
-        return spanning(np.frombuffer(b"".join(data), "<u2").reshape(len(data), -1), variable, label, part)
+    def block(data: list[bytes], number: np.ndarray, label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
+        found = []
+        edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            codes = np.frombuffer(b"".join(data[a:b]), "<u2").reshape(b - a, -1)  # a star's lines are of one leaf
+            found += [(a + i, a + j) for i, j in spanning(codes, variable, label[a:b], None if part is None else part[a:b])]
+        return found
 
-    members = shared(lines.select("line", "leaf", "data").mapInArrow(keyed, "key long, node long"))
+    members = stars(lines.select("line", "leaf", "data").mapInArrow(keyed, "key long, node long"))
     return connected(members, lines.select(F.col("line").alias("node"), "data"), judge, block, chunk).select(F.col("node").alias("line"), F.col("component").alias("template"))
 
 

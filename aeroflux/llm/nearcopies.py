@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroflux.llm.common import WORD, prepare, stored
-from aeroflux.llm.linking import connected, shared
+from aeroflux.llm.linking import connected, stars
 from aeroflux.llm.simhash import forest, majority, pairs_within
 from aeroflux.llm.wording import Words, stir, stretches
 
@@ -127,32 +127,30 @@ def _judge(mine: list[bytes], its: list[bytes]) -> list[bool]:
     return out
 
 
-def _block(data: list[bytes], label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
+def _block(data: list[bytes], number: np.ndarray, label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
     prints, size = _prints(data)
-    sets: dict[int, np.ndarray] = {}
+    sets: dict[bytes, np.ndarray] = {}
 
-    def check(i: int, j: int) -> bool:
-        for k in (i, j):
-            if k not in sets:
-                if len(sets) > 512:
-                    sets.clear()
-                sets[k] = _set_of(data[k])
-        return alike(sets[i], sets[j]) if i in sets and j in sets else alike(_set_of(data[i]), _set_of(data[j]))
+    def set_at(i: int) -> np.ndarray:
+        if data[i] not in sets:
+            if len(sets) >= 1024:
+                sets.clear()
+            sets[data[i]] = _set_of(data[i])
+        return sets[data[i]]
 
-    found = []
-    for which, radius in ((size >= SMALL // 2, RADIUS), (size < 2 * SMALL, BITS)):  # small sets without a filter; the two overlap
-        at = np.flatnonzero(which)
-        if len(at) > 1:
-            chosen = lambda x: None if x is None else x[at]
-            found += [(int(at[i]), int(at[j])) for i, j in forest(np.zeros(len(at), np.int64), prints[at], radius, chosen(part), label[at], lambda i, j, at=at: check(int(at[i]), int(at[j])))]
-    return found
+    def links(at: np.ndarray, radius: int) -> list[tuple[int, int]]:
+        found = forest(number[at], prints[at], radius, None if part is None else part[at], label[at], lambda i, j: alike(set_at(at[i]), set_at(at[j])))
+        return [(int(at[i]), int(at[j])) for i, j in found]
+
+    # small sets without a filter; the two kinds overlap
+    return links(np.flatnonzero(size >= SMALL), RADIUS) + links(np.flatnonzero(size < 2 * SMALL), BITS)
 
 
 def components_of(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of linked nodes, from (node, keys) of documents and the documents themselves."""
     prepare(docs.sparkSession)
     rows = sketches.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "keys").mapInArrow(_split, "key long, node long")
-    members = shared(rows)
+    members = stars(rows)
     texts = docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     return connected(members, stored(texts.mapInArrow(_payload, "node long, data binary")), _judge, _block)
 
