@@ -10,6 +10,7 @@ Defined results: null and word-less texts have fingerprint zero, linked like any
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,8 @@ from aeroflux.llm.common import checkpoint, prepare
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Distinct fingerprints of one key that one task compares; larger groups are compared as pairs of chunks.
 GROUP = 1 << 14
+#: Links that a task of the component rounds takes.
+LINKS = 1 << 18
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower-cases A to Z alone.
@@ -298,25 +301,32 @@ def links(nodes: DataFrame, tables: list[tuple[int, ...]], radius: int, group: i
     return dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int = LINKS) -> DataFrame:
     """(node, component) of all nodes on links (a, b); component is the smallest node reachable.
 
-    Large-star and small-star rounds: links are turned to point at the smallest neighbour until nothing changes, which takes few rounds even for long chains. Every round is written to the shared checkpoint folder.
+    Large-star and small-star rounds: links are turned to point at the smallest neighbour until nothing changes, which takes few rounds even for long chains. Every round is written to the shared checkpoint folder. Links are few against what they were found in, so the tasks follow their number: ``rows`` for each.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    before = state(edges)
+    while before[0]:
+        few = lambda df, tasks=math.ceil(before[0] / rows): df.coalesce(tasks)
+        edges = few(edges)
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node point at the smallest neighbour of it
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = few(few(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         # small star: the smaller neighbours of a node, and it, point at the smallest of them
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = few(large.join(few(large.groupBy("u").agg(F.min("v").alias("m"))), "u"))
         turned = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        turned = checkpoint(turned)
-        same = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == turned.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = turned
-        if same:
+        edges = checkpoint(few(turned))
+        after = state(edges)
+        if after == before:
             break
+        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
