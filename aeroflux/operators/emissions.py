@@ -33,7 +33,7 @@ def keep_pollutants(emissions: DataFrame, wanted: DataFrame | None) -> tuple[Dat
     """(kept, dropped) rows by pollutant name, prefixes aside; without a table of wanted names all are kept."""
     if wanted is None:
         return emissions, emissions.where(F.lit(False))
-    names = F.broadcast(wanted.select("pollutant").distinct())  # a configuration of some hundred names
+    names = wanted.select("pollutant").distinct()
     return emissions.join(names, "pollutant", "left_semi"), emissions.join(names, "pollutant", "left_anti")
 
 
@@ -66,7 +66,7 @@ def kept_and_dropped(emissions: DataFrame, wanted: DataFrame | None) -> DataFram
     if wanted is None:
         marked = emissions.withColumn("status", F.lit("kept"))
     else:
-        names = F.broadcast(wanted.select("pollutant").distinct().withColumn("_wanted", F.lit(True)))
+        names = wanted.select("pollutant").distinct().withColumn("_wanted", F.lit(True))
         marked = emissions.join(names, "pollutant", "left").withColumn("status", F.when(F.col("_wanted"), "kept").otherwise("dropped"))
     return totals(marked, ["sector", "file", "status"])
 

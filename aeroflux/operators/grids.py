@@ -132,11 +132,12 @@ def on_or_inside(x: Column, y: Column, rings: Column) -> Column:
     return odd | F.exists(edges, lambda e: e["touches"])
 
 
-def points_to_irregular(points: DataFrame, cells: DataFrame, tile: float, x: str = "x", y: str = "y", key: str = "source_id") -> DataFrame:
+def points_to_irregular(points: DataFrame, cells: DataFrame, tile: float, x: str = "x", y: str = "y") -> DataFrame:
     """As points_to_cells for polygons: points and cells meet in tiles of the plane, then each pair is tested exactly."""
     n = lambda c: F.floor(c / tile).cast("long")
     spread = cells.withColumn("_tx", F.explode(F.sequence(n(F.col("xmin")), n(F.col("xmax"))))).withColumn("_ty", F.explode(F.sequence(n(F.col("ymin")), n(F.col("ymax")))))
-    met = points.withColumn("_tx", n(F.col(x))).withColumn("_ty", n(F.col(y))).join(spread, ["_tx", "_ty"]).where(on_or_inside(F.col(x), F.col(y), F.col("rings")))
-    hits = met.select(*points.columns, "grid", "row", "col")
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return hits.join(counts, key).withColumn("weight", F.lit(1.0) / F.col("_n")).drop("_n")
+    rows = points.withColumn("_row", F.monotonically_increasing_id())
+    hits = rows.withColumn("_tx", n(F.col(x))).withColumn("_ty", n(F.col(y))).join(spread.select("grid", "row", "col", "rings", "_tx", "_ty"), ["_tx", "_ty"]).where(on_or_inside(F.col(x), F.col(y), F.col("rings")))
+    # a point's cells together: by the row, as several points may have one name
+    cells_of = hits.groupBy("_row").agg(F.first(F.struct(*points.columns)).alias("_p"), F.collect_list(F.struct("grid", "row", "col")).alias("_cells"))
+    return cells_of.withColumn("weight", F.lit(1.0) / F.size("_cells")).withColumn("_c", F.explode("_cells")).select("_p.*", "_c.*", "weight")

@@ -28,10 +28,15 @@ def wind_speed(u: DataFrame, v: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stability(met: DataFrame, by: list[str], theta: Column, pressure: Column, height: Column) -> DataFrame:
-    """met with temp, dtheta_dz (0 at the lowest level), s1 and stable: potential temperature's change to the level below."""
+    """met with temp, dtheta_dz (0 at the lowest level, null over a level without thickness), s1 and stable: potential temperature's change to the level below.
+
+    A pressure or temperature that isn't over 0 fails.
+    """
     w = _column(by)
+    pressure = F.when(pressure > 0, pressure).otherwise(F.raise_error(F.lit("pressure must be over 0")).cast("double"))
     exner = F.pow(pressure / BASE_PRESSURE, F.lit(EXPONENT))
-    out = met.withColumn("temp", (theta + BASE_THETA) * exner)
+    warm = F.when(theta + BASE_THETA > 0, theta + BASE_THETA).otherwise(F.raise_error(F.lit("potential temperature must be over 0 K")).cast("double"))
+    out = met.withColumn("temp", warm * exner)
     gradient = (theta - F.lag(theta).over(w)) / F.nullif(height - F.lag(height).over(w), F.lit(0.0))
     out = out.withColumn("dtheta_dz", F.when(F.lag(theta).over(w).isNull(), F.lit(0.0)).otherwise(gradient))
     return out.withColumn("s1", F.col("dtheta_dz") / F.col("temp") * exner).withColumn("stable", F.col("dtheta_dz") >= UNSTABLE)
@@ -56,7 +61,8 @@ def profiles(met: DataFrame, by: list[str]) -> DataFrame:
 
 
 def layer_at(levels: Column, height: Column, kemit: int) -> Column:
-    """First layer whose top is at or over a height; the last but one layer if none is."""
+    """First layer whose top is at or over a height; the last but one layer if none is. A height that isn't a number fails."""
+    height = F.when(F.isnan(height), F.raise_error(F.lit("the plume's height is not a number")).cast("double")).otherwise(height)
     tops = F.transform(F.sequence(F.lit(0), F.lit(kemit - 2)), lambda k: F.struct(k.alias("k"), F.get(levels, k + 1)["height"].alias("top")))
     hit = F.filter(tops, lambda t: t["top"] >= height)
     return F.coalesce(F.get(hit, F.lit(0))["k"], F.lit(kemit - 2))
@@ -68,7 +74,10 @@ def plume_layer(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int) ->
         return stacks.withColumn("layer", F.lit(0))
     joined = stacks.join(profiles(met, by), by, "left")
     levels = F.col("levels")
-    at = layer_at(levels, F.greatest("height_m", F.lit(0.0)), kemit)
+    stack = F.greatest("height_m", F.lit(0.0))
+    top = F.element_at(levels, -1)["height"]
+    stack = F.when(stack > top, F.raise_error(F.concat(F.lit("a stack is higher than the layers: "), stack.cast("string"))).cast("double")).otherwise(stack)
+    at = layer_at(levels, stack, kemit)
     air = F.get(levels, at)
     rise = plume_rise(F.col("height_m"), F.col("diam_m"), F.col("temp_k"), F.col("vel_ms"), air["temp"], air["wind"], air["stable"], air["s1"])
     joined = joined.withColumn("rise", rise)

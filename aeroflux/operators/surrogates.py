@@ -80,7 +80,7 @@ def resolve_merges(specs: dict[str, list[tuple[float, str]]], depth: int = 16) -
 def merge_surrogates(surrogates: DataFrame, merges: dict[str, dict[str, float]]) -> DataFrame:
     """Rows (srg_code = merged name) of sums of multiplied surrogates; the covered flag is that of the first part that has the shape."""
     rows = [(merged, part, float(factor), k) for merged, parts in merges.items() for k, (part, factor) in enumerate(parts.items())]
-    table = F.broadcast(surrogates.sparkSession.createDataFrame(rows, "merged string, srg_code string, factor double, place int"))
+    table = surrogates.sparkSession.createDataFrame(rows, "merged string, srg_code string, factor double, place int")
     joined = surrogates.join(table, "srg_code")
     first = F.min_by("covered", "place").over(Window.partitionBy("merged", "grid", "shape_id"))
     return joined.withColumn("covered", first).groupBy(F.col("merged").alias("srg_code"), "grid", "shape_id", "row", "col", "covered").agg(F.sum(F.col("weight") * F.col("factor")).alias("weight")).select("srg_code", "grid", "shape_id", "row", "col", "weight", "covered")

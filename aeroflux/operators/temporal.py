@@ -55,11 +55,11 @@ def temporal_factor(df: DataFrame, profiles: DataFrame, holidays: DataFrame, loc
     Month's share by weeks in the month, by the weekday's share (Monday is 0, a holiday counts as Sunday), by the hour's share of a weekday or weekend. A missing code fails.
     """
     t = F.col(local)
-    days = F.broadcast(holidays.select(F.col("day").alias("_day")).distinct().withColumn("_holiday", F.lit(True)))
+    days = holidays.select(F.col("day").alias("_day")).distinct().withColumn("_holiday", F.lit(True))
     out = df.withColumn("_day", F.to_date(t)).join(days, "_day", "left")
     weekday = F.when(F.col("_holiday"), F.lit(6)).otherwise(F.weekday(t))
     out = out.withColumn("_month", F.month(t) - 1).withColumn("_weekday", weekday).withColumn("_hour", F.hour(t)).withColumn("_diurnal", F.when(weekday < 5, "diurnal weekday").otherwise("diurnal weekend"))
-    look = lambda code, slot, name: F.broadcast(profiles.select(F.col("kind").alias("_kind"), F.col("code").alias(code), F.col("slot").alias(slot), F.col("fraction").alias(name)))
+    look = lambda code, slot, name: profiles.select(F.col("kind").alias("_kind"), F.col("code").alias(code), F.col("slot").alias(slot), F.col("fraction").alias(name))
     out = out.join(look("month_code", "_month", "_m").where(F.col("_kind") == "monthly").drop("_kind"), ["month_code", "_month"], "left")
     out = out.join(look("week_code", "_weekday", "_w").where(F.col("_kind") == "weekly").drop("_kind"), ["week_code", "_weekday"], "left")
     out = out.join(look("day_code", "_hour", "_h").withColumnRenamed("_kind", "_diurnal"), ["day_code", "_hour", "_diurnal"], "left")
@@ -80,7 +80,7 @@ def in_hours(emissions: DataFrame, hours: DataFrame) -> DataFrame:
         return emissions.join(hours, F.lit(False))
     begin, end = F.greatest(day("begin_ts"), F.lit(span["lo"])), F.least(day(last), F.lit(span["hi"]))
     daily = emissions.where(begin <= end).withColumn("_day", F.explode(F.sequence(begin, end)))
-    joined = daily.join(F.broadcast(hours.withColumn("_day", day("hour_ts"))), "_day").drop("_day")  # a run's output hours
+    joined = daily.join(hours.withColumn("_day", day("hour_ts")), "_day").drop("_day")
     hour_end = F.col("hour_ts") + F.make_dt_interval(F.lit(0), F.lit(1))
     shared = F.least("end_ts", hour_end), F.greatest("begin_ts", "hour_ts")
     return joined.where((F.col("end_ts") > F.col("hour_ts")) & (F.col("begin_ts") < hour_end)).withColumn("in_hour", F.col("rate") * seconds_between(shared[1], shared[0]))
@@ -121,9 +121,9 @@ def hourly_by_cem(emissions: DataFrame, hours: DataFrame, cem: DataFrame, sums:
     sums = cem_sums(cem) if sums is None else sums
     by = [c for c in emissions.columns if c not in ("begin_ts", "end_ts", "rate", "unit")]
     whole = emissions.groupBy(*by).agg(F.sum(amount()).alias("total"), F.min(total_unit()).alias("unit"))
-    # the hours of one output run
-    wanted = F.array(*[F.lit(r["hour_ts"]) for r in hours.select("hour_ts").distinct().collect()])
-    rows = whole.join(sums, ["oris", "boiler"]).withColumn("hour_ts", F.explode(wanted))
+    span = hours.agg(F.min("hour_ts").alias("lo"), F.max("hour_ts").alias("hi")).first()
+    between = F.sequence(F.lit(span["lo"]).cast("timestamp"), F.lit(span["hi"]).cast("timestamp"), F.make_dt_interval(F.lit(0), F.lit(1)))
+    rows = whole.join(sums, ["oris", "boiler"]).withColumn("hour_ts", F.explode(between)).join(hours.select("hour_ts").distinct(), "hour_ts", "left_semi")
     keyed = rows.withColumn("hour_key", hour_key(standard_time(F.col("hour_ts"), F.col("tz"))))
     return keyed.join(cem, ["oris", "boiler", "hour_key"], "left").withColumn("amount", F.col("total") * cem_share(F.col("pollutant"))).select(*by, "hour_ts", "amount", "unit")
 

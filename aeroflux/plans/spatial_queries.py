@@ -13,7 +13,7 @@ from aeroflux.operators import surrogates as sg
 from aeroflux.operators.grids import Grid, Projection
 from aeroflux.plans.inventory_queries import emissions_of
 from aeroflux.plans.temporal_queries import HOURLY, hourly_of
-from aeroflux.plans.views import numbers, oracle, view
+from aeroflux.plans.views import numbers, oracle, run, view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,10 +141,15 @@ def projected_stacks(spark, sf_dir):
     return view(spark, sf_dir, "stacks").select("source_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("SELECT source_id, cast(floor((lat - 25) / 0.5) AS int) AS row, cast(floor(lon + 125) AS int) AS col, 1.0 AS weight FROM {stacks} WHERE lon > -125 AND lat > 25 AND (lat - 25) / 0.5 <> floor((lat - 25) / 0.5) AND lon <> floor(lon)")
+EDGED = "SELECT source_id, CASE WHEN source_id % 3 = 0 THEN floor(lon) ELSE lon END AS lon, CASE WHEN source_id % 4 = 0 THEN floor(lat) ELSE lat END AS lat FROM {stacks}"
+
+
+@query(f"""SELECT p.source_id, r.i AS row, c.i AS col, round(1.0 / count(*) OVER (PARTITION BY p.source_id), 6) AS weight FROM ({EDGED}) p
+JOIN {numbers(50, "r(i)")} ON p.lat >= 25 + 0.5 * r.i AND p.lat <= 25.5 + 0.5 * r.i JOIN {numbers(60, "c(i)")} ON p.lon >= -125 + c.i AND p.lon <= -124 + c.i""")
 def stacks_in_cells(spark, sf_dir):
-    stacks = view(spark, sf_dir, "stacks").where("lon > -125 AND lat > 25 AND (lat - 25) / 0.5 <> floor((lat - 25) / 0.5) AND lon <> floor(lon)")
-    return grids.points_to_cells(stacks, WIDE, "lon", "lat").select("source_id", "row", "col", "weight")
+    """Every third stack is moved to a meridian and every fourth to a parallel that cells share: up to four cells have a part of it."""
+    stacks = run(spark, sf_dir, EDGED)
+    return grids.points_to_cells(stacks, WIDE, "lon", "lat").select("source_id", "row", "col", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT source_id, s.shape_id AS row, 0 AS col, round(1.0 / count(*) OVER (PARTITION BY source_id), 6) AS weight FROM (SELECT source_id, abs(lon) - 67.0 AS x, lat - 3.0 AS y FROM {stacks}) p JOIN {shapes} s ON p.x BETWEEN s.x1 AND s.x2 AND p.y BETWEEN s.y1 AND s.y2")
@@ -166,14 +171,14 @@ def wind_speeds(spark, sf_dir):
     return met.wind_speed(rows.select("row", "col", "k", "u"), rows.select("row", "col", "k", "v"), []).withColumn("wind", F.round("wind", 6))
 
 
-AIR = """SELECT row_i AS row, col_i AS col, k, (ph_sum - first_value(ph_sum) OVER w) / 9.80665 AS height, (theta + 300) * power((100000.0 - k * 4000.0) / 101300.0, 0.2854) AS temp, sqrt(u * u + v * v) AS wind,
-coalesce((theta - lag(theta) OVER w) / nullif((ph_sum - lag(ph_sum) OVER w) / 9.80665, 0), 0.0) AS grad, power((100000.0 - k * 4000.0) / 101300.0, 0.2854) AS exner FROM {met} WINDOW w AS (PARTITION BY row_i, col_i ORDER BY k)"""
+AIR = """SELECT row_i AS row, col_i AS col, k, (ph_sum - first_value(ph_sum) OVER w) / 9.80665 AS height, (theta + 300) * power((100000.0 * exp(-0.04 * k)) / 101300.0, 0.2854) AS temp, sqrt(u * u + v * v) AS wind,
+coalesce((theta - lag(theta) OVER w) / nullif((ph_sum - lag(ph_sum) OVER w) / 9.80665, 0), 0.0) AS grad, power((100000.0 * exp(-0.04 * k)) / 101300.0, 0.2854) AS exner FROM {met} WINDOW w AS (PARTITION BY row_i, col_i ORDER BY k)"""
 
 
 def air_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "met").withColumnRenamed("row_i", "row").withColumnRenamed("col_i", "col")
     high = met.layer_heights(rows, ["row", "col"], F.col("ph_sum")).withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
-    return met.stability(high, ["row", "col"], F.col("theta"), F.lit(100000.0) - F.col("k") * 4000.0, F.col("height"))
+    return met.stability(high, ["row", "col"], F.col("theta"), F.lit(100000.0) * F.exp(F.col("k") * -0.04), F.col("height"))
 
 
 @query(f"SELECT row, col, k, round(temp, 6) AS temp, round(grad, 9) AS dtheta_dz, round(grad / temp * exner, 9) AS s1, grad >= 0.005 AS stable FROM ({AIR}) a")

@@ -47,6 +47,8 @@ FROM {events} GROUP BY 1, 2, 3""",
   cast(floor(p_partkey / 200) * 400.0 + p_size AS double) AS ph_sum, cast(p_retailprice AS double) / 100 AS theta, cast(1.0 + p_size / 10.0 AS double) AS u, cast(2.0 + p_size / 20.0 AS double) AS v FROM {part}""",
     "trend": """SELECT lpad(cast(c_nationkey AS string), 2, '0') AS state, substr(o_orderpriority, 1, 1) AS tier1, CASE o_orderstatus WHEN 'F' THEN 'NOX' WHEN 'O' THEN 'VOC' ELSE 'PM25' END AS pol, cast(year(o_orderdate) AS int) AS yr, sum(cast(o_totalprice AS double)) AS emis
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4""",
+    "raw": """SELECT cast(l_orderkey * 8 + l_linenumber AS bigint) AS id, cast((l_suppkey % 50 + 1) * 1000 + (l_partkey % 20) * 10 + l_linenumber AS string) AS place, lpad(cast(l_partkey % 1000000 AS string), 6, '0') AS part6,
+  CASE l_returnflag WHEN 'A' THEN 'NOX' WHEN 'N' THEN 'EXH__VOC' ELSE 'PM2_5' END AS pol, cast(l_extendedprice AS double) AS price, cast(l_quantity AS double) AS quantity, cast(l_linenumber AS int) AS n, cast(l_suppkey AS int) AS supp FROM {lineitem}""",
     "profile": """SELECT p_brand AS code, p_type AS species, sum(cast(p_retailprice AS double)) AS weight FROM {part} GROUP BY 1, 2""",
     "t_raw": f"""SELECT 'monthly' AS kind, p_brand AS code, i AS slot, cast(1 + (sum(p_partkey) + i * 7) % 5 AS double) AS fraction FROM {{part}} CROSS JOIN {numbers(12)} GROUP BY 2, 3
 UNION ALL SELECT 'weekly', p_brand, i, cast(1 + (sum(p_partkey) + i * 3) % 4 AS double) FROM {{part}} CROSS JOIN {numbers(7)} GROUP BY 2, 3

@@ -222,3 +222,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "tab"), sep="\t", header=True).count() == 2
     unit = one(spark, v=2.0, u="kmol", k="kg").select(gridding.per_area(F.col("v"), F.col("u"), 2.0, 1.0).alias("gas"), gridding.per_area(F.col("v"), F.col("k"), 2.0, 1.0).alias("pm")).first()
     assert unit["gas"] == 1000 and unit["pm"] == pytest.approx(2e9 / 2000 / 1000 / 3600)
+
+
+def test_points_with_one_name_keep_their_own_weights(spark):
+    shapes = spark.createDataFrame([(k, [[(x, y) for x, y in ((k, 0.0), (k + 1.0, 0.0), (k + 1.0, 1.0), (k, 1.0))]]) for k in (0.0, 1.0)], "shape_id double, rings array<array<struct<x:double,y:double>>>")
+    cells = grids.irregular_grid(shapes.withColumn("shape_id", F.col("shape_id").cast("int")), "poly", "shape_id")
+    points = spark.createDataFrame([("s", 1.0, 0.5), ("s", 0.5, 0.5), (None, 1.5, 0.25), (None, 9.0, 9.0)], "source_id string, x double, y double")
+    got = sorted((r["x"], r["row"], r["weight"]) for r in grids.points_to_irregular(points, cells, 10.0).collect())
+    assert got == [(0.5, 0, 1.0), (1.0, 0, 0.5), (1.0, 1, 0.5), (1.5, 1, 1.0)]
+
+
+def test_air_without_warmth_or_thickness(spark):
+    rows = [(0, 0, 20.0, 0.0), (0, 1, 21.0, 40.0), (0, 2, 25.0, 40.0)]
+    air = spark.createDataFrame(rows, "c int, k int, theta double, height double")
+    got = met.stability(air, ["c"], F.col("theta"), F.lit(100000.0), F.col("height")).orderBy("k").collect()
+    assert got[0]["dtheta_dz"] == 0 and got[1]["dtheta_dz"] == pytest.approx(1 / 40) and got[2]["dtheta_dz"] is None
+    for theta, pressure in ((F.col("theta") - 320.0, F.lit(1e5)), (F.col("theta"), F.lit(0.0))):
+        with pytest.raises(Exception, match="over 0"):
+            met.stability(air, ["c"], theta, pressure, F.col("height")).collect()
