@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroflux.operators.emissions import SPECIES, amount, clipped, total_unit
+from aeroflux.operators.met import plume_layer
 
 CELL = ["grid", "row", "col"]
 
@@ -20,6 +22,30 @@ class Outputter(Protocol):
     def write(self, df: DataFrame) -> None: ...
 
 
+@dataclass(frozen=True)
+class ParquetOutput:
+    """An Outputter of Parquet by grid and date; points get the layer of their plume in the air ``met``, whose columns of air are named by ``by``."""
+
+    path: str
+    met: DataFrame
+    by: tuple[str, ...]
+    kemit: int
+
+    def layer(self, df: DataFrame) -> DataFrame:
+        return plume_layer(df, self.met, list(self.by), self.kemit)
+
+    def write(self, df: DataFrame) -> None:
+        write_gridded(df, self.path)
+
+
+def gridded_output(out: Outputter, areas: DataFrame, area_cells: DataFrame, area_on: list[str], points: DataFrame, point_cells: DataFrame, point_on: list[str]) -> DataFrame:
+    """Hours of areas (layer 0) and of points (in their plumes' layers) in the cells of their grids, written through ``out`` and returned."""
+    both = gridded_hourly(areas, area_cells, area_on).unionByName(gridded_hourly(out.layer(points), point_cells, point_on))
+    whole = both.groupBy("hour_ts", "grid", "layer", "row", "col", *SPECIES).agg(F.sum("value").alias("value"), F.min("unit").alias("unit"))
+    out.write(whole)
+    return whole
+
+
 def spatialize(emissions: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
     """emissions x the cells of their shape or point: ``on`` names the columns that cells are keyed by."""
     return emissions.join(cells.select(*on, *CELL, "weight"), on)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from aeroflux.operators import grids, gridding, met
 from aeroflux.operators import emissions as em
 from aeroflux.operators import surrogates as sg
 from aeroflux.operators.grids import Grid, Projection
+from aeroflux.operators.temporal import steps
 from aeroflux.plans.inventory_queries import emissions_of
 from aeroflux.plans.temporal_queries import HOURLY, hourly_of
 from aeroflux.plans.views import numbers, oracle, run, view
@@ -206,6 +209,58 @@ _head, _rest = oracle(PLUME).split("\nWITH air AS ", 1)
 ORACLE_SQL["plume_layers"] = f"{_head},\nair AS {_rest}"
 
 
+CELLS_OF_STACKS = f"""SELECT p.source_id, r.i AS row, c.i AS col, 1.0 / count(*) OVER (PARTITION BY p.source_id) AS weight FROM ({EDGED}) p
+JOIN {numbers(50, "r(i)")} ON p.lat >= 25 + 0.5 * r.i AND p.lat <= 25.5 + 0.5 * r.i JOIN {numbers(60, "c(i)")} ON p.lon >= -125 + c.i AND p.lon <= -124 + c.i"""
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one; where none is set, as in tests, under a temporary one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='aeroflux-')}/{name}-{uuid.uuid4().hex}"
+
+
+def hourly_with_plumes(spark, sf_dir):
+    """A day of area and point sources through an Outputter: stacks in the layers of their plumes, written as Parquet and read again."""
+    air = air_of(spark, sf_dir)
+    out = gridding.ParquetOutput(shared_path(spark, "hours"), air, ("row", "col"), air.agg(F.max("k") + 1).first()[0])
+    start = F.lit("1996-06-30 12:00:00").cast("timestamp")
+    stacks = view(spark, sf_dir, "stacks").withColumn("row", (F.col("source_id") % 20).cast("int")).withColumn("col", (F.col("source_id") % 10).cast("int"))
+    points = steps(stacks, start, start + F.make_dt_interval(F.lit(1))).select("*", F.lit("SO2").alias("pollutant"), F.lit("").alias("prefix"), (F.col("diam_m") * F.col("vel_ms")).alias("amount"), F.lit("kg").alias("unit"))
+    places = grids.points_to_cells(run(spark, sf_dir, EDGED), WIDE, "lon", "lat")
+    gridding.gridded_output(out, shaped(hourly_of(spark, sf_dir)), sg.normalise_surrogate(surrogate_of(spark, sf_dir)), ["shape_id"], points, places, ["source_id"])
+    return spark.read.parquet(out.path).select("hour_ts", "grid", "layer", "row", "col", "pollutant", F.coalesce("prefix", F.lit("")).alias("prefix"), F.round("value", 3).alias("value"))
+
+
+_ctes, _last = PLUME.split("\nSELECT s.source_id", 1)
+QUERIES["hourly_with_plumes"] = hourly_with_plumes
+_head, _rest = oracle(
+    f"""{_ctes},
+plume AS (SELECT s.source_id{_last})
+SELECT hour_ts, grid, layer, row, col, pollutant, prefix, round(sum(value), 3) AS value FROM (
+SELECT i.hour_ts, n.grid, 0 AS layer, n.row, n.col, i.pollutant, i.prefix, i.amount * n.weight AS value FROM ({HOURLY}) i JOIN ({NORMAL}) n ON n.shape_id = {SHAPE}
+UNION ALL SELECT h.hour_ts, 'us', p.layer, c.row, c.col, 'SO2', '', s.diam_m * s.vel_ms * c.weight FROM {{stacks}} s JOIN plume p ON p.source_id = s.source_id JOIN ({CELLS_OF_STACKS}) c ON c.source_id = s.source_id
+CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1996-06-30 12:00:00', TIMESTAMP '1996-07-01 11:00:00', INTERVAL 1 HOUR)) AS hour_ts) h) x GROUP BY ALL"""
+).split("\nWITH air AS ", 1)
+ORACLE_SQL["hourly_with_plumes"] = f"{_head},\nair AS {_rest}"
+
+CORNERS = ", ".join(f"' || cast(cast({x} AS double) AS varchar) || ' ' || cast(cast({y} AS double) AS varchar) || '" for x, y in (("col * 5.0", "row * 5.0"), ("col * 5.0 + 5", "row * 5.0"), ("col * 5.0 + 5", "row * 5.0 + 5"), ("col * 5.0", "row * 5.0 + 5"), ("col * 5.0", "row * 5.0")))
+
+
+@query(f"SELECT row, col, shape_id, round(weight, 9) AS weight, CASE WHEN covered THEN 'T' ELSE 'F' END AS covered, 'POLYGON (({CORNERS}))' AS geometry FROM ({NORMAL}) n")
+def exported_surrogate(spark, sf_dir):
+    """Cells of shapes with their polygons as text."""
+    cells = sg.normalise_surrogate(surrogate_of(spark, sf_dir))
+    return gridding.export_surrogate(cells, grids.regular_grid(spark, GRID)).withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT pollutant, prefix, round(sum(tons * 907.185), 0) AS total, 'kg' AS unit FROM {inv} GROUP BY ALL")
+def tabbed_report(spark, sf_dir):
+    """Totals written as tab-separated text with a header and read again."""
+    path = shared_path(spark, "report")
+    gridding.write_table(em.grand_totals(emissions_of(spark, sf_dir)), path, tabs=True)
+    back = spark.read.csv(path, sep="\t", header=True)
+    return back.select("pollutant", F.coalesce("prefix", F.lit("")).alias("prefix"), F.round(F.col("total").cast("double"), 0).alias("total"), "unit")
+
+
 @query("SELECT n.n_nationkey AS shape_id, count(*) AS cells, sum(r.i * 8 + c.i) AS numbers FROM {nation} n JOIN " + numbers(7, "r(i)") + " ON r.i * 5.0 < 10.0 * floor(n.n_nationkey / 5) + 11 AND r.i * 5.0 + 5 > 10.0 * floor(n.n_nationkey / 5) JOIN " + numbers(8, "c(i)") + " ON c.i * 5.0 < 10.0 * (n.n_nationkey % 5) + 12 AND c.i * 5.0 + 5 > 10.0 * (n.n_nationkey % 5) GROUP BY 1")
 def cells_under_shapes(spark, sf_dir):
     """Which cells of a regular grid each shape touches, through tiles of the plane."""
