@@ -1,6 +1,6 @@
 """Sharding by a k-d tree: recursive splits at distributed weighted medians along the widest metadata dimension, until leaves reach the target bytes.
 
-DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that is large against a leaf is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median, and only bin totals (nodes x BINS rows at most) reach the driver.
+DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that outweighs both PIECE of a leaf and the largest row is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median, and one row a node reaches the driver.
 
 Defined results: a null text counts as no bytes and null texts are one group; null metadata sorts first; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -16,8 +16,8 @@ from aeroflux.llm.common import checkpoint
 
 #: Bins of a histogram pass, and passes at most: 2**48 positions of a coordinate are told apart.
 BINS, PASSES = 4096, 4
-#: A point weighs at most this share of a leaf; larger groups of equal texts are dealt into pieces.
-PIECE = 1 / 64
+#: A group of equal texts stays whole up to this share of a leaf, or up to the size of the largest row, which can't be cut either.
+PIECE = 1 / 8
 #: A split may miss its share by this part of a leaf.
 TOLERANCE = 1 / 256
 #: Bytes that a row costs besides its text.
@@ -70,12 +70,12 @@ def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int
             F.xxhash64("text").alias("hash"),
         ).withColumn("row_id", F.monotonically_increasing_id())
     )
-    total = meta.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, largest = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     leaves = shards or max(1, round(total / target_bytes))
-    limit = max(1, int(total / leaves * PIECE))
+    limit = max(1, int(total / leaves * PIECE), min(largest, total // leaves // 4))
     group = ["hash", "text_crc32", "size"]
     groups = meta.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "source", "lang")).alias("first"))
-    # the pieces of large groups: fewer than leaves / PIECE of them, so the table can be broadcast
+    # the pieces of large groups: fewer than leaves / PIECE of them, in any case, so the table can be broadcast
     heavy = groups.where(F.col("copies") * F.col("size") > limit).where(F.col("copies") > 1).select(*group, F.ceil(F.col("copies") * F.col("size") / limit).cast("int").alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "row_id"), F.col("pieces").cast("long")).cast("int"), F.lit(0))
     rows = checkpoint(meta.join(F.broadcast(heavy), group, "left").withColumn("piece", piece).drop("pieces"))
@@ -83,78 +83,75 @@ def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int
     points = rows.groupBy(*group, "piece").agg(F.sum("size").alias("weight"), F.min(F.struct("doc_id", "source", "lang")).alias("first"))
     x = coordinates(F.col("first.source"), F.col("first.lang"), F.col("size"), F.col("first.doc_id"), F.xxhash64(identity))
     points = checkpoint(points.select(*group, "piece", "weight", *[c.alias(k) for k, c in x.items()]))
-    splits = grow(points, leaves, total)
-    placed = points.select(*group, "piece", leaf_of(splits, 0, leaves).alias("shard"))
+    placed = grow(points, leaves, total).select(*group, "piece", "shard")
     return rows.join(placed, [*group, "piece"]).select("row_id", "doc_id", "size", "text_crc32", "shard")
 
 
-#: A split: dimension and cut; points below the cut go left.
-Split = tuple[str, int]
+def grow(points: DataFrame, leaves: int, total: int) -> DataFrame:
+    """points with shard, the number of their leaf, level by level.
 
+    A node is named by its first leaf. The tables of a level (one row a node: its split, or the part of its widest dimension that holds the median) have at most ``leaves`` rows, so they may be broadcast; points carry their node from level to level.
+    """
+    spark = points.sparkSession
+    points = points.withColumn("shard", F.lit(0).cast("long"))
+    level = {0: leaves}
+    while level := {first: count for first, count in level.items() if count > 1}:
+        extents = points.groupBy("shard").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
+        nodes = {}
+        for r in extents.collect():  # one row a node
+            if (count := level.get(r["shard"])) is not None:
+                widest = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
+                nodes[r["shard"]] = {"dimension": widest, "low": r[f"low_{widest}"], "high": r[f"high_{widest}"] + 1, "below": 0, "want": r["weight"] * (count // 2) / count}
+        if not nodes:
+            break
+        cuts = [(first, nodes[first]["dimension"], cut, first + level[first] // 2) for first, cut in _medians(points, dict(nodes), total / leaves * TOLERANCE).items()]
+        splits = spark.createDataFrame(cuts, "shard long, dimension string, cut long, right long")
+        moved = points.join(F.broadcast(splits), "shard", "left")
+        points = checkpoint(moved.withColumn("shard", F.when(_along(F.col("dimension")) >= F.col("cut"), F.col("right")).otherwise(F.col("shard"))).drop("dimension", "cut", "right"))
+        level = {half: n for first, count in level.items() for half, n in ((first, count // 2), (first + count // 2, count - count // 2))}
+    return points
 
-def leaf_of(splits: dict[tuple[int, int], Split], first: int, count: int) -> Column:
-    """The number of the leaf that a point falls into, as nested CASE expressions of the tree."""
-    if count <= 1 or (first, count) not in splits:
-        return F.lit(first)
-    dimension, cut = splits[first, count]
-    left = count // 2
-    return F.when(F.col(dimension) < F.lit(cut), leaf_of(splits, first, left)).otherwise(leaf_of(splits, first + left, count - left))
 
+def _along(dimension: Column) -> Column:
+    """A point's coordinate along the named dimension."""
+    value = F.lit(None).cast("long")
+    for d in DIMENSIONS:
+        value = F.when(dimension == d, F.col(d)).otherwise(value)
+    return value
 
-def grow(points: DataFrame, leaves: int, total: int) -> dict[tuple[int, int], Split]:
-    """Splits by (first leaf, number of leaves) of a node; one level at a time."""
-    splits: dict[tuple[int, int], Split] = {}
-    level = [(0, leaves)]
-    while level := [n for n in level if n[1] > 1]:
-        node = leaf_of(splits, 0, leaves)
-        # the extent of every node along every dimension: one row a node
-        extents = points.groupBy(node.alias("node")).agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
-        found = {r["node"]: r for r in extents.collect()}
-        open_nodes = {}
-        for first, count in level:
-            if (r := found.get(first)) is not None:
-                widest = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
-                open_nodes[first] = {"count": count, "dimension": widest, "low": r[f"low_{widest}"], "high": r[f"high_{widest}"] + 1, "below": 0, "weight": r["weight"], "want": r["weight"] * (count // 2) / count}
-        for first, cut in _medians(points, node, dict(open_nodes), total / leaves * TOLERANCE).items():
-            splits[first, open_nodes[first]["count"]] = (open_nodes[first]["dimension"], cut)
-        level = [half for first, count in level for half in ((first, count // 2), (first + count // 2, count - count // 2))]
-    return splits
 
+def _medians(points: DataFrame, nodes: dict[int, dict], tolerance: float) -> dict[int, int]:
+    """The cut of each node at which the weight below comes nearest to what is wanted.
 
-def _medians(points: DataFrame, node: Column, nodes: dict[int, dict], tolerance: float) -> dict[int, int]:
-    """The cut of each node at which the weight below comes nearest to what is wanted."""
+    A pass counts BINS bins of each node and finds the one that holds the median; one row a node comes back.
+    """
+    spark = points.sparkSession
     cuts: dict[int, int] = {}
     for _ in range(PASSES):
         if not nodes:
             break
-        value, width, low = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        inside = F.lit(False)
-        for first, n in nodes.items():
-            here = node == first
+        for n in nodes.values():
             n["width"] = max(1, math.ceil((n["high"] - n["low"]) / BINS))
-            value = F.when(here, F.col(n["dimension"])).otherwise(value)
-            width, low = F.when(here, F.lit(n["width"])).otherwise(width), F.when(here, F.lit(n["low"])).otherwise(low)
-            inside = inside | (here & (F.col(n["dimension"]) >= n["low"]) & (F.col(n["dimension"]) < n["high"]))
-        binned = points.where(inside).select(node.alias("node"), F.floor((value - low) / width).cast("int").alias("bin"), "weight")
-        bins: dict[int, list[tuple[int, int]]] = {}
-        for r in binned.groupBy("node", "bin").agg(F.sum("weight").alias("weight")).collect():
-            bins.setdefault(r["node"], []).append((r["bin"], r["weight"]))
+        asked = spark.createDataFrame([(first, n["dimension"], n["low"], n["high"], n["width"], n["below"], float(n["want"])) for first, n in nodes.items()], "shard long, dimension string, low long, high long, width long, below long, want double")
+        value = _along(F.col("dimension"))
+        inside = points.join(F.broadcast(asked), "shard").where((value >= F.col("low")) & (value < F.col("high")))
+        bins = inside.groupBy("shard", F.floor((value - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("weight").alias("weight"), F.first("below").alias("below"), F.first("want").alias("want"))
+        through = F.col("below") + F.sum("weight").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        reached = bins.withColumn("through", through).where(F.col("through") >= F.col("want")).groupBy("shard").agg(F.min_by(F.struct("bin", "weight", "through"), "bin").alias("b"))
+        found = {r["shard"]: r["b"] for r in reached.collect()}
         for first, n in list(nodes.items()):
-            below = n["below"]
-            for number, weight in sorted(bins.get(first, [])):
-                start = n["low"] + number * n["width"]
-                if below + weight >= n["want"]:
-                    edges = [(abs(below - n["want"]), start), (abs(below + weight - n["want"]), start + n["width"])]
-                    if n["width"] == 1 or min(edges)[0] <= tolerance:
-                        cuts[first] = min(edges)[1]
-                        del nodes[first]
-                    else:
-                        n |= {"below": below, "low": start, "high": start + n["width"], "cut": min(edges)[1]}
-                    break
-                below += weight
-            else:
+            hit = found.get(first)
+            if hit is None:
                 cuts[first] = n["high"]
                 del nodes[first]
+                continue
+            start, below = n["low"] + hit["bin"] * n["width"], hit["through"] - hit["weight"]
+            edges = [(abs(below - n["want"]), start), (abs(hit["through"] - n["want"]), start + n["width"])]
+            if n["width"] == 1 or min(edges)[0] <= tolerance:
+                cuts[first] = min(edges)[1]
+                del nodes[first]
+            else:
+                n |= {"below": below, "low": start, "high": start + n["width"], "cut": min(edges)[1]}
     return cuts | {first: n["cut"] for first, n in nodes.items()}
 
 
