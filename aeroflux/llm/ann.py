@@ -40,12 +40,18 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.int8), scale
 
 
-def bounds(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scaled(x: np.ndarray, together: bool) -> np.ndarray:
+    """x divided by a power of two, one for each row or one for all, so that no component is over 1 and no product overflows. Neither changes the order of a query's candidates."""
+    most = np.abs(x).max(axis=None if together else 1, initial=0.0, keepdims=not together)
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
+def bounds(q: np.ndarray, c: np.ndarray, quantised: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Approximate products of all pairs and how far each can be from the truth.
 
     |q.c - q'.c'| <= |q - q'|_1 max|c| + |q'|_1 max|c - c'|, each error of a component being at most half a scale. Sums of int8 products stay below 2**24 for up to 1,040 components, so a float32 product of the codes is exact there; longer vectors use float64.
     """
-    (q8, q_scale), (c8, c_scale) = quantise(q), quantise(c)
+    (q8, q_scale), (c8, c_scale) = quantise(q), quantised or quantise(c)
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     about = (q8.astype(kind) @ c8.astype(kind).T) * q_scale[:, None] * c_scale[None, :]
     # both parts of the bound are products of a query's and a candidate's number
@@ -83,9 +89,11 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     most_alike = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1
     wanted = (k + 1) * most_alike  # the query's own row, and identifiers with several vectors
     found = []
+    even = scaled(vectors, together=True)
+    codes = quantise(even)
     for at in range(0, len(query_ids), STRIP):
         q_ids, q = query_ids[at : at + STRIP], queries[at : at + STRIP]
-        about, error = bounds(q, vectors)
+        about, error = bounds(scaled(q, together=False), even, codes)
         if len(ids) > wanted:
             least = -np.partition(-(about - error), wanted - 1, axis=1)[:, wanted - 1]
             rows, columns = np.nonzero(about + error >= least[:, None])
@@ -112,7 +120,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     prepare(vectors.sparkSession)
 
     def side(df: DataFrame) -> DataFrame:
-        return df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))  # cast in the tiles: floats are half as much to move
 
     q, c = side(queries), side(vectors)
     n_q, n_c = q.count(), c.count()
@@ -127,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        part = lambda t: (t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1))
+        part = lambda t: (t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1))
         return pa.table([pa.array(x, k) for x, k in zip(tile(*part(left), *part(right), k), kinds)], names)
 
     tiles = q.groupBy("qb", "cb", "d").cogroup(c.groupBy("qb", "cb", "d")).applyInArrow(run, "query_id long, vec_id long, score double")
