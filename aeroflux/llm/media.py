@@ -58,13 +58,19 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     (width, height, *maxval), at = _netpbm_header(data, 2 if bitmap else 3)
     channels = 3 if colour else 1
     count = width * height * channels
+    if maxval and not 0 < maxval[0] < 65536:
+        raise ValueError("netpbm maxval out of range")
     if plain:
         body = b"\n".join(line.split(b"#")[0] for line in data[at - 1 :].split(b"\n"))
         if bitmap:
-            digits = np.frombuffer(b"".join(body.split()), np.uint8)[:count] - 48
+            digits = np.frombuffer(b"".join(body.split()), np.uint8)[:count] - np.uint8(48)
+            if (digits > 1).any():
+                raise ValueError("netpbm samples out of range")
             flat = (1 - digits) * 255
         else:
             flat = np.array(body.split()[:count], dtype=np.int64)
+            if flat.size and (flat.min() < 0 or flat.max() > maxval[0]):
+                raise ValueError("netpbm samples out of range")
             flat = flat.astype(np.uint8 if maxval[0] < 256 else np.uint16)
     elif bitmap:
         row_bytes = (width + 7) // 8
@@ -74,6 +80,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         kind_of = np.uint8 if maxval[0] < 256 else np.dtype(">u2")
         flat = np.frombuffer(data, kind_of, count, at)
         flat = flat if maxval[0] < 256 else flat.astype(np.uint16)
+        if flat.size and maxval[0] not in (255, 65535) and flat.max() > maxval[0]:
+            raise ValueError("netpbm samples out of range")
     if flat.size < count:
         raise ValueError("netpbm samples are missing")
     return flat.reshape(height, width, channels)
@@ -168,10 +176,11 @@ def describe(data: bytes | None, side: int = 32) -> dict:
         return empty | {"error": "null media"}
     try:
         image = decode(data)
-    except (ValueError, IndexError, TypeError) as error:
-        return empty | {"error": str(error)}
+    except (ValueError, IndexError, TypeError, OverflowError, MemoryError) as error:
+        return empty | {"error": str(error) or type(error).__name__}
     height, width, channels = image.shape
-    thumb = npy(np.round(area_resize(grey(image), side, side)).astype(np.uint8)) if image.size else None
+    scale = 257 if image.dtype == np.uint16 else 1  # thumbnails have eight bits
+    thumb = npy(np.round(area_resize(grey(image), side, side) / scale).astype(np.uint8)) if image.size else None
     return {"height": height, "width": width, "channels": channels, "dhash": dhash(image), "thumbnail": thumb, "tiles": to_tiles(image), "error": None}
 
 
