@@ -4,13 +4,14 @@ A document's tokens are cut into full windows of the largest tier; what remains
 
 Each task packs the rows of its own input split and carries what is left from batch to batch, so tokens are never shuffled and memory stays bounded; at the end of a split the rest goes into full windows and then into windows of powers of two, so no padding is left. A lost executor repeats its splits with the same result.
 
-Defined results: a null text is empty and has the end token alone; a null doc_id is kept; rows that repeat are packed as often as they occur; an empty table gives no sequence; other columns are ignored.
+Defined results: a null text is empty and has the end token alone; a null doc_id is kept; rows that repeat are packed as often as they occur; an empty table gives no sequence; the text of an added token is that token; other columns are ignored. The last step group of each split and tier holds what is left, so it may be smaller than the others.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -40,21 +41,23 @@ _BOUNDARY = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 class Encoder:
-    """Byte-level BPE ids. The rank file holds the same vocabulary as the tokenizers file and gives the same ids several times faster."""
+    """Byte-level BPE ids. The rank file holds the same vocabulary as the tokenizers file and gives the same ids several times faster; the tokens that the tokenizers file adds are found in texts as it finds them."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, tokenizers_file: str | None = None):
         import public_tokenizers
         import tiktoken
 
+        with open(tokenizers_file or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The text's ids and the end token."""
         ids: list[int] = []
         for part in parts_of(text or ""):
-            ids += self.encoding.encode_ordinary(part)
+            ids += self.encoding.encode(part, allowed_special="all")
         ids.append(END)
         return np.array(ids, "<u4")
 
