@@ -33,14 +33,17 @@ _LETTER = regex.compile(r"\p{L}")
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, from rows (doc_id, text, lang).
 
-    The sample is the documents with the smallest hash of the identifier, at most ``docs_per_lang`` of a language, each giving at most its share of twice the dictionary; so the driver gets a bounded number of bytes for each language.
+    The sample is the documents with the smallest hash of the identifier, at most ``docs_per_lang`` of a language, each giving at most its share of four times the dictionary, in four pieces spread over the whole text; so the driver gets a bounded number of bytes for each language. Rows that share a doc_id give the text that sorts first.
     """
     share = max(256, 4 * dictionary_bytes // docs_per_lang)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # the sort sees identifiers only; texts are fetched for the bounded sample
     picked = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
-    rows = usable.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "n", F.lower("text").substr(F.lit(1), F.lit(share)).alias("piece")).collect()
+    text, quarter = F.lower("text"), share // 4
+    spread = F.concat_ws("\n", *[text.substr((F.lit(1) + F.floor((F.length("text") - quarter) * k / 3)).cast("int"), F.lit(quarter)) for k in range(4)])
+    piece = F.when(F.length("text") <= share, text).otherwise(spread)
+    rows = usable.join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min(piece).alias("piece")).collect()
     found: dict[str, list[tuple[int, bytes]]] = {}
     for row in rows:
         found.setdefault(row["lang"], []).append((row["n"], row["piece"].encode()))

@@ -104,7 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CL
                 parts.append([(chunks[k][: np.count_nonzero(chunks[k])] - 1).astype(np.uint8).tobytes() for k in keep])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "label", "chunks"])
 
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "label").agg(F.min("text").alias("text"))  # one text for an identifier
     rows = joined.mapInArrow(run, "doc_id long, label int, chunks array<binary>").collect()
     return sorted((r["doc_id"], r["label"], [bytes(c) for c in r["chunks"]]) for r in rows)
 

@@ -12,7 +12,7 @@ from aeroflux.llm.common import crc_of_id, table
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionaries from the learning rows, then every whole text."""
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_of_id() % 3 == 1
+    held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))  # a null doc_id isn't held out
     dictionaries = langid.learn(docs.where(~held_out & F.col("lang").isNotNull()))
     return langid.identify(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
@@ -29,7 +29,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = crc_of_id() % 5 == 0
+    held_out = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))  # a null doc_id isn't held out
     network = quality.train(quality.sample(docs, labels.where(~held_out)))
     return quality.score(docs, network).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

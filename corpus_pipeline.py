@@ -15,18 +15,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, does not reject."""
+    """Documents that the classifier, trained on the labelled ones, does not reject; null ids and repeated rows are judged by their texts like others."""
     network = quality.train(quality.sample(docs, table(spark, sf_dir, "labels")))
     return quality.keep(docs, network).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines whose template recurs across documents."""
+    """Texts without lines whose template recurs across documents; a text may end empty, a null text stays null."""
     return lines.drop_lines(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
+    """Of each group of near copies, the row with the smallest (doc_id, hash of the text), null last; rows without a word are one group."""
     return nearcopies.keep_one(docs).select(*COLUMNS)
 
 
@@ -35,7 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["id_key", "text_key"]
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_key"), F.xxhash64("text").alias("text_key"))
     times = mixing.mix(keyed, carry=tuple(keys)).groupBy(*keys).agg(F.sum("times").cast("int").alias("times")).where(F.col("times") > 0)
-    taken = keyed.dropDuplicates(keys).join(times, keys)
+    # of rows alike in both, the one whose other columns sort first
+    first = keyed.groupBy(*keys).agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select(*keys, "row.*")
+    taken = first.join(times, keys)
     return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

@@ -65,6 +65,29 @@ def test_ann_equals_brute_force(spark):
     assert ann.nearest(frame.limit(0), frame.limit(0), 5).count() == 0
 
 
+def test_ann_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 4)) * np.where(np.arange(60) % 3 == 0, 1e150, 1e-150)[:, None]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 20 = 0"), 6, query_block=2, candidate_block=16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in (0, 20, 40):
+        scores = sorted(((-sum(float(a) * float(b) for a, b in zip(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q))
+        assert [got[q][k] for k in range(1, 7)] == [i for _, i in scores[:6]]
+
+
+def test_equal_texts_stay_together(spark):
+    """Groups of equal texts are cut only where they outweigh a leaf's share and the largest row."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 30), "en", f"s{i % 3}") for i in range(400)]
+    rows += [(1000 + i, rows[i % 40][1], "fr", "s9") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r["doc_id"]: r["shard"] for r in sharding.shard_by_tree(frame, shards=12).collect()}
+    assert all(shard[1000 + i] == shard[i % 40] for i in range(80))
+    assert len(set(shard.values())) == 12
+
+
 def test_shards_are_near_equal_and_whole(docs, empty):
     rows = sharding.with_slots(sharding.shard_by_tree(docs, shards=4), 4).collect()
     source = corpus()
@@ -240,6 +263,14 @@ def test_media_forms_and_round_trips(spark):
     assert np.load(io.BytesIO(bytes(got[4]["tiles"][0]["npy"]))).shape == (2, 2, 1)
 
 
+def test_broken_media_give_a_reason():
+    for broken in (b"P2 1 1 255 12345678901234567890123", b"P5 99999999999 99999999999 255 ", b"P2 1 1 255 -5", b"P2 1 1 100 101", b"P5 1 1 0 a", b"P1 1 1 7", b"BM"):
+        got = media.describe(broken)
+        assert got["error"] and got["tiles"] is None, broken
+    wide = media.describe(b"P5 2 2 65535\n" + (np.array([300, 300, 300, 300], ">u2")).tobytes(), side=1)
+    assert np.lib.format.read_array(io.BytesIO(wide["thumbnail"])).tolist() == [[1]]
+
+
 def test_text_media_digest(docs):
     source = {r[0]: (r[1] or "").encode() for r in corpus()}
     for r in media.text_media_digest(docs).collect():
@@ -364,10 +395,9 @@ def test_ids_equal_the_tokenizers_file():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     encode = packing.Encoder()
     rng = random.Random(1)
-    texts = ["", " ", "it's  two\n\nlines\t", "ÀÉ ñ 漢字 😀 123,456", words(rng, 300), "a" * 3000]
+    texts = ["", " ", "it's  two\n\nlines\t", "ÀÉ ñ 漢字 😀 123,456", words(rng, 300), "a" * 3000, "a<|endoftext|>b <|endoftext|><|endoftext|>", words(rng, 40) + "<|endoftext|>" + words(rng, 40)]
     for t in texts:
         assert encode(t)[:-1].tolist() == whole.encode(t, add_special_tokens=False).ids
     long = words(rng, 300) * 5
