@@ -301,10 +301,23 @@ def links(nodes: DataFrame, tables: list[tuple[int, ...]], radius: int, group: i
     return dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their component's smallest node) of links (a, b)."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if np.array_equal(x, y):
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        root = _settle(root)
+
+
 def components(edges: DataFrame, rows: int = LINKS) -> DataFrame:
     """(node, component) of all nodes on links (a, b); component is the smallest node reachable.
 
-    Large-star and small-star rounds: links are turned to point at the smallest neighbour until nothing changes, which takes few rounds even for long chains. Every round is written to the shared checkpoint folder. Links are few against what they were found in, so the tasks follow their number: ``rows`` for each.
+    Up to ``rows`` links, some MB, are joined in one task. More are turned in large-star and small-star rounds to point at the smallest neighbour until nothing changes, which takes few rounds even for long chains; every round is written to the shared checkpoint folder, and its tasks have ``rows`` links each.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -312,8 +325,17 @@ def components(edges: DataFrame, rows: int = LINKS) -> DataFrame:
 
     edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(edges)
-    while before[0]:
-        few = lambda df, tasks=math.ceil(before[0] / rows): df.coalesce(tasks)
+    if before[0] <= rows:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            node, component = joined(found["u"].to_numpy(), found["v"].to_numpy())
+            for i in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(component[i : i + (1 << 16)])], names=["node", "component"])
+
+        return checkpoint(edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long"))
+    while True:
+        few = lambda df, tasks=math.ceil(before[0] / max(rows, 1)): df.coalesce(tasks)
         edges = few(edges)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node point at the smallest neighbour of it

@@ -239,6 +239,7 @@ def test_bit_sliced_links_lose_nothing(spark):
             edges = simhash.links(nodes, tables, 4, group)
             assert group < 1000 or edges.count() <= len(tables) * len(fps)
             got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+            assert got == {r["node"]: r["component"] for r in simhash.components(edges, rows=3).collect()}  # in rounds
             assert all(got.get(i, i) == find(i) for i in range(len(fps)))
 
 
