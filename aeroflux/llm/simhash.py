@@ -111,36 +111,43 @@ def _planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(planes: np.ndarray, shift: int, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the comparisons (row i with row i + shift) set in the packed ``lanes`` are within the radius.
+    """Which of the comparisons (row i with row i + shift) set in the packed ``lanes`` are within the radius."""
+    words = np.flatnonzero(lanes)
+    out = np.zeros(len(lanes), np.uint64)
+    out[words] = compared(planes, words, np.full(len(words), shift), lanes[words], radius)
+    return out
+
+
+def compared(planes: np.ndarray, words: np.ndarray, shift: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
+    """Of the comparisons set in ``lanes``, 64 rows of a word with the rows ``shift`` behind, those within the radius.
 
-    Carry-save counters of ceil(log2(radius + 2)) planes count differing bits of 64 comparisons at a time and stick once over the radius.
+    Carry-save counters of ceil(log2(radius + 2)) planes count differing bits of 64 comparisons at a time and stick once over the radius; words without a comparison left are abandoned.
     """
-    jump, turn = divmod(shift, 64)
-    turn_left, back = np.uint64(turn), np.uint64((64 - turn) % 64)
-    words = np.flatnonzero(lanes)
-    alive = lanes[words]
+    last = planes.shape[1] - 1
+    turn = (shift % 64).astype(np.uint64)
+    back = (np.uint64(64) - turn) % np.uint64(64)
+    near = np.minimum(words + shift // 64, last)
+    far = np.where(turn > 0, np.minimum(near + 1, last), last)  # the last word is empty
+    out, place = np.zeros(len(words), np.uint64), np.arange(len(words))
+    alive = lanes.copy()
     levels = (radius + 1).bit_length()
     # counters start so that the top carry falls out exactly when the radius is exceeded
     start = (1 << levels) - 1 - radius
     counters = [np.full(len(words), np.uint64(0xFFFFFFFFFFFFFFFF) if start >> k & 1 else np.uint64(0)) for k in range(levels)]
-    last = planes.shape[1] - 1
     for k in range(planes.shape[0]):
         plane = planes[k]
-        there = plane[np.minimum(words + jump, last)]
-        if turn:
-            there = (there >> turn_left) | (plane[np.minimum(words + jump + 1, last)] << back)
-        carry = plane[words] ^ there
+        carry = plane[words] ^ ((plane[near] >> turn) | (plane[far] << back))
         for level in range(levels):
             counters[level], carry = counters[level] ^ carry, counters[level] & carry
         alive &= ~carry
         if k % 8 == 7:
             keep = alive != 0
             if not keep.all():
-                words, alive, counters = words[keep], alive[keep], [c[keep] for c in counters]
+                words, near, far, turn, back, place, alive = (x[keep] for x in (words, near, far, turn, back, place, alive))
+                counters = [c[keep] for c in counters]
                 if not len(words):
                     break
-    out = np.zeros(len(lanes), np.uint64)
-    out[words] = alive
+    out[place] = alive
     return out
 
 
@@ -198,26 +205,40 @@ def forest(groups: np.ndarray, fps: np.ndarray, radius: int, part: np.ndarray |
         _, first, inverse = np.unique(np.stack([groups, label[index]], axis=1), axis=0, return_index=True, return_inverse=True)
         root = first[inverse.ravel()]
     planes = _planes(fps)
-    shift, packed_at = 1, len(index)
+    shift, packed_at, batch = 1, len(index), 1
     while len(index) > shift:
-        mask = (groups[shift:] == groups[:-shift]) & (root[shift:] != root[:-shift])
-        if part is not None:
-            mask &= part[shift:] != part[:-shift]
-        if mask.any():
-            lanes = np.zeros(planes.shape[1], np.uint64)
-            packed = _bits(mask)
-            lanes[: len(packed)] = packed
-            for i in _indices(within(planes, shift, lanes, radius)).tolist():
-                a, b = i, i + shift
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                if a != b and (check is None or check(int(index[i]), int(index[i + shift]))):
-                    root[max(a, b)] = min(a, b)
-                    links.append((int(index[i]), int(index[i + shift])))
+        asked = []
+        stop = min(shift + batch, len(index))
+        for d in range(shift, stop):  # several distances at once
+            mask = (groups[d:] == groups[:-d]) & (root[d:] != root[:-d])
+            if part is not None:
+                mask &= part[d:] != part[:-d]
+            if mask.any():
+                lanes = _bits(mask)
+                words = np.flatnonzero(lanes)
+                asked.append((words, np.full(len(words), d), lanes[words]))
+        found = 0
+        if asked:
+            words, far, lanes = (np.concatenate(x) for x in zip(*asked))
+            lanes = compared(planes, words, far, lanes, radius)
+            for w, d, lane in zip(*(x[lanes != 0].tolist() for x in (words, far, lanes))):
+                found += lane.bit_count()
+                while lane:
+                    low = lane & -lane
+                    lane ^= low
+                    i = w * 64 + low.bit_length() - 1
+                    a, b = i, i + d
+                    while root[a] != a:
+                        a = root[a]
+                    while root[b] != b:
+                        b = root[b]
+                    if a != b and (check is None or check(int(index[i]), int(index[i + d]))):
+                        root[max(a, b)] = min(a, b)
+                        links.append((int(index[i]), int(index[i + d])))
             root = _settle(root)
-        shift += 1
+        # more at once while few are near and the words of a batch stay some thousands
+        batch = max(1, batch // 2) if found > 4096 else min(2 * batch, max(1, (1 << 16) // planes.shape[1]))
+        shift = stop
         # groups whose rows were all compared, or are all linked, are done
         alive = size > shift
         if alive.sum() < 0.7 * packed_at:
