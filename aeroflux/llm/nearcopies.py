@@ -25,6 +25,8 @@ WORDS = 5
 SIMILAR = (4, 5)
 BANDS, ROWS = 20, 5
 BITS, RADIUS, SMALL = 256, 60, 16
+#: Shingles (8 bytes each) that a block keeps decoded.
+HELD = 1 << 24
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -55,7 +57,10 @@ def band_keys(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    """Is the similarity of two sets, in order, at least SIMILAR."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges two sorted parts
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - common) and common > 0
 
 
@@ -129,17 +134,25 @@ def _judge(mine: list[bytes], its: list[bytes]) -> list[bool]:
 
 def _block(data: list[bytes], number: np.ndarray, label: np.ndarray, part: np.ndarray | None) -> list[tuple[int, int]]:
     prints, size = _prints(data)
-    sets: dict[bytes, np.ndarray] = {}
+    sets: dict[int, np.ndarray] = {}
+    held = 0
 
     def set_at(i: int) -> np.ndarray:
-        if data[i] not in sets:
-            if len(sets) >= 1024:
+        nonlocal held
+        if i not in sets:
+            if held > HELD:
                 sets.clear()
-            sets[data[i]] = _set_of(data[i])
-        return sets[data[i]]
+                held = 0
+            sets[i] = _set_of(data[i])
+            held += len(sets[i])
+        return sets[i]
+
+    def check(i: int, j: int) -> bool:
+        a, b = int(size[i]), int(size[j])
+        return min(a, b) * SIMILAR[1] >= max(a, b) * SIMILAR[0] and alike(set_at(i), set_at(j))
 
     def links(at: np.ndarray, radius: int) -> list[tuple[int, int]]:
-        found = forest(number[at], prints[at], radius, None if part is None else part[at], label[at], lambda i, j: alike(set_at(at[i]), set_at(at[j])))
+        found = forest(number[at], prints[at], radius, None if part is None else part[at], label[at], lambda i, j: check(int(at[i]), int(at[j])))
         return [(int(at[i]), int(at[j])) for i, j in found]
 
     # small sets without a filter; the two kinds overlap
