@@ -35,7 +35,7 @@ BROADCAST = 500_000
 
 def line_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, number inside the text, hash) of every line that has a word."""
-    words = Words(texts, exact=True)
+    words = Words(texts, exact=True, lower=False)
     number, hashes, *_ = words.lines(LEADING)
     text = words.line_text[number]
     first = np.searchsorted(words.line_text, np.arange(len(texts)))
@@ -165,6 +165,7 @@ def templates_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float
     # a leaf of fewer lines, or of a single text, has no template that recurs
     often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"))
     often = often.where((F.col("n") >= min_docs) & (F.col("a") < F.col("b"))).select("leaf", (F.col("x") < F.col("y")).alias("several"))
+    often = stored(often)  # a table's size is known, so few leaves are sent to the lines, and many meet them in a shuffle
     held = stored(lines.join(often, "leaf").select("node", "line", "leaf", "several", F.when(F.col("several"), F.col("data")).alias("data")))
     alike = templates(held.where("several").dropDuplicates(["line"]).select("line", "leaf", "data"), variable)
     has = checkpoint(held.select("line", "node").distinct().join(alike, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "node"))
@@ -182,14 +183,15 @@ def cleaned(texts: list[bytes | None], gone: np.ndarray | list[np.ndarray]) -> t
     out, n_lines, n_dropped = list(texts), [0 if t is None else t.count(b"\n") + 1 for t in texts], [0] * len(texts)
     for part in stretches([len(t or b"") for t in texts]):
         text, number, hashes = line_hashes(texts[part])
+        edges = np.searchsorted(text, np.arange(part.stop - part.start + 1))
         if isinstance(gone, np.ndarray):
             at = np.minimum(np.searchsorted(gone, hashes), max(len(gone) - 1, 0))
             hit = gone[at] == hashes if len(gone) else np.zeros(len(hashes), bool)
         else:
-            edges = np.searchsorted(text, np.arange(part.stop - part.start + 1))
             hit = np.concatenate([np.isin(hashes[a:b], gone[part.start + i]) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))] or [np.zeros(0, bool)])
         for i in np.unique(text[hit]).tolist():
-            lose = set(number[hit & (text == i)].tolist())
+            own = slice(edges[i], edges[i + 1])
+            lose = set(number[own][hit[own]].tolist())
             out[part.start + i] = b"\n".join(x for k, x in enumerate(texts[part.start + i].split(b"\n")) if k not in lose)
             n_dropped[part.start + i] = len(lose)
     return out, n_lines, n_dropped

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroflux.llm.common import checkpoint, parts_of_shuffle
+from aeroflux.llm.common import checkpoint, parts_of_shuffle, stored
 from aeroflux.llm.simhash import components
 
 #: Members of a star that one task holds; more are met as pairs of chunks.
@@ -30,7 +30,7 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 def stars(rows: DataFrame) -> DataFrame:
     """(lead, node) from rows (key, node), each once: who shares a key with the key's leader, the leader included."""
-    several = checkpoint(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n"))
+    several = stored(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n"))
     members = checkpoint(rows.join(several, "key").select("key", "node", "n"))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     lead = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("lead"))

@@ -50,9 +50,12 @@ def band_keys(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
         return own, np.zeros((0, BANDS), np.uint64)
     x, begin = (shingles >> np.uint64(32)).astype(np.uint32), at[own]
     keys = np.repeat(stir(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :], len(own), axis=0)
+    mixed = np.empty_like(x)
     for band in range(BANDS):
         for k in range(band * ROWS, (band + 1) * ROWS):
-            keys[:, band] = stir(keys[:, band] + np.minimum.reduceat((x ^ _XOR[k]) * _TIMES[k], begin))
+            np.bitwise_xor(x, _XOR[k], out=mixed)
+            np.multiply(mixed, _TIMES[k], out=mixed)
+            keys[:, band] = stir(keys[:, band] + np.minimum.reduceat(mixed, begin))
     return own, keys
 
 
@@ -164,7 +167,7 @@ def components_of(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     rows = sketches.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "keys").mapInArrow(_split, "key long, node long")
     members = stars(rows)
-    texts = docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text")).join(stored(members.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
     return connected(members, stored(texts.mapInArrow(_payload, "node long, data binary")), _judge, _block)
 
 

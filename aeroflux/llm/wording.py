@@ -27,23 +27,35 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; data has eight bytes more than the words need."""
-    out = size.astype(np.uint64) * _PRIME
-    eights = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1), writeable=False)
+def _lowered(x: np.ndarray) -> np.ndarray:
+    """Eight bytes in each number, A to Z in lower case: a byte's top bit marks it where both bounds hold."""
+    ones, low = np.uint64(0x0101010101010101), x & np.uint64(0x7F7F7F7F7F7F7F7F)
+    upper = ((low + ones * np.uint64(128 - 65)) ^ (low + ones * np.uint64(127 - 90))) & ~x & np.uint64(0x8080808080808080)
+    return x | (upper >> np.uint64(2))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, lower: bool, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each word in lower case and as it is, as far as wanted; data has eight bytes more than the words need."""
+    small = size.astype(np.uint64) * _PRIME
+    same = small.copy()
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     live = np.flatnonzero(size <= LONG_WORD)
     at = 0
     while len(live):
-        chunk = np.ascontiguousarray(eights[start[live] + at]).view("<u8").ravel()
+        chunk = eights[start[live] + at]
         left = size[live] - at
         used = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
         chunk = np.where(left >= 8, chunk, chunk & ((np.uint64(1) << used) - np.uint64(1)))
-        out[live] = stir(out[live] + chunk)
+        if lower:
+            small[live] = stir(small[live] + _lowered(chunk))
+        if exact:
+            same[live] = stir(same[live] + chunk)
         at += 8
         live = live[left > 8]
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
-    return out
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        small[i], same[i] = xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(word)
+    return small, same
 
 
 def _blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -61,13 +73,13 @@ def _blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
 class Words:
     """The words of some texts one after another.
 
-    ``lower`` are the hashes of the words with A to Z in lower case, ``exact`` (if wanted) of the words as they are, with one value for all words with a digit. ``text_at`` and ``line_at`` are the numbers of the words at which texts and lines begin, with one entry more than there are; ``line_text`` is the text of each line.
+    ``lower`` (unless not wanted) are the hashes of the words with A to Z in lower case, ``exact`` (if wanted) of the words as they are, with one value for all words with a digit. ``text_at`` and ``line_at`` are the numbers of the words at which texts and lines begin, with one entry more than there are; ``line_text`` is the text of each line.
     """
 
-    def __init__(self, texts: list[bytes | None], exact: bool = False):
+    def __init__(self, texts: list[bytes | None], exact: bool = False, lower: bool = True):
         texts = [t or b"" for t in texts]
         data = b"\n".join(texts)
-        starts, lower, same, feeds = [], [], [], []
+        starts, small, same, feeds = [], [], [], []
         for offset, block in _blocks(data):
             x = np.frombuffer(block + bytes(8), np.uint8)
             space = (x == 32) | ((x >= 9) & (x <= 13))
@@ -78,14 +90,14 @@ class Words:
             start, size = edges[0::2], edges[1::2] - edges[0::2]
             starts.append(start + offset)
             feeds.append(np.flatnonzero(x == 10) + offset)
-            lower.append(_hashes(x + ((x >= 65) & (x <= 90)).astype(np.uint8) * np.uint8(32), start, size))
+            low, whole = _hashes(x, start, size, lower, exact)
+            small.append(low)
             if exact:
-                digits = np.cumsum((x >= 48) & (x <= 57), dtype=np.int32)
-                whole = _hashes(x, start, size)
-                whole[digits[start + size - 1] - digits[start] + ((x[start] >= 48) & (x[start] <= 57)) > 0] = FIELD
+                digit = np.flatnonzero((x >= 48) & (x <= 57))
+                whole[np.searchsorted(start, digit, side="right") - 1] = FIELD
                 same.append(whole)
         start = np.concatenate(starts)
-        self.lower = np.concatenate(lower)
+        self.lower = np.concatenate(small) if lower else None
         self.exact = np.concatenate(same) if exact else None
         begins = np.r_[0, np.cumsum([len(t) + 1 for t in texts])][:-1] if texts else np.zeros(0, int)
         self.text_at = np.r_[np.searchsorted(start, begins), len(start)]
