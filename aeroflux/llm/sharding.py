@@ -1,6 +1,6 @@
 """Sharding by a k-d tree: recursive splits at distributed weighted medians along the widest metadata dimension, until leaves reach the target bytes.
 
-DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that outweighs both PIECE of a leaf and the largest row is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median, and one row a node reaches the driver.
+DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that outweighs both PIECE of a leaf and the largest row is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median. The tables of nodes stay on the cluster.
 
 Defined results: a null text counts as no bytes and null texts are one group; null metadata sorts first; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -90,28 +90,29 @@ def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int
 def grow(points: DataFrame, leaves: int, total: int) -> DataFrame:
     """points with shard, the number of their leaf, level by level.
 
-    A node is named by its first leaf. The tables of a level (one row a node: its split, or the part of its widest dimension that holds the median) have at most ``leaves`` rows, so they may be broadcast; points carry their node from level to level.
+    A node is named by its first leaf. Its split is found and kept on the cluster; a level has at most ``leaves`` nodes, so their table may be broadcast. Points carry their node from level to level.
     """
-    spark = points.sparkSession
     points = points.withColumn("shard", F.lit(0).cast("long"))
-    level = {0: leaves}
-    while level := {first: count for first, count in level.items() if count > 1}:
-        extents = points.groupBy("shard").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
-        nodes = {}
-        for r in extents.collect():  # one row a node
-            if (count := level.get(r["shard"])) is not None:
-                widest = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
-                nodes[r["shard"]] = {"dimension": widest, "low": r[f"low_{widest}"], "high": r[f"high_{widest}"] + 1, "below": 0, "want": r["weight"] * (count // 2) / count}
-        if not nodes:
-            break
-        cuts = [(first, nodes[first]["dimension"], cut, first + level[first] // 2) for first, cut in _medians(points, dict(nodes), total / leaves * TOLERANCE).items()]
-        splits = spark.createDataFrame(cuts, "shard long, dimension string, cut long, right long")
-        moved = points.join(F.broadcast(splits), "shard", "left")
-        points = checkpoint(moved.withColumn("shard", F.when(_along(F.col("dimension")) >= F.col("cut"), F.col("right")).otherwise(F.col("shard"))).drop("dimension", "cut", "right"))
-        level = {half: n for first, count in level.items() for half, n in ((first, count // 2), (first + count // 2, count - count // 2))}
+    nodes = points.sparkSession.range(1).select(F.col("id").alias("shard"), F.lit(leaves).cast("long").alias("count"))
+    half = F.floor(F.col("count") / 2).cast("long")
+    for _ in range((leaves - 1).bit_length()):
+        parents = nodes.where("count > 1")
+        splits = _medians(points, _widest(points, parents), total / leaves * TOLERANCE).join(parents, "shard")
+        moved = points.join(F.broadcast(splits.select("shard", "dimension", "cut", half.alias("left"))), "shard", "left")
+        points = checkpoint(moved.withColumn("shard", F.when(_along(F.col("dimension")) >= F.col("cut"), F.col("shard") + F.col("left")).otherwise(F.col("shard"))).drop("dimension", "cut", "left"))
+        halves = F.array(F.struct("shard", half.alias("count")), F.struct((F.col("shard") + half).alias("shard"), (F.col("count") - half).alias("count")))
+        nodes = parents.select(F.inline(halves))
     return points
 
 
+def _widest(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shard, dimension, low, high, below, want) of each node that has points: the part of its widest dimension that holds the median, the weight below that part, and the weight wanted below the cut."""
+    extents = points.groupBy("shard").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
+    spans = [F.struct((F.col(f"high_{d}") - F.col(f"low_{d}")).alias("span"), F.lit(-i).alias("order"), F.lit(d).alias("dimension"), F.col(f"low_{d}").alias("low"), (F.col(f"high_{d}") + 1).alias("high")) for i, d in enumerate(DIMENSIONS)]
+    want = F.col("weight") * F.floor(F.col("count") / 2) / F.col("count")
+    return nodes.join(extents, "shard").withColumn("w", F.greatest(*spans)).select("shard", "w.dimension", "w.low", "w.high", F.lit(0).cast("long").alias("below"), want.cast("double").alias("want"))
+
+
 def _along(dimension: Column) -> Column:
     """A point's coordinate along the named dimension."""
     value = F.lit(None).cast("long")
@@ -120,39 +121,37 @@ def _along(dimension: Column) -> Column:
     return value
 
 
-def _medians(points: DataFrame, nodes: dict[int, dict], tolerance: float) -> dict[int, int]:
-    """The cut of each node at which the weight below comes nearest to what is wanted.
+def _medians(points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
+    """(shard, dimension, cut): the cut of each node at which the weight below comes nearest to what is wanted.
 
-    A pass counts BINS bins of each node and finds the one that holds the median; one row a node comes back.
+    A pass counts BINS bins of each open node and finds the one that holds the median; a node is closed when its cut is near enough or the bin can't be narrowed.
     """
-    spark = points.sparkSession
-    cuts: dict[int, int] = {}
+    nodes = checkpoint(nodes.withColumn("cut", F.lit(None).cast("long")).withColumn("closed", F.lit(False)))
     for _ in range(PASSES):
-        if not nodes:
-            break
-        for n in nodes.values():
-            n["width"] = max(1, math.ceil((n["high"] - n["low"]) / BINS))
-        asked = spark.createDataFrame([(first, n["dimension"], n["low"], n["high"], n["width"], n["below"], float(n["want"])) for first, n in nodes.items()], "shard long, dimension string, low long, high long, width long, below long, want double")
+        asked = nodes.where("NOT closed").withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)).cast("long"))
         value = _along(F.col("dimension"))
         inside = points.join(F.broadcast(asked), "shard").where((value >= F.col("low")) & (value < F.col("high")))
         bins = inside.groupBy("shard", F.floor((value - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("weight").alias("weight"), F.first("below").alias("below"), F.first("want").alias("want"))
         through = F.col("below") + F.sum("weight").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         reached = bins.withColumn("through", through).where(F.col("through") >= F.col("want")).groupBy("shard").agg(F.min_by(F.struct("bin", "weight", "through"), "bin").alias("b"))
-        found = {r["shard"]: r["b"] for r in reached.collect()}
-        for first, n in list(nodes.items()):
-            hit = found.get(first)
-            if hit is None:
-                cuts[first] = n["high"]
-                del nodes[first]
-                continue
-            start, below = n["low"] + hit["bin"] * n["width"], hit["through"] - hit["weight"]
-            edges = [(abs(below - n["want"]), start), (abs(hit["through"] - n["want"]), start + n["width"])]
-            if n["width"] == 1 or min(edges)[0] <= tolerance:
-                cuts[first] = min(edges)[1]
-                del nodes[first]
-            else:
-                n |= {"below": below, "low": start, "high": start + n["width"], "cut": min(edges)[1]}
-    return cuts | {first: n["cut"] for first, n in nodes.items()}
+        start = F.col("low") + F.col("b.bin") * F.col("width")
+        before = F.col("b.through") - F.col("b.weight")
+        short, over = F.abs(before - F.col("want")), F.abs(F.col("b.through") - F.col("want"))
+        near = F.coalesce((F.col("width") == 1) | (F.least(short, over) <= tolerance), F.lit(True))  # true where nothing is left to reach
+        found = asked.join(reached, "shard", "left").select(
+            "shard",
+            "dimension",
+            F.coalesce(start, F.col("low")).alias("low"),
+            F.coalesce(start + F.col("width"), F.col("high")).alias("high"),
+            F.coalesce(before, F.col("below")).alias("below"),
+            "want",
+            F.coalesce(F.when(short <= over, start).otherwise(start + F.col("width")), F.col("high")).alias("cut"),
+            near.alias("closed"),
+        )
+        nodes = checkpoint(nodes.where("closed").unionByName(found))
+        if nodes.where("NOT closed").isEmpty():
+            break
+    return nodes.select("shard", "dimension", "cut")
 
 
 def with_slots(rows: DataFrame, shards: int) -> DataFrame:
