@@ -8,16 +8,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aeroflux.operators import rings as geo
 from aeroflux.operators.grids import Grid, Projection, extent, projected_rings
 from aeroflux.operators.matching import match_code, match_code_double
 
-Ring = list[tuple[float, float]]
-
 
 # --- assignment -----------------------------------------------------------------------------------------------------
 
@@ -159,162 +160,49 @@ def simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r | {"rings": points_of([thinned(ring, tolerance) for ring in plain(r["rings"])])} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            rows = np.arange(batch.num_rows)
+            yield with_rings(batch, rows, geo.thinned(geo.read(batch.column("rings")), tolerance))
 
     return shapes.mapInArrow(run, shapes.schema)
 
 
-def plain(rings: list) -> list[Ring]:
-    return [[(p["x"], p["y"]) for p in ring] for ring in rings]
-
-
-def points_of(rings: list[Ring]) -> list:
-    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]
-
-
-def thinned(points: Ring, tolerance: float) -> Ring:
-    """Farthest-point subdivision: a stretch is one segment when all its points are near enough."""
-    keep, stretches = {0, len(points) - 1}, [(0, len(points) - 1)]
-    while stretches:
-        a, b = stretches.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        length = math.hypot(bx - ax, by - ay)
-        far, at = tolerance, None
-        for i in range(a + 1, b):
-            x, y = points[i]
-            d = abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / length if length else math.hypot(x - ax, y - ay)
-            if d > far:
-                far, at = d, i
-        if at is not None:
-            keep.add(at)
-            stretches += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
-
-
-def clip_half(ring: Ring, a: float, b: float, c: float) -> Ring:
-    """Part of a ring where a x + b y >= c."""
-    out: Ring = []
-    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
-        d0, d1 = a * x0 + b * y0 - c, a * x1 + b * y1 - c
-        if d0 >= 0:
-            out.append((x0, y0))
-        if (d0 > 0 > d1) or (d0 < 0 < d1):
-            t = d0 / (d0 - d1)
-            out.append((x0 + t * (x1 - x0), y0 + t * (y1 - y0)))
-    return out
-
-
-def ring_area(ring: Ring) -> float:
-    if len(ring) < 3:
-        return 0.0
-    ox, oy = ring[0]  # near the ring, so that large coordinates don't cancel
-    return sum((x0 - ox) * (y1 - oy) - (x1 - ox) * (y0 - oy) for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])) / 2
-
-
-def clip_box(ring: Ring, x0: float, y0: float, x1: float, y1: float) -> Ring:
-    for a, b, c in ((1, 0, x0), (-1, 0, -x1), (0, 1, y0), (0, -1, -y1)):
-        ring = clip_half(ring, a, b, c)
-        if not ring:
-            break
-    return ring
-
-
-def clip_segment(p: tuple, q: tuple, sides: list[tuple[float, float, float]]) -> tuple[float, float]:
-    """Part (from, to) of a segment inside all half planes, as shares of it."""
-    low, high = 0.0, 1.0
-    for a, b, c in sides:
-        d0, d1 = a * p[0] + b * p[1] - c, a * q[0] + b * q[1] - c
-        if d0 < 0 and d1 < 0:
-            return 0.0, 0.0
-        if d0 < 0 or d1 < 0:
-            t = d0 / (d0 - d1)
-            low, high = (max(low, t), high) if d0 < 0 else (low, min(high, t))
-    return (low, high) if high > low else (0.0, 0.0)
-
-
-def triangles(ring: Ring) -> Iterator[tuple[float, list[tuple[float, float, float]]]]:
-    """(sign, sides) of a ring's fan: the signed triangles add up to the ring's inside, whatever its shape."""
-    for p, q in zip(ring[1:-1], ring[2:]):
-        corners = [ring[0], p, q]
-        area = ring_area(corners)
-        if area:
-            corners = corners if area > 0 else corners[::-1]
-            sides = []
-            for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1]):
-                a, b = y0 - y1, x1 - x0
-                sides.append((a, b, a * x0 + b * y0))
-            yield math.copysign(1.0, area), sides
-
-
-def inside_rings(x: float, y: float, rings: list[Ring]) -> bool:
-    odd = False
-    for ring in rings:
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
-                return True
-            if (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax):
-                odd = not odd
-    return odd
-
-
-def common_size(kind: str, weight: list[Ring], shape: list[Ring]) -> float:
-    """Area, length or number of points that a weight shape's part shares with an input shape's part."""
-    if kind == "point":
-        return float(sum(inside_rings(x, y, shape) for ring in weight for x, y in ring))
-    total = 0.0
-    for sign, sides in (t for ring in shape if len(ring) > 2 for t in triangles(ring)):
-        for ring in weight:
-            if kind == "line":
-                for p, q in zip(ring[:-1], ring[1:]):
-                    low, high = clip_segment(p, q, sides)
-                    total += sign * (high - low) * math.hypot(q[0] - p[0], q[1] - p[1])
-            else:
-                part = ring
-                for side in sides:
-                    part = clip_half(part, *side)
-                    if not part:
-                        break
-                total += sign * ring_area(part)
-    return abs(total)
+def with_rings(batch: pa.RecordBatch, rows: np.ndarray, rings: geo.Rings) -> pa.RecordBatch:
+    """These rows of the batch with these rings."""
+    place = batch.schema.get_field_index("rings")
+    field = batch.schema.field(place)
+    return batch.take(pa.array(rows)).set_column(place, field, geo.write(rings, rows, field.type))
 
 
-def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
-    """(key, kind, row, col, rings): shapes cut to the plane's tiles that their extent touches; rows and columns may lie off the grid."""
-    n = lambda c, origin, step: F.floor((F.col(c) - origin) / step).cast("int")
-    spread = shapes.select(key, "kind", "rings", *extent(F.col("rings")))
-    spread = spread.withColumn("row", F.explode(F.sequence(n("ymin", grid.y0, grid.dy), n("ymax", grid.y0, grid.dy)))).withColumn("col", F.explode(F.sequence(n("xmin", grid.x0, grid.dx), n("xmax", grid.x0, grid.dx)))).drop("xmin", "ymin", "xmax", "ymax")
-
-    def cut(kind: str, rings, row: int, col: int) -> list:
-        x0, y0 = grid.x0 + col * grid.dx, grid.y0 + row * grid.dy
-        x1, y1 = x0 + grid.dx, y0 + grid.dy
-        out = []
-        for points in plain(rings):
-            if kind == "polygon":
-                part = clip_box(points, x0, y0, x1, y1)
-                out += [part] if len(part) > 2 else []
-            elif kind == "point":
-                inside = [(x, y) for x, y in points if x0 <= x < x1 and y0 <= y < y1]
-                out += [inside] if inside else []
-            else:
-                sides = [(1.0, 0.0, x0), (-1.0, 0.0, -x1), (0.0, 1.0, y0), (0.0, -1.0, -y1)]
-                for p, q in zip(points[:-1], points[1:]):
-                    # a segment along a tile's upper edge belongs to the next tile
-                    if (p[0] == q[0] == x1) or (p[1] == q[1] == y1):
-                        continue
-                    low, high = clip_segment(p, q, sides)
-                    if high > low:
-                        out.append([(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])) for t in (low, high)])
-        return out
+def by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    for kind in pc.unique(batch.column("kind")).to_pylist():
+        yield kind, batch.filter(pc.equal(batch.column("kind"), kind))
+
+
+def strips(shapes: DataFrame, strip: str, axis: int, origin: float, step: float) -> DataFrame:
+    """shapes cut along an axis to the strips that their extent touches, with the strip's number."""
+    low, high = (("xmin", "xmax"), ("ymin", "ymax"))[axis]
+    n = lambda c: F.floor((F.col(c) - origin) / step).cast("int")
+    spread = shapes.select("*", *extent(F.col("rings"))).withColumn(strip, F.explode(F.sequence(n(low), n(high)))).drop("xmin", "ymin", "xmax", "ymax")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r | {"rings": points_of(part)} for r in batch.to_pylist() if (part := cut(r["kind"], r["rings"], r["row"], r["col"]))]
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            for kind, part in by_kind(batch):
+                start = origin + part.column(strip).to_numpy() * step
+                rings = geo.cut(kind, geo.read(part.column("rings")), axis, start, start + step)
+                yield with_rings(part, np.unique(rings.owner), rings)
 
     return spread.mapInArrow(run, spread.schema)
 
 
+def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
+    """(key, kind, row, col, rings): shapes cut to the plane's tiles that they touch; rows and columns may lie off the grid.
+
+    Rows are cut first and their parts into columns, so whole rings are copied once a row only.
+    """
+    rows = strips(shapes.select(key, "kind", "rings"), "row", 1, grid.y0, grid.dy)
+    return strips(rows, "col", 0, grid.x0, grid.dx).select(key, "kind", "rings", "row", "col")
+
+
 def create_surrogate(inputs: DataFrame, weights: DataFrame, grid: Grid, srg_code: str) -> DataFrame:
     """(srg_code, grid, shape_id, row, col, weight, covered): each cell's share of the weight inside an input shape.
 
@@ -326,8 +214,10 @@ def create_surrogate(inputs: DataFrame, weights: DataFrame, grid: Grid, srg_code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [common_size(r["kind"], plain(r["rings"]), plain(r["shape"])) * r["weight"] for r in batch.select(["kind", "rings", "shape", "weight"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shape_id"), batch.column("row"), batch.column("col"), pa.array(sizes, pa.float64())], names=["shape_id", "row", "col", "size"])
+            for kind, part in by_kind(batch):
+                sizes = geo.common_sizes(kind, geo.read(part.column("rings")), geo.read(part.column("shape")), part.num_rows)
+                sizes *= part.column("weight").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column("shape_id"), part.column("row"), part.column("col"), pa.array(sizes)], names=["shape_id", "row", "col", "size"])
 
     schema = T.StructType([*met.select("shape_id", "row", "col").schema.fields, T.StructField("size", T.DoubleType())])
     sizes = met.mapInArrow(run, schema)

@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aeroflux.functions import periods
+from aeroflux.operators import rings as geo
 from aeroflux.operators import gridding, grids, matching, met, scaling, speciation, surrogates, temporal
 from aeroflux.operators.grids import Grid, Projection
 
@@ -86,16 +88,38 @@ def test_surrogate_with_holes_lines_and_points(spark):
     assert {(r["row"], r["col"]): r["weight"] for r in only} == pytest.approx({(0, 0): 1 / 7, (0, 1): 2 / 7, (0, 2): 1 / 7, (2, 0): 3 / 7})
 
 
-def test_random_shapes_against_sampling():
+def flat(*rows):
+    """Rows of rings as arrays."""
+    rings = [(k, r) for k, row in enumerate(rows) for r in row]
+    points = [p for _, r in rings for p in r]
+    return geo.Rings(np.array([p[0] for p in points], float), np.array([p[1] for p in points], float), np.array([len(r) for _, r in rings], int), np.array([k for k, _ in rings], int))
+
+
+def inside(x, y, ring):
+    return sum((ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+
+def test_random_shapes_against_sampling(monkeypatch):
     import random
 
+    monkeypatch.setattr(geo, "BLOCK", 50)  # many blocks
     rng = random.Random(2)
-    for _ in range(5):
-        star = lambda: [(0.5 + r * math.cos(a), 0.5 + r * math.sin(a)) for a, r in ((2 * math.pi * k / 9, rng.uniform(0.1, 0.5)) for k in range(9))]
-        a, b = star(), star()
-        n = 120
-        hits = sum(surrogates.inside_rings((i + 0.5) / n, (j + 0.5) / n, [a]) and surrogates.inside_rings((i + 0.5) / n, (j + 0.5) / n, [b]) for i in range(n) for j in range(n))
-        assert surrogates.common_size("polygon", [a], [b]) == pytest.approx(hits / n / n, abs=0.01)
+    star = lambda: [(0.5 + r * math.cos(a), 0.5 + r * math.sin(a)) for a, r in ((2 * math.pi * k / 9, rng.uniform(0.1, 0.5)) for k in range(9))]
+    rows = [(star(), star()) for _ in range(5)]
+    n = 120
+    # all rows at once, the last one with nothing in common
+    areas = geo.common_sizes("polygon", flat(*[[a] for a, _ in rows], []), flat(*[[b] for _, b in rows], [rows[0][1]]), 6)
+    for (a, b), area in zip(rows, areas):
+        hits = sum(inside((i + 0.5) / n, (j + 0.5) / n, a) and inside((i + 0.5) / n, (j + 0.5) / n, b) for i in range(n) for j in range(n))
+        assert area == pytest.approx(hits / n / n, abs=0.01)
+    lengths = geo.common_sizes("line", flat(*[[[(0, 0.4), (1, 0.7)]] for _ in rows]), flat(*[[b] for _, b in rows]), 5)
+    counts = geo.common_sizes("point", flat(*[[a, [(0.5, 0.5), (0.99, 0.99)]] for a, _ in rows]), flat(*[[b] for _, b in rows]), 5)
+    for (a, b), length, count in zip(rows, lengths, counts):
+        steps = [inside((i + 0.5) / 2000, 0.4 + 0.3 * (i + 0.5) / 2000, b) for i in range(2000)]
+        assert length == pytest.approx(math.hypot(1, 0.3) * sum(steps) / 2000, abs=0.002)
+        assert count == sum(inside(x, y, b) for x, y in [*a, (0.5, 0.5), (0.99, 0.99)])
+    edges = flat([[(0, 0), (2, 0), (2, 2), (0, 2)]])
+    assert geo.common_sizes("point", flat([[(0, 0), (2, 1), (1, 2), (3, 0), (1, 1)]]), edges, 1)[0] == 4  # edges and corners count
 
 
 def test_surrogate_failures_and_filters(spark):
@@ -115,7 +139,8 @@ def test_surrogate_failures_and_filters(spark):
 
 
 def test_simplify(spark):
-    assert surrogates.thinned([(0, 0), (1, 0.01), (2, 0), (3, 1), (4, 0)], 0.1) == [(0, 0), (2, 0), (3, 1), (4, 0)]
+    thin = geo.thinned(flat([[(0, 0), (1, 0.01), (2, 0), (3, 1), (4, 0)], []]), 0.1)
+    assert list(zip(thin.x, thin.y)) == [(0, 0), (2, 0), (3, 1), (4, 0)] and list(thin.n) == [4, 0]
     shape = spark.createDataFrame([(1, [ring((0, 0), (1, 0.001), (2, 0), (2, 2))])], f"shape_id int, rings {GEOMETRY}")
     assert len(surrogates.simplify(shape, 0.01).first()["rings"][0]) == 3 and surrogates.simplify(shape, 0.0) is shape
 
