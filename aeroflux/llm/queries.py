@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroflux.llm import ann, langid, lines, media, mixing, packing, quality, sharding, simhash, suffix
+from aeroflux.llm import ann, centroids, chat, collocations, langid, lines, media, mixing, packing, quality, sharding, simhash, suffix
 from aeroflux.llm.common import crc_of_id, table
 
 
@@ -64,7 +64,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op8_line_dedup, op9_quality, op10_packing)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings, read back from their segments."""
+    forged = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
+    whole = chat.formatted(rows).select("conv_id", chat.joined_text(F.col("segments")).alias("text"), chat.loss_text(F.col("segments")).alias("learned"), "valid", "first_bad")
+    read = whole.withColumn("turns", chat.read_back(F.col("text")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"), "valid", "first_bad")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_shards, op3_language_id, op4_repeats, op5_near_duplicates, op6_media, op7_mix, op8_line_dedup, op9_quality, op10_packing, op11_collocations, op12_chat, op13_clusters)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +103,45 @@ q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS through FRO
 p AS (SELECT q.doc_id, q.size, q.key, a.again, (q.through + a.again * t.source_size) / t.target AS finish FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) AS a(again) WHERE q.size > 0),
 c AS (SELECT doc_id, count(*) AS times FROM (SELECT doc_id, sum(size) OVER (ORDER BY finish, key, again) AS through FROM p) x WHERE through <= (SELECT sum(target) FROM t) GROUP BY doc_id)
 SELECT q.doc_id, q.size, t.source_size, t.target, cast(coalesce(c.times, 0) * q.size AS bigint) AS taken FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON c.doc_id = q.doc_id""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+g AS (SELECT lang, list_extract(w, i) AS w1, list_extract(w, i + 1) AS w2, list_extract(w, i + 2) AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p)),
+f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+c2 AS (SELECT x.lang, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, l.f AS l, r.f AS r, 1000000 * x.f * x.f // (l.f * r.f) AS score, 1 AS k FROM f2 x JOIN f1 l USING (lang, w1) JOIN f1 r ON r.lang = x.lang AND r.w1 = x.w2
+  LEFT JOIN longer o ON o.lang = x.lang AND o.w1 = x.w1 AND o.w2 = x.w2 WHERE 100 * coalesce(o.most, 0) < 50 * x.f),
+c3 AS (SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3 AS phrase, x.f AS a, a.f AS fa, bc.f AS fbc, ab.f AS fab, c.f AS fc FROM f3 x JOIN f1 a ON a.lang = x.lang AND a.w1 = x.w1 JOIN f1 c ON c.lang = x.lang AND c.w1 = x.w3
+  JOIN f2 ab ON ab.lang = x.lang AND ab.w1 = x.w1 AND ab.w2 = x.w2 JOIN f2 bc ON bc.lang = x.lang AND bc.w1 = x.w2 AND bc.w2 = x.w3),
+cut AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, fa, fbc, 1000000 * a * a // (fa * fbc), 1 FROM c3 UNION ALL SELECT lang, phrase, a, fab, fc, 1000000 * a * a // (fab * fc), 2 FROM c3),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM best JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_chat": r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS i, lag(coalesce(role, '')) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+x AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(<|\[)(s>|/s>|INST\]|/INST\]|ANSWER\]|<SYS>>|</SYS>>|<ROLE>>|</ROLE>>|</TURN>>)', '\1\\\2', 'g') AS safe,
+  CASE WHEN i = 1 THEN role IN ('system', 'user') ELSE (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant') END AS legal,
+  CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 14 ELSE NULL END AS marks FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY i)) AS loss_sha256, (3 + sum(length(safe) + marks))::BIGINT AS formatted_chars,
+  bool_and(legal) AND arg_max(role, i) = 'assistant' AS valid, min(CASE WHEN NOT legal THEN i END) AS first_bad FROM x GROUP BY conv_id""",
+    "op13_clusters": """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false)),
+e0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), e) - 1 AS c, e FROM v QUALIFY c < 40),
+"""
+    + "".join(
+        f"""a{n} AS MATERIALIZED (SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.row, k.c, list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN e{n} k) GROUP BY row),
+"""
+        + (
+            f"""e{n + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM e{n} k LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM (SELECT a.c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT row, unnest(e) AS x, unnest(range(64)) AS i FROM v) u JOIN a{n} a USING (row) GROUP BY a.c, i) GROUP BY c) m USING (c)),
+"""
+            if n < 5
+            else ""
+        )
+        for n in range(6)
+    )
+    + """i AS (SELECT c, sum(d)::BIGINT AS held FROM a5 GROUP BY c)
+SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, i.held AS cluster_inertia, (SELECT sum(held) FROM i)::BIGINT AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256 FROM a5 a JOIN v USING (row) JOIN i ON i.c = a.c JOIN e5 k ON k.c = a.c""",
 }
