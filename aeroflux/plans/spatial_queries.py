@@ -224,7 +224,7 @@ def hourly_with_plumes(spark, sf_dir):
     out = gridding.ParquetOutput(shared_path(spark, "hours"), air, ("row", "col"), air.agg(F.max("k") + 1).first()[0])
     start = F.lit("1996-06-30 12:00:00").cast("timestamp")
     stacks = view(spark, sf_dir, "stacks").withColumn("row", (F.col("source_id") % 20).cast("int")).withColumn("col", (F.col("source_id") % 10).cast("int"))
-    points = steps(stacks, start, start + F.make_dt_interval(F.lit(1))).select("*", F.lit("SO2").alias("pollutant"), F.lit("").alias("prefix"), (F.col("diam_m") * F.col("vel_ms")).alias("amount"), F.lit("kg").alias("unit"))
+    points = steps(stacks, start, start + F.make_dt_interval(F.lit(1))).select("*", F.lit("SO2").alias("pollutant"), F.lit("").alias("prefix"), (F.col("diam_m") * F.col("vel_ms") * 0.7310585).alias("amount"), F.lit("kg").alias("unit"))
     places = grids.points_to_cells(run(spark, sf_dir, EDGED), WIDE, "lon", "lat")
     gridding.gridded_output(out, shaped(hourly_of(spark, sf_dir)), sg.normalise_surrogate(surrogate_of(spark, sf_dir)), ["shape_id"], points, places, ["source_id"])
     return spark.read.parquet(out.path).select("hour_ts", "grid", "layer", "row", "col", "pollutant", F.coalesce("prefix", F.lit("")).alias("prefix"), F.round("value", 3).alias("value"))
@@ -237,7 +237,7 @@ _head, _rest = oracle(
 plume AS (SELECT s.source_id{_last})
 SELECT hour_ts, grid, layer, row, col, pollutant, prefix, round(sum(value), 3) AS value FROM (
 SELECT i.hour_ts, n.grid, 0 AS layer, n.row, n.col, i.pollutant, i.prefix, i.amount * n.weight AS value FROM ({HOURLY}) i JOIN ({NORMAL}) n ON n.shape_id = {SHAPE}
-UNION ALL SELECT h.hour_ts, 'us', p.layer, c.row, c.col, 'SO2', '', s.diam_m * s.vel_ms * c.weight FROM {{stacks}} s JOIN plume p ON p.source_id = s.source_id JOIN ({CELLS_OF_STACKS}) c ON c.source_id = s.source_id
+UNION ALL SELECT h.hour_ts, 'us', p.layer, c.row, c.col, 'SO2', '', s.diam_m * s.vel_ms * 0.7310585 * c.weight FROM {{stacks}} s JOIN plume p ON p.source_id = s.source_id JOIN ({CELLS_OF_STACKS}) c ON c.source_id = s.source_id
 CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1996-06-30 12:00:00', TIMESTAMP '1996-07-01 11:00:00', INTERVAL 1 HOUR)) AS hour_ts) h) x GROUP BY ALL"""
 ).split("\nWITH air AS ", 1)
 ORACLE_SQL["hourly_with_plumes"] = f"{_head},\nair AS {_rest}"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroflux.functions import codes, periods, units
+from aeroflux.operators import datums
 
 #: Data fields of each delimited kind, and line length of each fixed-width kind: (fixed part, part for each pollutant).
 FIELDS = {"orl_point": 70, "orl_nonpoint": 37, "orl_nonroad": 30, "orl_mobile": 16, "ff10_point": 77, "ff10_daily_point": 46, "ff10_nonpoint": 45}
@@ -260,3 +261,10 @@ def read_inventory(spark: SparkSession, paths_by_sector: dict[str, list[str]], i
     sources = records.drop("intervals", "prefix")
     emissions = records.select("record_key", "sector", "file", "fips", "scc", "country", "pollutant", "prefix", F.explode("intervals").alias("i")).select("record_key", "sector", "file", "fips", "scc", "country", "pollutant", "prefix", "i.begin_ts", "i.end_ts", "i.rate", F.lit("kg/s").alias("unit"))
     return Inventory(sources, emissions, rejects)
+
+
+def on_wgs84(sources: DataFrame) -> DataFrame:
+    """sources whose points lie on WGS 84: NAD27 positions are shifted, the label tells it. Polygons have no point and stay as they are."""
+    lon, lat = datums.to_wgs84(F.col("point.lon"), F.col("point.lat"), F.col("point.datum"))
+    moved = F.when(F.col("point.datum").isNotNull(), F.lit("wgs84"))
+    return sources.withColumn("point", F.col("point").withField("lon", lon).withField("lat", lat).withField("datum", moved))
