@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroflux.operators.emissions import SPECIES, amount, clipped, total_unit
-from aeroflux.operators.met import plume_layer
+from aeroflux.operators.grids import Grid
+from aeroflux.operators.met import plume_layer, plume_layer_by_hour
+from aeroflux.sources import hourframes
 
 CELL = ["grid", "row", "col"]
 
@@ -38,6 +41,38 @@ class ParquetOutput:
         write_gridded(df, self.path)
 
 
+@dataclass(frozen=True)
+class FrameOutput:
+    """An Outputter of files of so many steps for each domain, by the hourframes data source; values are per area of the domain's cells.
+
+    ``met`` has a column of air for each cell and frame; points are layered by the latest frame of their hour. ``unit_metres`` is the length of the domains' unit.
+    """
+
+    path: str
+    met: DataFrame
+    by: tuple[str, ...]
+    kemit: int
+    domains: tuple[Grid, ...]
+    start: str
+    steps_per_file: int
+    step_hours: int = 1
+    unit_metres: float = 1000.0
+
+    def layer(self, df: DataFrame) -> DataFrame:
+        return plume_layer_by_hour(df, self.met, list(self.by), self.kemit)
+
+    def write(self, df: DataFrame) -> None:
+        hourframes.write_frames(over_areas(df, self.domains, self.unit_metres), self.path, self.start, self.steps_per_file, self.step_hours)
+
+
+def over_areas(df: DataFrame, domains: Sequence[Grid], metres: float = 1000.0) -> DataFrame:
+    """df with values over the cell area of their domain, whose steps are in units of so many metres; a domain that isn't given fails."""
+    value, unit = F.raise_error(F.concat(F.lit("no domain "), F.col("grid"))).cast("double"), F.when(F.col("unit") == "kmol", "mol/km2/h").otherwise("ug/m2/s")
+    for g in domains:
+        value = F.when(F.col("grid") == g.name, per_area(F.col("value"), F.col("unit"), g.dx * metres / 1000, g.dy * metres / 1000)).otherwise(value)
+    return df.withColumns({"value": value, "unit": unit})
+
+
 def gridded_output(out: Outputter, areas: DataFrame, area_cells: DataFrame, area_on: list[str], points: DataFrame, point_cells: DataFrame, point_on: list[str]) -> DataFrame:
     """Hours of areas (layer 0) and of points (in their plumes' layers) in the cells of their grids, written through ``out`` and returned."""
     both = gridded_hourly(areas, area_cells, area_on).unionByName(gridded_hourly(out.layer(points), point_cells, point_on))

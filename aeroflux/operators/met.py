@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeroflux.operators.asof import latest_time
+
 # Fixed values of the formulas.
 GRAVITY, BASE_PRESSURE, EXPONENT, BASE_THETA, UNSTABLE = 9.80665, 101300.0, 0.2854, 300.0, 0.005
 
@@ -83,3 +85,22 @@ def plume_layer(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int) ->
     joined = joined.withColumn("rise", rise)
     layer = layer_at(levels, F.greatest("height_m", F.lit(0.0)) + F.col("rise"), kemit)
     return joined.withColumn("layer", F.when(levels.isNotNull(), layer).otherwise(F.lit(0))).drop("levels")
+
+
+def plume_layer_by_hour(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int, hour: str = "hour_ts", frame: str = "frame_ts", oldest_hours: float | None = None) -> DataFrame:
+    """stacks in hours with the layer of their plume in the air of each hour: that of the latest frame of their cell at or before it.
+
+    A layer depends on the stack and the frame, so it is worked out once for each of those and not once an hour. Off the grid, before the first frame, and where the frame is older than ``oldest_hours``, the layer is 0.
+    """
+    if kemit <= 1:
+        return stacks.withColumn("layer", F.lit(0))
+    found = latest_time(stacks, met, by, hour, frame, "_frame")
+    if oldest_hours is not None:
+        found = found.withColumn("_frame", F.when(F.timestamp_diff("SECOND", F.col("_frame"), F.col(hour)) <= oldest_hours * 3600, F.col("_frame")))
+    timed = stacks.join(found, [*by, hour], "left")
+    shape = ["height_m", "diam_m", "temp_k", "vel_ms"]
+    distinct = timed.where(F.col("_frame").isNotNull()).select(*by, "_frame", *shape).distinct()
+    layers = plume_layer(distinct, met.withColumn("_frame", F.col(frame)), [*by, "_frame"], kemit)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*by, "_frame", *shape]]
+    joined = timed.alias("s").join(layers.select(*by, "_frame", *shape, F.col("layer").alias("_layer")).alias("l"), same, "left")
+    return joined.select(*(f"s.{c}" for c in stacks.columns if c != "layer"), F.coalesce("l._layer", F.lit(0)).alias("layer"))
