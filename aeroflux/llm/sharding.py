@@ -1,6 +1,6 @@
 """Sharding by a k-d tree: recursive splits at distributed weighted medians along the widest metadata dimension, until leaves reach the target bytes.
 
-DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that outweighs both PIECE of a leaf and the largest row is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median. The tables of nodes stay on the cluster.
+DataFrame work only. Points of the tree are groups of equal texts with the group's metadata; a group that outweighs both a share (PIECE) of a leaf and the largest row is dealt into pieces by hash, so that no point outweighs a leaf. Medians of all nodes of a level are found together by histograms: a few counting passes narrow the bin that holds the median. The tables of nodes stay on the cluster.
 
 Defined results: a null text counts as no bytes and null texts are one group; null metadata sorts first; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from aeroflux.llm.common import checkpoint
 
-#: Bins of a histogram pass, and passes at most: 2**48 positions of a coordinate are told apart.
-BINS, PASSES = 4096, 4
+#: Bins of a histogram pass, and passes: a cut is found to 2**9 of a coordinate's 2**48 positions.
+BINS, PASSES = 8192, 3
 #: A group of equal texts stays whole up to this share of a leaf, or up to the size of the largest row, which can't be cut either.
 PIECE = 1 / 8
-#: A split may miss its share by this part of a leaf.
-TOLERANCE = 1 / 256
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
 #: Slots are counted in buckets of about so many rows.
@@ -58,8 +56,11 @@ def coordinates(source: Column, lang: Column, size: Column, doc_id: Column, grou
 DIMENSIONS = ("x_source", "x_lang", "x_size", "x_id")
 
 
-def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """(row_id, doc_id, size, text_crc32, shard) of every row; give the number of shards or a leaf's target bytes."""
+def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, piece_share: float = PIECE) -> DataFrame:
+    """(row_id, doc_id, size, text_crc32, shard) of every row; give the number of shards or a leaf's target bytes.
+
+    A group of equal texts that weighs up to ``piece_share`` of a leaf is never cut: that is what equal sizes allow it, as a cut of the tree can miss its share by half of its heaviest point. 1 keeps every group that fits a leaf whole, at the price of less equal leaves.
+    """
     meta = checkpoint(
         docs.select(
             "doc_id",
@@ -72,7 +73,7 @@ def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int
     )
     total, largest = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     leaves = shards or max(1, round(total / target_bytes))
-    limit = max(1, int(total / leaves * PIECE), min(largest, total // leaves // 4))
+    limit = max(1, int(total / leaves * piece_share), min(largest, total // leaves // 4))
     group = ["hash", "text_crc32", "size"]
     groups = meta.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "source", "lang")).alias("first"))
     # the pieces of large groups: fewer than leaves / PIECE of them, in any case, so the table can be broadcast
@@ -90,27 +91,19 @@ def shard_by_tree(docs: DataFrame, shards: int | None = None, target_bytes: int
 def grow(points: DataFrame, leaves: int, total: int) -> DataFrame:
     """points with shard, the number of their leaf, level by level.
 
-    A node is named by its first leaf. Its split is found and kept on the cluster; a level has at most ``leaves`` nodes, so their table may be broadcast. Points carry their node from level to level.
+    A node is named by its first leaf; points carry it and the number of its leaves. A level is one job: medians are found and applied by one plan, whose tables of nodes have at most ``leaves`` rows, so they may be broadcast.
     """
-    points = points.withColumn("shard", F.lit(0).cast("long"))
-    nodes = points.sparkSession.range(1).select(F.col("id").alias("shard"), F.lit(leaves).cast("long").alias("count"))
-    half = F.floor(F.col("count") / 2).cast("long")
+    points = points.withColumns({"shard": F.lit(0).cast("long"), "leaves": F.lit(leaves).cast("long")})
+    half = F.floor(F.col("leaves") / 2).cast("long")
     for _ in range((leaves - 1).bit_length()):
-        parents = nodes.where("count > 1")
-        splits = _medians(points, _widest(points, parents), total / leaves * TOLERANCE).join(parents, "shard")
-        moved = points.join(F.broadcast(splits.select("shard", "dimension", "cut", half.alias("left"))), "shard", "left")
-        points = checkpoint(moved.withColumn("shard", F.when(_along(F.col("dimension")) >= F.col("cut"), F.col("shard") + F.col("left")).otherwise(F.col("shard"))).drop("dimension", "cut", "left"))
-        halves = F.array(F.struct("shard", half.alias("count")), F.struct((F.col("shard") + half).alias("shard"), (F.col("count") - half).alias("count")))
-        nodes = parents.select(F.inline(halves))
-    return points
-
-
-def _widest(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(shard, dimension, low, high, below, want) of each node that has points: the part of its widest dimension that holds the median, the weight below that part, and the weight wanted below the cut."""
-    extents = points.groupBy("shard").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
-    spans = [F.struct((F.col(f"high_{d}") - F.col(f"low_{d}")).alias("span"), F.lit(-i).alias("order"), F.lit(d).alias("dimension"), F.col(f"low_{d}").alias("low"), (F.col(f"high_{d}") + 1).alias("high")) for i, d in enumerate(DIMENSIONS)]
-    want = F.col("weight") * F.floor(F.col("count") / 2) / F.col("count")
-    return nodes.join(extents, "shard").withColumn("w", F.greatest(*spans)).select("shard", "w.dimension", "w.low", "w.high", F.lit(0).cast("long").alias("below"), want.cast("double").alias("want"))
+        moved = points.join(F.broadcast(_medians(points.where("leaves > 1"))), "shard", "left")
+        right = _along(F.col("dimension")) >= F.col("cut")
+        points = checkpoint(
+            moved.withColumns({"half": half, "right": right})
+            .withColumns({"shard": F.when(F.col("right"), F.col("shard") + F.col("half")).otherwise(F.col("shard")), "leaves": F.when(F.col("right"), F.col("leaves") - F.col("half")).when(~F.col("right"), F.col("half")).otherwise(F.col("leaves"))})
+            .drop("dimension", "cut", "half", "right")
+        )
+    return points.drop("leaves")
 
 
 def _along(dimension: Column) -> Column:
@@ -121,36 +114,28 @@ def _along(dimension: Column) -> Column:
     return value
 
 
-def _medians(points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
-    """(shard, dimension, cut): the cut of each node at which the weight below comes nearest to what is wanted.
+def _medians(points: DataFrame) -> DataFrame:
+    """(shard, dimension, cut): where each node is cut along its widest dimension, so that the weight below comes nearest to its left leaves' share.
 
-    A pass counts BINS bins of each open node and finds the one that holds the median; a node is closed when its cut is near enough or the bin can't be narrowed.
+    A pass counts BINS bins of the part that holds the median and goes on inside the bin that reaches it. A node's row carries all that the next pass needs, so passes follow each other in one plan.
     """
-    nodes = checkpoint(nodes.withColumn("cut", F.lit(None).cast("long")).withColumn("closed", F.lit(False)))
+    extents = points.groupBy("shard").agg(F.sum("weight").alias("weight"), F.first("leaves").alias("leaves"), *[f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))])
+    spans = [F.struct((F.col(f"high_{d}") - F.col(f"low_{d}")).alias("span"), F.lit(-i).alias("order"), F.lit(d).alias("dimension"), F.col(f"low_{d}").alias("low"), (F.col(f"high_{d}") + 1).alias("high")) for i, d in enumerate(DIMENSIONS)]
+    want = F.col("weight") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    nodes = extents.withColumn("w", F.greatest(*spans)).select("shard", "w.dimension", "w.low", "w.high", F.lit(0).cast("long").alias("below"), want.cast("double").alias("want"), F.col("w.low").alias("cut"))
     for _ in range(PASSES):
-        asked = nodes.where("NOT closed").withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)).cast("long"))
+        asked = nodes.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)).cast("long"))
         value = _along(F.col("dimension"))
         inside = points.join(F.broadcast(asked), "shard").where((value >= F.col("low")) & (value < F.col("high")))
-        bins = inside.groupBy("shard", F.floor((value - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("weight").alias("weight"), F.first("below").alias("below"), F.first("want").alias("want"))
-        through = F.col("below") + F.sum("weight").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        reached = bins.withColumn("through", through).where(F.col("through") >= F.col("want")).groupBy("shard").agg(F.min_by(F.struct("bin", "weight", "through"), "bin").alias("b"))
-        start = F.col("low") + F.col("b.bin") * F.col("width")
-        before = F.col("b.through") - F.col("b.weight")
-        short, over = F.abs(before - F.col("want")), F.abs(F.col("b.through") - F.col("want"))
-        near = F.coalesce((F.col("width") == 1) | (F.least(short, over) <= tolerance), F.lit(True))  # true where nothing is left to reach
-        found = asked.join(reached, "shard", "left").select(
-            "shard",
-            "dimension",
-            F.coalesce(start, F.col("low")).alias("low"),
-            F.coalesce(start + F.col("width"), F.col("high")).alias("high"),
-            F.coalesce(before, F.col("below")).alias("below"),
-            "want",
-            F.coalesce(F.when(short <= over, start).otherwise(start + F.col("width")), F.col("high")).alias("cut"),
-            near.alias("closed"),
-        )
-        nodes = checkpoint(nodes.where("closed").unionByName(found))
-        if nodes.where("NOT closed").isEmpty():
-            break
+        carried = ["dimension", "low", "below", "want", "width"]
+        bins = inside.groupBy("shard", F.floor((value - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("weight").alias("held"), *(F.first(c).alias(c) for c in carried))
+        through = F.col("below") + F.sum("held").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        # the first bin that reaches what is wanted; there is one, as the part's weight does
+        reached = bins.withColumn("through", through).where(F.col("through") >= F.col("want")).groupBy("shard").agg(F.min_by(F.struct("bin", "through", "held", *carried), "bin").alias("b")).select("shard", "b.*")
+        start = F.col("low") + F.col("bin") * F.col("width")
+        before = F.col("through") - F.col("held")
+        nearer = F.abs(before - F.col("want")) <= F.abs(F.col("through") - F.col("want"))
+        nodes = reached.select("shard", "dimension", start.alias("low"), (start + F.col("width")).alias("high"), before.alias("below"), "want", F.when(nearer, start).otherwise(start + F.col("width")).alias("cut"))
     return nodes.select("shard", "dimension", "cut")
 
 
