@@ -123,15 +123,18 @@ def decode(data: bytes) -> np.ndarray:
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each output cell's area, fractions of pixels included.
 
-    The integral image is bilinear inside a pixel, so reading it between samples is exact.
+    The integral image is bilinear inside a pixel, so reading it between samples is exact. Only its rows next to a cell's edge are held, added up strip by strip, so that memory doesn't follow the image's height.
     """
     h, w = image.shape[:2]
-    integral = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     y0, x0 = np.minimum(ys.astype(int), h - 1), np.minimum(xs.astype(int), w - 1)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
-    rows = integral[y0] * (1 - fy) + integral[y0 + 1] * fy
+    edges = np.unique(np.r_[0, y0, y0 + 1])
+    strips = [np.add.reduce(image[a:b], axis=0, dtype=np.float64) for a, b in zip(edges[:-1], edges[1:])]
+    integral = np.zeros((len(edges), w + 1))
+    np.cumsum(np.cumsum(strips, axis=0), axis=1, out=integral[1:, 1:])
+    low, high = np.searchsorted(edges, y0), np.searchsorted(edges, y0 + 1)
+    rows = integral[low] * (1 - fy) + integral[high] * fy
     at = rows[:, x0] * (1 - fx) + rows[:, x0 + 1] * fx
     return (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) / ((h / height) * (w / width))
 
@@ -199,7 +202,8 @@ def media_columns(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def padded(text: bytes) -> bytes:
-    return text + bytes(PAYLOAD_WIDTH - len(text) % PAYLOAD_WIDTH)
+    """Bytes 0 behind the text up to a multiple of 64 that isn't 0; a text of such a length stays as it is."""
+    return text + bytes(-len(text) % PAYLOAD_WIDTH if text else PAYLOAD_WIDTH)
 
 
 def text_media_digest(docs: DataFrame) -> DataFrame:
