@@ -198,11 +198,13 @@ def cleaned(texts: list[bytes | None], gone: np.ndarray | list[np.ndarray]) -> t
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variable: float = VARIABLE, broadcast: int = BROADCAST) -> DataFrame:
-    """docs with shortened texts, and n_lines and n_dropped besides its own columns."""
+    """docs with shortened texts, and n_lines and n_dropped behind its own columns; where docs has such a name, underscores are put behind the new one."""
     gone = checkpoint(templates_to_drop(docs, min_docs, variable))
     fields, width = [F.col(f"`{c}`") for c in docs.columns], len(docs.columns)
     text_at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    taken = {c.lower() for c in docs.columns}
+    counts = [name + "_" * next(i for i in range(len(taken) + 1) if name + "_" * i not in taken) for name in ("n_lines", "n_dropped")]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in counts)])
 
     def applied(batch: pa.RecordBatch, dropped: np.ndarray | list[np.ndarray]) -> pa.RecordBatch:
         texts, n_lines, n_dropped = cleaned(batch.column(text_at).cast(pa.binary()).to_pylist(), dropped)

@@ -23,7 +23,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each text has and loses, and a digest of what stays."""
-    kept = lines.drop_lines(table(spark, sf_dir, "documents"))
+    kept = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
