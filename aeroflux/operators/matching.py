@@ -1,6 +1,6 @@
 """Hierarchical code matching and last-line-wins look-ups.
 
-A code falls back to itself with 1, 2, ... trailing characters replaced by zeros. Only distinct codes are expanded to their candidates and matched; the fact table is joined to the result, never multiplied.
+A code falls back to itself with 1, 2, ... trailing characters replaced by zeros. A code that meets a reference row at some fallback also meets it at the one that zeroes as many characters as the row has trailing zeros, and of two rows the one with fewer zeros is met first. So the reference's numbers of trailing zeros are an index of levels: only fallbacks of those levels are tried, and a level that the reference doesn't hold costs nothing. Only distinct codes are expanded; the fact table is joined to the result, never multiplied.
 """
 
 from __future__ import annotations
@@ -12,7 +12,40 @@ from pyspark.sql import functions as F
 def candidates(code: Column) -> Column:
     """The code and its fallbacks, most specific first."""
     n = F.length(code)
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.rpad(F.substring(code, F.lit(1), n - i), n, "0"))
+    return F.transform(F.sequence(F.lit(0), n), lambda i: fallback(code, i))
+
+
+def fallback(code: Column, zeros: Column) -> Column:
+    """The code with so many trailing characters replaced by zeros."""
+    n = F.length(code)
+    return F.rpad(F.substring(code, F.lit(1), n - zeros), n, "0")
+
+
+def trailing_zeros(code: Column) -> Column:
+    return F.length(code) - F.length(F.rtrim(code, F.lit("0")))
+
+
+def level_of(columns: list[str]) -> Column:
+    return F.struct(*(trailing_zeros(F.col(c)).alias(f"z{k}") for k, c in enumerate(columns)))
+
+
+def levels(ref: DataFrame, columns: list[str]) -> Column:
+    """The level index of a reference: the distinct numbers of trailing zeros of its codes, as one array of structs z0, z1, ...; its size is bounded by the codes' lengths."""
+    return ref.agg(F.collect_set(F.when(F.forall(F.array(*columns), lambda c: c.isNotNull()), level_of(columns))).alias("levels")).scalar()
+
+
+def _matched(df: DataFrame, columns: list[str], ref: DataFrame, ref_columns: list[str], value: str, by: list[str]) -> DataFrame:
+    """Each distinct (by, columns) with the value of its most specific row of ref."""
+    codes = df.select(*by, *columns).distinct()
+    tried = codes.select("*", F.explode(levels(ref, ref_columns)).alias("_level"))
+    within = [F.col(f"_level.z{k}") <= F.length(c) for k, c in enumerate(columns)]
+    for test in within:
+        tried = tried.where(test)
+    tries = tried.select("*", *(fallback(F.col(c), F.col(f"_level.z{k}")).alias(f"_try{k}") for k, c in enumerate(columns)))
+    # a row is met at its own level only, so that zeros inside a code don't make an earlier level of it
+    keyed = ref.select(*by, *(F.col(c).alias(f"_try{k}") for k, c in enumerate(ref_columns)), F.col(value).alias("_value"), level_of(ref_columns).alias("_level"))
+    found = tries.join(keyed, [*by, *(f"_try{k}" for k in range(len(columns))), "_level"])
+    return found.groupBy(*by, *columns).agg(F.min_by("_value", "_level").alias(value))
 
 
 def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
@@ -21,22 +54,14 @@ def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, valu
     ``by`` names columns, alike on both sides, that must be equal.
     """
     by = by or []
-    codes = df.select(*by, column).distinct()
-    tries = codes.select(*by, column, F.posexplode(candidates(F.col(column))).alias("_i", "_try"))
-    keyed = ref.select(*by, F.col(ref_column).alias("_try"), F.col(value).alias("_value"))
-    best = tries.join(keyed, [*by, "_try"]).groupBy(*by, column).agg(F.min_by("_value", "_i").alias(value))
-    out = df.join(best, [*by, column], "left")
+    out = df.join(_matched(df, [column], ref, [ref_column], value, by), [*by, column], "left")
     return _required(out, value, F.col(column)) if required else out
 
 
 def match_code_double(df: DataFrame, first: str, second: str, ref: DataFrame, ref_first: str, ref_second: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
     """As match_code with two codes: the first code's fallbacks are the outer loop, the second's the inner one."""
     by = by or []
-    pairs = df.select(*by, first, second).distinct()
-    tries = pairs.select("*", F.posexplode(candidates(F.col(first))).alias("_i", "_try1")).select("*", F.posexplode(candidates(F.col(second))).alias("_j", "_try2"))
-    keyed = ref.select(*by, F.col(ref_first).alias("_try1"), F.col(ref_second).alias("_try2"), F.col(value).alias("_value"))
-    best = tries.join(keyed, [*by, "_try1", "_try2"]).groupBy(*by, first, second).agg(F.min_by("_value", F.struct("_i", "_j")).alias(value))
-    out = df.join(best, [*by, first, second], "left")
+    out = df.join(_matched(df, [first, second], ref, [ref_first, ref_second], value, by), [*by, first, second], "left")
     return _required(out, value, F.concat_ws("/", first, second)) if required else out
 
 
@@ -49,9 +74,3 @@ def last_line(df: DataFrame, keys: list[str], line: str = "line_id") -> DataFram
     """The row with the highest line of each key."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(line)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-
-
-def first_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the lowest order of each key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])

@@ -6,14 +6,15 @@ Tables: speciation(pollutant_key, spec_type), spec_names(pollutant_key, pos, nam
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroflux.functions import periods
 from aeroflux.functions.codes import full_name
-from aeroflux.operators.matching import match_code_double
+from aeroflux.operators.matching import fallback, level_of, levels, match_code_double
 
 # Speciation types and the kind of profile each takes.
 PROFILE_KIND = {"VOC": "voc", "VOCUngrouped": "voc", "NOx": "gas", "PM2.5": "pm"}
@@ -33,6 +34,10 @@ class SpeciationData:
     spec_combo: DataFrame
     group_factors: DataFrame
 
+    def persisted(self) -> SpeciationData:
+        """The same tables, kept by executors after their first use; they are small against emissions, and a lost executor's part is read again."""
+        return SpeciationData(*(getattr(self, f.name).persist(StorageLevel.MEMORY_AND_DISK) for f in fields(self)))
+
 
 def group_factors(assignment: DataFrame, group_weights: DataFrame, species: DataFrame) -> DataFrame:
     """(mech, species_id, grp, molar, mass): kmol of a group for a kg of the species, and its share of the mass.
@@ -94,90 +99,124 @@ def combined(emissions: DataFrame, spec_combo: DataFrame, partial: bool) -> Data
     return found.select("*", F.explode(F.coalesce("codes", missing)).alias("c")).withColumn("code", F.col("c.code")).withColumn("code_fraction", F.col("c.fraction")).drop("codes", "c", "period", "country_fips")
 
 
-def expand_profiles(coded: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row for each species of each row's profile; a code without a profile fails."""
-    table = profiles.groupBy("kind", "code").agg(F.collect_list(F.struct("species_id", "fraction")).alias("parts"))
-    kind = F.lit(None).cast("string")
-    for spec_type, name in PROFILE_KIND.items():
-        kind = F.when(F.col("spec_type") == spec_type, name).otherwise(kind)
-    found = coded.withColumn("kind", kind).join(table, ["kind", "code"], "left")
-    missing = F.raise_error(F.concat(F.lit("no profile "), F.concat_ws("/", "kind", "code"))).cast(table.schema["parts"].dataType)
-    return found.select("*", F.explode(F.coalesce("parts", missing)).alias("p")).withColumn("species_id", F.col("p.species_id")).withColumn("species_fraction", F.col("p.fraction")).drop("parts", "p", "kind")
+OUT = ["record_key", "pollutant", "prefix", "begin_ts", "end_ts", "rate", "unit"]
 
 
-def ids_by_name(species: DataFrame) -> DataFrame:
-    """(name, species_id): the smallest identifier of a name."""
-    return species.groupBy("name").agg(F.min("species_id").alias("species_id"))
+def _groups(data: SpeciationData, mechanism: str, mass: bool) -> DataFrame:
+    """(species_id, groups): a species' mechanism groups with the factor of each."""
+    mine = data.group_factors.where(F.col("mech") == mechanism)
+    return mine.groupBy("species_id").agg(F.collect_list(F.struct("grp", F.col("mass" if mass else "molar").alias("factor"))).alias("groups"))
 
 
-def double_counted(typed: DataFrame, spec_names: DataFrame, species: DataFrame) -> DataFrame:
-    """(record_key, species_id) of all species that a record states as single pollutants."""
-    singles = typed.where(F.col("spec_type") == "Single").select("record_key", F.col("spec_key").alias("pollutant_key")).distinct()
-    return singles.join(spec_names, "pollutant_key").join(ids_by_name(species), "name").select("record_key", "species_id").distinct()
+def _entries(data: SpeciationData, groups: DataFrame) -> DataFrame:
+    """(pollutant_key, entry): what is said of each pollutant: its type, the species it stands for if it is single, all species it states, its shares if it is direct.
 
+    The first of a single pollutant's names gives its species; a name's species is the one with the smallest identifier.
+    """
+    known = data.species.groupBy("name").agg(F.min_by(F.struct("species_id", "mw"), "species_id").alias("s")).select("name", "s.species_id", "s.mw")
+    named = data.spec_names.join(known, "name", "left").join(groups, "species_id", "left")
+    single = F.min_by(F.when(F.col("pos") == 0, F.struct("name", "grouped", "species_id", "mw", "groups")), F.when(F.col("pos") == 0, F.lit(0)))
+    names = named.groupBy("pollutant_key").agg(single.alias("single"), F.collect_set("species_id").alias("stated"))
+    direct = data.spec_profile.groupBy("pollutant_key").agg(F.collect_list(F.struct("species", "factor")).alias("direct"))
+    kind = F.when(F.coalesce("spec_type", F.lit("")) != "", F.col("spec_type")).when(F.col("stated").isNotNull(), "Single").when(F.col("direct").isNotNull(), "Direct")
+    about = data.speciation.join(names, "pollutant_key", "left").join(direct, "pollutant_key", "left")
+    return about.select("pollutant_key", F.struct(kind.alias("type"), "single", "stated", "direct").alias("entry"))
+
+
+def _resolved(emissions: DataFrame, data: SpeciationData, groups: DataFrame, partial: bool) -> DataFrame:
+    """(scc, full_name, pollutant, entry, code) of the distinct keys: for each the entry and the profile code of its full name, else of its name."""
+    keys = ["scc", "full_name", "pollutant"]
+    names = emissions.select(*keys).distinct().select(*keys, F.posexplode(F.array_distinct(F.array("full_name", "pollutant"))).alias("rank", "name"))
+    typed = names.join(_entries(data, groups), names["name"] == F.col("pollutant_key"), "left")
+    if partial:
+        tried = typed.select("*", F.explode_outer(levels(data.spec_ref, ["scc", "pol"])).alias("level"))
+        tried = tried.withColumns({"_scc": fallback(F.col("scc"), F.col("level.z0")), "_pol": fallback(F.col("name"), F.col("level.z1"))})
+        fits = (F.col("level.z0") <= F.length("scc")) & (F.col("level.z1") <= F.length("name"))
+        tried = tried.withColumn("_scc", F.when(fits, F.col("_scc")))
+        ref = data.spec_ref.select(F.col("scc").alias("_scc"), F.col("pol").alias("_pol"), "code", level_of(["scc", "pol"]).alias("level"))
+        coded = tried.join(ref, ["_scc", "_pol", "level"], "left")
+    else:
+        ref = data.spec_ref.select("scc", F.col("pol").alias("name"), "code")
+        coded = typed.withColumn("level", F.lit(0)).join(ref, ["scc", "name"], "left")
+    order = F.when(F.col("code").isNotNull(), F.struct("rank", "level"))
+    return coded.groupBy(*keys).agg(F.min_by("entry", F.when(F.col("entry").isNotNull(), F.col("rank"))).alias("entry"), F.min_by("code", order).alias("code"))
 
-OUT = ["record_key", "pollutant", "prefix", "begin_ts", "end_ts", "rate", "unit"]
+
+def _combinations(emissions: DataFrame, spec_combo: DataFrame, partial: bool) -> DataFrame:
+    """(period, pollutant, country_fips, combined): the codes with fractions of each combination that rows may need."""
+    grouped = spec_combo.groupBy("period", "pol", "country_fips").agg(F.collect_list(F.struct("code", "fraction")).alias("combined"))
+    if not partial:
+        return grouped.withColumnRenamed("pol", "pollutant")
+    wanted = emissions.select("period", "pollutant", "country_fips").distinct()
+    return match_code_double(wanted, "pollutant", "country_fips", grouped, "pol", "country_fips", "combined", by=["period"])
+
+
+def _profile_parts(data: SpeciationData, groups: DataFrame) -> DataFrame:
+    """(kind, code, parts, tog): species of each profile with their shares, names, weights and groups; the profile's factor from VOC to TOG."""
+    known = data.profiles.join(data.species.select("species_id", "name", "mw"), "species_id", "left").join(groups, "species_id", "left")
+    parts = known.groupBy("kind", "code").agg(F.collect_list(F.struct("species_id", "fraction", "name", "mw", "groups")).alias("parts"))
+    return parts.join(data.voc_to_tog.select("code", F.col("factor").alias("tog")), "code", "left")
 
 
 def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: bool = False, partial: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(emissions, dropped) by species or mechanism group; dropped holds what single pollutants of the record state already."""
+    """(emissions, dropped) by species or mechanism group; dropped holds what single pollutants of the record state already.
+
+    One pass: distinct keys are resolved to entries and codes, and every row gets one array of its results, whatever its type, which is exploded once. Species that a record states are gathered in a window over the record before rows multiply.
+    """
     keep = [c for c in emissions.columns if c in ("sector", "file", "fips", "scc", "country")]
-    typed = with_type(emissions, data.speciation, data.spec_names, data.spec_profile)
-    # one list for each record, joined before rows multiply by species
-    doubled = double_counted(typed, data.spec_names, data.species).groupBy("record_key").agg(F.collect_set("species_id").alias("stated"))
-    marked = typed.where(F.col("spec_type").isin(*PROFILE_KIND)).join(doubled, "record_key", "left")
-    profiled = expand_profiles(profile_codes(marked, data.spec_ref, data.spec_combo, partial), data.profiles)
-    tog = data.voc_to_tog.select("code", F.col("factor").alias("tog"))
-    is_voc = F.col("spec_type").isin("VOC", "VOCUngrouped")
-    to_tog = F.when(is_voc, F.coalesce("tog", F.raise_error(F.concat(F.lit("no VOC factor for "), F.col("code"))).cast("double"))).otherwise(F.lit(1.0))
-    parts = profiled.join(tog, "code", "left").join(data.species.select("species_id", "name", "mw"), "species_id", "left").withColumn("doubled", F.coalesce(F.array_contains("stated", F.col("species_id")), F.lit(False)))
-    parts = parts.withColumn("rate", F.col("rate") * to_tog * F.col("code_fraction") * F.col("species_fraction"))
-    dropped = parts.where("doubled").withColumn("pollutant", F.col("name")).select(*keep, *OUT)
-    profile_rows = _by_type(parts.where("NOT doubled"), data.group_factors, mechanism, mass)
-    singles = _singles(typed.where(F.col("spec_type") == "Single"), data, mechanism, mass)
-    direct = typed.where(F.col("spec_type") == "Direct").join(data.spec_profile.select(F.col("pollutant_key").alias("spec_key"), "species", "factor"), "spec_key").withColumn("pollutant", F.col("species")).withColumn("rate", F.col("rate") * F.col("factor"))
-    out = [x.select(*keep, *OUT) for x in (profile_rows, singles, direct)]
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole, dropped
-
-
-def _unit(mass: bool) -> Column:
-    return F.lit("kg/s" if mass else "kmol/s")
-
-
-def _by_type(rows: DataFrame, factors: DataFrame, mechanism: str, mass: bool) -> DataFrame:
-    """Species rows in one pass: VOC goes to mechanism groups, PM2.5 stays mass, the other gases are species in mass or moles."""
-    is_voc = F.col("spec_type") == "VOC"
-    keyed = rows.withColumn("group_key", F.when(is_voc, F.col("species_id")))
-    mine = factors.where(F.col("mech") == mechanism).select(F.col("species_id").alias("group_key"), "grp", F.col("mass" if mass else "molar").alias("group_factor"))
-    joined = keyed.join(mine, "group_key", "left")
-    missing = F.raise_error(F.concat(F.lit(f"mechanism {mechanism} has no species "), F.col("species_id"))).cast("string")
-    in_mass = F.lit(mass) | (F.col("spec_type") == "PM2.5")
-    rate = F.when(is_voc, F.col("rate") * F.col("group_factor")).when(in_mass, F.col("rate")).otherwise(F.col("rate") / F.nullif(F.col("mw"), F.lit(0.0)))
-    named = joined.withColumn("pollutant", F.when(is_voc, F.coalesce("grp", missing)).otherwise(F.col("name")))
-    return named.withColumn("unit", F.when(in_mass, "kg/s").otherwise("kmol/s")).withColumn("rate", rate)
-
-
-def _in_groups(rows: DataFrame, factors: DataFrame, mechanism: str, mass: bool) -> DataFrame:
-    mine = factors.where(F.col("mech") == mechanism).select("species_id", "grp", F.col("mass" if mass else "molar").alias("group_factor"))
-    joined = rows.join(mine, "species_id", "left")
-    missing = F.raise_error(F.concat(F.lit(f"mechanism {mechanism} has no species "), F.col("species_id"))).cast("string")
-    return joined.withColumn("pollutant", F.coalesce("grp", missing)).withColumn("rate", F.col("rate") * F.col("group_factor")).withColumn("unit", _unit(mass))
-
-
-def _as_species(rows: DataFrame, mass: bool) -> DataFrame:
-    rate = F.col("rate") if mass else F.col("rate") / F.nullif(F.col("mw"), F.lit(0.0))
-    return rows.withColumn("pollutant", F.col("name")).withColumn("rate", rate).withColumn("unit", _unit(mass))
-
-
-def _singles(rows: DataFrame, data: SpeciationData, mechanism: str, mass: bool) -> DataFrame:
-    """The first name of a single pollutant, as mechanism groups or as the species itself."""
-    first = data.spec_names.where(F.col("pos") == 0).select(F.col("pollutant_key").alias("spec_key"), "name", "grouped")
-    known = data.species.groupBy("name").agg(F.min_by(F.struct("species_id", "mw"), "species_id").alias("s")).select("name", "s.species_id", "s.mw")
-    named = rows.join(first, "spec_key").join(known, "name", "left")
-    missing = F.raise_error(F.concat(F.lit("no species is named "), F.col("name"))).cast("string")
-    named = named.withColumn("species_id", F.coalesce("species_id", missing))
-    alone = _as_species(named.where(~F.col("grouped")), mass)
-    return _in_groups(named.where("grouped"), data.group_factors, mechanism, mass).select(*rows.columns, "name").unionByName(alone.select(*rows.columns, "name"))
+    groups = _groups(data, mechanism, mass)
+    rows = emissions.withColumns({"full_name": full_name(), "period": periods.period_of(F.col("begin_ts"), F.col("end_ts")), "country_fips": F.concat(F.col("country").cast("string"), F.col("fips"))})
+    found = rows.join(_resolved(rows, data, groups, partial), ["scc", "full_name", "pollutant"], "left")
+    nothing = F.raise_error(F.concat(F.lit("no speciation type for "), F.col("full_name"))).cast("string")
+    found = found.withColumn("spec_type", F.coalesce("entry.type", nothing))
+    single, profiled = F.col("spec_type") == "Single", F.col("spec_type").isin(*PROFILE_KIND)
+    stated = F.flatten(F.collect_set(F.when(single, F.col("entry.stated"))).over(Window.partitionBy("record_key")))
+    found = found.withColumn("stated", stated).join(_combinations(rows, data.spec_combo, partial), ["period", "pollutant", "country_fips"], "left")
+
+    fail = lambda text, *what: F.raise_error(F.concat(F.lit(text), F.concat_ws("/", *what)))
+    codes_type = "array<struct<code:string,fraction:double>>"
+    plain = F.array(F.struct(F.col("code"), F.lit(1.0).alias("fraction"))).cast(codes_type)
+    combined_ = F.coalesce(F.col("combined").cast(codes_type), fail("no combination for ", "pollutant", "country_fips").cast(codes_type))
+    codes = F.when(~profiled, F.array(F.lit(None).cast("struct<code:string,fraction:double>"))).when(F.col("code").isNull(), fail("no speciation profile for ", "scc", "full_name").cast(codes_type)).when(F.col("code") == "COMBO", combined_).otherwise(plain)
+    kind = F.lit(None).cast("string")
+    for spec_type, name in PROFILE_KIND.items():
+        kind = F.when(F.col("spec_type") == spec_type, name).otherwise(kind)
+    each = found.select(*keep, *OUT, "spec_type", "entry", "stated", F.explode(codes).alias("c")).withColumns({"kind": kind, "code": F.col("c.code"), "code_fraction": F.col("c.fraction")}).drop("c")
+    with_parts = each.join(_profile_parts(data, groups), ["kind", "code"], "left").withColumn("results", _results(mechanism, mass))
+    out = with_parts.select(*keep, *OUT, F.explode("results").alias("r")).withColumns({"pollutant": F.col("r.pollutant"), "unit": F.col("r.unit"), "rate": F.col("rate") * F.col("r.factor")})
+    return out.where("NOT r.doubled").select(*keep, *OUT), out.where("r.doubled").select(*keep, *OUT)
+
+
+def _results(mechanism: str, mass: bool) -> Column:
+    """What becomes of a row: array<struct<pollutant, unit, factor, doubled>>.
+
+    VOC goes to mechanism groups, PM2.5 stays mass, the other gases are species in mass or moles; a single pollutant is its species or that one's groups; direct ones are split by their shares.
+    """
+    kind = F.col("spec_type")
+    unit = F.lit("kg/s" if mass else "kmol/s")
+    missing = lambda text, what: F.raise_error(F.concat(F.lit(text), F.coalesce(what, F.lit("")))).cast("string")
+    result = lambda name, in_unit, factor, doubled=False: F.struct(name.alias("pollutant"), in_unit.alias("unit"), factor.cast("double").alias("factor"), F.lit(doubled).alias("doubled"))
+    of_type = "array<struct<pollutant:string,unit:string,factor:double,doubled:boolean>>"
+    moles = lambda factor, weight: factor if mass else factor / F.nullif(weight, F.lit(0.0))
+
+    def in_groups(species: Column, groups: Column, factor: Column) -> Column:
+        none = F.array(result(missing(f"mechanism {mechanism} has no species ", species), unit, factor))
+        return F.coalesce(F.transform(groups, lambda g: result(g["grp"], unit, factor * g["factor"])), none).cast(of_type)
+
+    voc = kind.isin("VOC", "VOCUngrouped")
+    tog = F.when(voc, F.coalesce("tog", F.raise_error(F.concat(F.lit("no VOC factor for "), F.col("code"))).cast("double"))).otherwise(F.lit(1.0))
+
+    def of_part(p: Column) -> Column:
+        factor = tog * F.col("code_fraction") * p["fraction"]
+        doubled = F.array(result(p["name"], F.col("unit"), factor, True)).cast(of_type)
+        alone = F.when(kind == "PM2.5", F.array(result(p["name"], F.lit("kg/s"), factor)).cast(of_type)).otherwise(F.array(result(p["name"], unit, moles(factor, p["mw"]))).cast(of_type))
+        return F.when(F.coalesce(F.array_contains("stated", p["species_id"]), F.lit(False)), doubled).when(kind == "VOC", in_groups(p["species_id"], p["groups"], factor)).otherwise(alone)
+
+    one = F.col("entry.single")
+    species = F.coalesce(one["species_id"].cast("string"), missing("no species is named ", one["name"]))
+    # without a name at the first place the pollutant has no result
+    of_single = F.when(one.isNull(), F.array().cast(of_type)).when(one["grouped"], in_groups(species, one["groups"], F.lit(1.0))).otherwise(F.array(result(F.when(species.isNotNull(), one["name"]), unit, moles(F.lit(1.0), one["mw"]))).cast(of_type))
+    of_direct = F.transform(F.col("entry.direct"), lambda d: result(d["species"], F.col("unit"), d["factor"])).cast(of_type)
+    no_profile = F.raise_error(F.concat(F.lit("no profile "), F.concat_ws("/", "kind", "code"))).cast(of_type)
+    of_profile = F.coalesce(F.flatten(F.transform("parts", of_part)), no_profile)
+    return F.when(kind == "Single", of_single).when(kind == "Direct", of_direct).otherwise(of_profile)

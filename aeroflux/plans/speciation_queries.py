@@ -109,7 +109,7 @@ def wrapped(sql: str) -> str:
 
 
 def speciated(spark: SparkSession, sf_dir: str, mass: bool) -> DataFrame:
-    out, _ = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir), "M1", mass=mass, partial=True)
+    out, _ = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", mass=mass, partial=True)
     return out.groupBy("pollutant", em.total_unit().alias("unit")).agg(F.round(F.sum(em.amount()), 0 if mass else 2).alias("total"))
 
 
@@ -127,5 +127,5 @@ for _f, _mass in ((speciated_moles, False), (speciated_mass, True)):
 
 @query(f"""SELECT p.pollutant AS source, p.prefix, 'n ' || p.species_id AS pollutant, round(sum(p.amount), 1) AS total FROM ({PARTS}) p JOIN ({DOUBLED}) d ON d.record_key = p.record_key AND d.species_id = p.species_id GROUP BY ALL""".replace("p.pollutant AS source, ", ""))
 def double_counted_species(spark, sf_dir):
-    _, dropped = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir), "M1", partial=True)
+    _, dropped = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", partial=True)
     return dropped.groupBy("prefix", "pollutant").agg(F.round(F.sum(em.amount()), 1).alias("total"))

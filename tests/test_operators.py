@@ -1,6 +1,7 @@
 """Hand-worked cases for matching, time, space, meteorology and scaling."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -265,3 +266,63 @@ def test_air_without_warmth_or_thickness(spark):
     for theta, pressure in ((F.col("theta") - 320.0, F.lit(1e5)), (F.col("theta"), F.lit(0.0))):
         with pytest.raises(Exception, match="over 0"):
             met.stability(air, ["c"], theta, pressure, F.col("height")).collect()
+
+
+def test_matching_levels_equal_all_fallbacks(spark):
+    """The level index finds what trying every fallback finds, also with zeros inside codes and lengths that differ."""
+    rng = random.Random(3)
+    code = lambda n: "".join(rng.choices("0012", k=n))
+    ref = {}
+    for _ in range(60):
+        ref.setdefault((code(4)[: rng.randint(0, 4)].ljust(4, "0"), code(3)[: rng.randint(0, 3)].ljust(3, "0")), len(ref))
+    ref |= {("00000", "000"): 900, ("0", "000"): 901}
+    pairs = {(code(rng.choice([4, 4, 4, 5, 1, 0])), code(3)) for _ in range(300)} | {(None, "000"), ("0000", None)}
+    tries = lambda c: [c[: len(c) - i] + "0" * i for i in range(len(c) + 1)]
+    want = {(a, b): next((ref[x, y] for x in tries(a) for y in tries(b) if (x, y) in ref), None) if a is not None and b is not None else None for a, b in pairs}
+    frame = spark.createDataFrame(list(pairs), "a string, b string")
+    table = spark.createDataFrame([(x, y, v) for (x, y), v in ref.items()] + [(None, "000", 950)], "x string, y string, v int")
+    got = {(r["a"], r["b"]): r["v"] for r in matching.match_code_double(frame, "a", "b", table, "x", "y", "v").collect()}
+    assert got == want
+    one = {x: v for (x, y), v in ref.items() if y == "000"}
+    single = {r["a"]: r["v"] for r in matching.match_code(frame.select("a").distinct(), "a", table.where("y = '000' AND x IS NOT NULL"), "x", "v").collect()}
+    assert single == {a: next((one[x] for x in tries(a) if x in one), None) if a is not None else None for a in {p[0] for p in pairs}}
+    assert [r["v"] for r in matching.match_code(frame.limit(3), "a", table.limit(0), "x", "v").collect()] == [None] * 3
+
+
+def test_speciation_of_every_type(spark):
+    """One record of each type, grouped singles and combinations among them, against rates worked out by hand."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    species = frame([("1", "ethane", 30.0), ("2", "benzene", 78.0), ("9", "benzene", 80.0), ("3", "NO", 30.0)], "species_id string, name string, mw double")
+    data = speciation.SpeciationData(
+        speciation=frame([("VOC", "VOC"), ("EXH__VOC", "VOCUngrouped"), ("NOX", "NOx"), ("PM25", "PM2.5"), ("BENZ", "Single"), ("GRP", ""), ("DIRECT", "")], "pollutant_key string, spec_type string"),
+        spec_names=frame([("BENZ", 0, "benzene", False), ("BENZ", 1, "ethane", False), ("GRP", 0, "benzene", True)], "pollutant_key string, pos int, name string, grouped boolean"),
+        spec_profile=frame([("DIRECT", "A", 0.25), ("DIRECT", "B", 0.75)], "pollutant_key string, species string, factor double"),
+        species=species,
+        voc_to_tog=frame([("p1", 2.0), ("p2", 1.0)], "code string, factor double"),
+        profiles=frame([("voc", "p1", "1", 0.5), ("voc", "p1", "2", 0.5), ("voc", "p2", "1", 1.0), ("gas", "g", "3", 1.0), ("pm", "m", "3", 1.0)], "kind string, code string, species_id string, fraction double"),
+        spec_ref=frame([("10", "VOC", "COMBO"), ("20", "VOC", "p1"), ("00", "NOX", "g"), ("00", "PM25", "m"), ("20", "EXH__VOC", "p2")], "scc string, pol string, code string"),
+        spec_combo=frame([(0, "VOC", "001000", "p1", 0.5), (0, "VOC", "001000", "p2", 0.5)], "period int, pol string, country_fips string, code string, fraction double"),
+        group_factors=speciation.group_factors(frame([("M", "1", "PAR", 2.0), ("M", "2", "PAR", 1.0), ("M", "2", "UNR", 5.0)], "mech string, species_id string, grp string, ratio double"), frame([("M", "PAR", "mol", 14.0), ("M", "UNR", "mol", 16.0)], "mech string, grp string, basis string, mw double"), species.select("species_id", "mw")),
+    )
+    year = "TIMESTAMP '2005-01-01'", "TIMESTAMP '2006-01-01'"
+    rows = [("a", "VOC", "", "20"), ("b", "VOC", "", "11"), ("b", "BENZ", "", "11"), ("c", "VOC", "EXH", "21"), ("d", "NOX", "", "55"), ("d", "PM25", "", "55"), ("e", "GRP", "", "20"), ("f", "DIRECT", "", "20")]
+    df = frame([(k, "s", "f", "01001", scc, 0, pol, pre, 60.0, "kg/s") for k, pol, pre, scc in rows], "record_key string, sector string, file string, fips string, scc string, country int, pollutant string, prefix string, rate double, unit string").selectExpr("*", f"{year[0]} AS begin_ts", f"{year[1]} AS end_ts")
+    out, dropped = speciation.speciate(df, data, "M", partial=True)
+    got = {}
+    for r in out.collect():
+        got[r["record_key"], r["pollutant"]] = got.get((r["record_key"], r["pollutant"]), 0) + r["rate"]
+    want = {
+        ("a", "PAR"): 60 * 2.0 * (0.5 * 2 / 30 + 0.5 / 78), ("a", "UNR"): 60 * 2.0 * 0.5 * 5 / 78,
+        ("b", "PAR"): 0.0, ("b", "benzene"): 60 / 78,
+        ("c", "ethane"): 60 / 30, ("d", "NO"): 60 / 30 + 60, ("e", "PAR"): 60 / 78, ("e", "UNR"): 300 / 78, ("f", "A"): 15.0, ("f", "B"): 45.0,
+    }
+    del want["b", "PAR"]  # both of its species are stated by the record's single pollutant
+    assert got == pytest.approx(want)
+    gone = {(r["record_key"], r["pollutant"]): 0.0 for r in dropped.collect()}
+    for r in dropped.collect():
+        gone[r["record_key"], r["pollutant"]] += r["rate"]
+    assert gone == pytest.approx({("b", "ethane"): 60 * 0.5 * 2 * 0.5 + 60 * 0.5, ("b", "benzene"): 60 * 0.5 * 2 * 0.5})
+    with pytest.raises(Exception, match="no combination"):
+        speciation.speciate(df.where("record_key = 'b'").withColumn("fips", F.lit("99999")), data, "M", partial=True)[0].collect()
+    with pytest.raises(Exception, match="no speciation profile"):
+        speciation.speciate(df.where("record_key = 'a'").withColumn("scc", F.lit("77")), data, "M")[0].collect()
