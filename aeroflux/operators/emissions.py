@@ -5,10 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeroflux.functions.codes import full_name
 from aeroflux.functions.units import seconds_between
 
 SPECIES = ["pollutant", "prefix"]
@@ -57,6 +56,32 @@ def period_totals(emissions: DataFrame, begin: Column, end: Column, by: list[str
     return totals(clipped(emissions, begin, end), by)
 
 
+def window_totals(emissions: DataFrame, windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, pollutant, prefix, window_id, total, unit) for any number of windows (window_id, begin_ts, end_ts), which may overlap; as period_totals of each.
+
+    An interval adds its rate at its begin and takes it back at its end. These changes are added up by group and instant, so a group has as many as it has distinct instants; in their order, running sums give the amount emitted up to each window's bounds, and a window's total is the difference. One pass over the emissions serves all windows; a group without an interval in a window has no row there. A window that ends before it begins fails.
+    """
+    keys = [*(by if by is not None else ["record_key"]), *SPECIES]
+    seconds = lambda t: F.unix_micros(t) / 1e6
+    checked = F.when(F.col("begin_ts") <= F.col("end_ts"), F.col("begin_ts")).otherwise(F.raise_error(F.lit("the window ends before it begins")).cast("timestamp"))
+    ends = windows.select("window_id", F.explode(F.array(F.struct(checked.alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("end_ts").alias("at"), F.lit(1.0).alias("sign")))).alias("e")).select("window_id", "e.at", "e.sign")
+    # instants are counted from a window's bound, so that products of rates and seconds stay small
+    origin = windows.agg(F.min("begin_ts")).scalar()
+    # at one instant ends come first, then bounds, then begins: a window and an interval that only touch have nothing in common
+    changes = F.array(F.struct(F.col("begin_ts").alias("at"), F.lit(2).alias("place"), F.col("rate").alias("change"), F.lit(1).alias("begun"), F.lit(0).alias("ended")), F.struct(F.col("end_ts").alias("at"), F.lit(0).alias("place"), (-F.col("rate")).alias("change"), F.lit(0).alias("begun"), F.lit(1).alias("ended")))
+    events = emissions.where(F.col("begin_ts") < F.col("end_ts")).select(*keys, total_unit().alias("unit"), F.explode(changes).alias("c")).select(*keys, "unit", "c.*")
+    events = events.groupBy(*keys, "at", "place").agg(F.sum("change").alias("change"), F.sum("begun").alias("begun"), F.sum("ended").alias("ended"), F.min("unit").alias("unit"))
+    groups = events.groupBy(*keys).agg(F.min("unit").alias("unit"))
+    bounds = groups.select("*", F.explode(ends.agg(F.collect_set("at")).scalar()).alias("at")).select(*keys, "unit", "at", F.lit(1).alias("place"), F.lit(0.0).alias("change"), F.lit(0).cast("long").alias("begun"), F.lit(0).cast("long").alias("ended"))
+    order = Window.partitionBy(*keys).orderBy("at", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = seconds(F.col("at")) - seconds(origin)
+    running = events.select(*bounds.columns).unionByName(bounds).withColumn("t", t)
+    emitted = F.sum("change").over(order) * F.col("t") - F.sum(F.col("change") * F.col("t")).over(order)
+    at_bounds = running.withColumns({"emitted": emitted, "begun": F.sum("begun").over(order), "ended": F.sum("ended").over(order)}).where("place = 1").drop("place", "change", "t")
+    met = at_bounds.join(ends, "at").groupBy(*keys, "window_id").agg(F.sum(F.col("sign") * F.col("emitted")).alias("total"), F.sum(F.when(F.col("sign") > 0, F.col("begun")).otherwise(-F.col("ended"))).alias("_shared"), F.min("unit").alias("unit"))
+    return met.where("_shared > 0").drop("_shared")
+
+
 def file_totals(emissions: DataFrame) -> DataFrame:
     return totals(emissions, ["sector", "file"])
 
@@ -103,7 +128,3 @@ def consolidate(sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def scale(emissions: DataFrame, factor: Column) -> DataFrame:
     """Rates times a column expression over the row."""
     return emissions.withColumn("rate", F.col("rate") * factor)
-
-
-def with_full_name(df: DataFrame) -> DataFrame:
-    return df.withColumn("full_name", full_name())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aeroflux.functions import periods
 from aeroflux.functions.units import seconds_between
-from aeroflux.operators.emissions import amount, total_unit
+from aeroflux.operators.emissions import SPECIES, amount, total_unit
 from aeroflux.operators.matching import match_code, match_code_double
 
 # Pollutant names (lower case) that measured NOx and SO2 stand for.
@@ -49,23 +49,59 @@ def standard_time(utc: Column, tz: Column) -> Column:
     return F.timestamp_add("SECOND", offset, utc)
 
 
+def profile_arrays(profiles: DataFrame) -> DataFrame:
+    """(code, monthly, weekly, weekday, weekend): a code's shares by slot, null for a kind that it doesn't have."""
+    columns = {"monthly": ("monthly", 12), "weekly": ("weekly", 7), "weekday": ("diurnal weekday", 24), "weekend": ("diurnal weekend", 24)}
+    shares = {name: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("slot", "fraction")))).alias(name) for name, (kind, _) in columns.items()}
+    slots = lambda name, count: F.when(F.size(name) > 0, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col(name)[i]))
+    return profiles.groupBy("code").agg(*shares.values()).select("code", *(slots(name, count).alias(name) for name, (_, count) in columns.items()))
+
+
+def with_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """df with the shares of its codes as arrays, joined once a row, so that hours only look them up."""
+    table = profile_arrays(profiles)
+    out = df.join(table.select(F.col("code").alias("month_code"), F.col("monthly").alias("_m")), "month_code", "left")
+    out = out.join(table.select(F.col("code").alias("week_code"), F.col("weekly").alias("_w")), "week_code", "left")
+    return out.join(table.select(F.col("code").alias("day_code"), F.col("weekday").alias("_d"), F.col("weekend").alias("_e")), "day_code", "left")
+
+
+def weekday_of(local: Column, holiday: Column) -> Column:
+    """0 for Monday to 6 for Sunday; a holiday is a Sunday."""
+    return F.when(holiday, F.lit(6)).otherwise(F.weekday(local))
+
+
+def with_holiday(df: DataFrame, holidays: DataFrame, local: str) -> DataFrame:
+    days = holidays.select(F.col("day").alias("_day")).distinct().withColumn("_holiday", F.lit(True))
+    return df.withColumn("_day", F.to_date(local)).join(days, "_day", "left").drop("_day")
+
+
 def temporal_factor(df: DataFrame, profiles: DataFrame, holidays: DataFrame, local: str = "local_ts") -> DataFrame:
     """df (with month_code, week_code, day_code and a local time) with t_factor.
 
-    Month's share by weeks in the month, by the weekday's share (Monday is 0, a holiday counts as Sunday), by the hour's share of a weekday or weekend. A missing code fails.
+    Month's share by weeks in the month, by the weekday's share (Monday is 0, a holiday counts as Sunday), by the hour's share of a weekday or weekend. A missing code fails. A df that comes from with_profiles already keeps its arrays.
     """
     t = F.col(local)
-    days = holidays.select(F.col("day").alias("_day")).distinct().withColumn("_holiday", F.lit(True))
-    out = df.withColumn("_day", F.to_date(t)).join(days, "_day", "left")
-    weekday = F.when(F.col("_holiday"), F.lit(6)).otherwise(F.weekday(t))
-    out = out.withColumn("_month", F.month(t) - 1).withColumn("_weekday", weekday).withColumn("_hour", F.hour(t)).withColumn("_diurnal", F.when(weekday < 5, "diurnal weekday").otherwise("diurnal weekend"))
-    look = lambda code, slot, name: profiles.select(F.col("kind").alias("_kind"), F.col("code").alias(code), F.col("slot").alias(slot), F.col("fraction").alias(name))
-    out = out.join(look("month_code", "_month", "_m").where(F.col("_kind") == "monthly").drop("_kind"), ["month_code", "_month"], "left")
-    out = out.join(look("week_code", "_weekday", "_w").where(F.col("_kind") == "weekly").drop("_kind"), ["week_code", "_weekday"], "left")
-    out = out.join(look("day_code", "_hour", "_h").withColumnRenamed("_kind", "_diurnal"), ["day_code", "_hour", "_diurnal"], "left")
+    out = with_holiday(df if "_m" in df.columns else with_profiles(df, profiles), holidays, local)
+    weekday = weekday_of(t, F.col("_holiday"))
+    diurnal = F.when(weekday < 5, F.get("_d", F.hour(t))).otherwise(F.get("_e", F.hour(t)))
     missing = F.raise_error(F.concat(F.lit("no temporal profile for "), F.concat_ws("/", "month_code", "week_code", "day_code"))).cast("double")
-    factor = F.col("_m") / periods.weeks_in_month(t) * F.col("_w") * F.col("_h")
-    return out.withColumn("t_factor", F.coalesce(factor, missing)).drop("_day", "_holiday", "_month", "_weekday", "_hour", "_diurnal", "_m", "_w", "_h")
+    factor = F.get("_m", F.month(t) - 1) / periods.weeks_in_month(t) * F.get("_w", weekday) * diurnal
+    return out.withColumn("t_factor", F.coalesce(factor, missing)).drop("_holiday", "_m", "_w", "_d", "_e")
+
+
+def span_of(hours: DataFrame) -> tuple | None:
+    """First and last hour, two values; None without hours."""
+    span = hours.agg(F.min("hour_ts").alias("lo"), F.max("hour_ts").alias("hi")).first()
+    return None if span["lo"] is None else (span["lo"], span["hi"])
+
+
+def reaching(emissions: DataFrame, hours: DataFrame) -> DataFrame:
+    """Rows whose interval reaches into any of the hours' span: the others need no codes and no factors."""
+    span = span_of(hours)
+    if span is None:
+        return emissions.where(F.lit(False))
+    end = F.lit(span[1]).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(1))
+    return emissions.where((F.col("begin_ts") < end) & (F.col("end_ts") > F.lit(span[0]).cast("timestamp")))
 
 
 def in_hours(emissions: DataFrame, hours: DataFrame) -> DataFrame:
@@ -75,10 +111,10 @@ def in_hours(emissions: DataFrame, hours: DataFrame) -> DataFrame:
     """
     day = lambda t: F.to_date(t)
     last = F.col("end_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1).cast("decimal(18,6)"))
-    span = hours.agg(F.min(day("hour_ts")).alias("lo"), F.max(day("hour_ts")).alias("hi")).first()
-    if span["lo"] is None:
-        return emissions.join(hours, F.lit(False))
-    begin, end = F.greatest(day("begin_ts"), F.lit(span["lo"])), F.least(day(last), F.lit(span["hi"]))
+    span = span_of(hours)
+    if span is None:
+        return emissions.join(hours, F.lit(False)).withColumn("in_hour", F.lit(None).cast("double"))
+    begin, end = F.greatest(day("begin_ts"), day(F.lit(span[0]))), F.least(day(last), day(F.lit(span[1])))
     daily = emissions.where(begin <= end).withColumn("_day", F.explode(F.sequence(begin, end)))
     joined = daily.join(hours.withColumn("_day", day("hour_ts")), "_day").drop("_day")
     hour_end = F.col("hour_ts") + F.make_dt_interval(F.lit(0), F.lit(1))
@@ -88,11 +124,45 @@ def in_hours(emissions: DataFrame, hours: DataFrame) -> DataFrame:
 
 def hourly_by_profile(emissions: DataFrame, hours: DataFrame, profiles: DataFrame, holidays: DataFrame) -> DataFrame:
     """emissions (with codes and tz) in each hour: the hour's part, times the temporal factor, times the hours of the UTC year."""
-    rows = in_hours(emissions, hours).withColumn("local_ts", local_time(F.col("hour_ts"), F.col("tz")))
+    rows = in_hours(with_profiles(emissions, profiles), hours).withColumn("local_ts", local_time(F.col("hour_ts"), F.col("tz")))
     factored = temporal_factor(rows, profiles, holidays)
     return factored.withColumn("amount", F.col("in_hour") * F.col("t_factor") * periods.hours_in_year(F.col("hour_ts"))).withColumn("unit", total_unit()).drop("in_hour", "local_ts")
 
 
+def calendar(hours: DataFrame, zones: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(tz, hour_ts, month, weekday, hour, weeks, year_hours): the class of each hour in each zone of ``zones``; as many rows as hours times zones."""
+    known = zones.agg(F.collect_set("tz")).scalar()
+    rows = hours.select("hour_ts").distinct().withColumn("tz", F.explode(known)).withColumn("local_ts", local_time(F.col("hour_ts"), F.col("tz")))
+    t = F.col("local_ts")
+    out = with_holiday(rows, holidays, "local_ts")
+    return out.select("tz", "hour_ts", (F.month(t) - 1).alias("month"), weekday_of(t, F.col("_holiday")).alias("weekday"), F.hour(t).alias("hour"), periods.weeks_in_month(t).alias("weeks"), periods.hours_in_year(F.col("hour_ts")).alias("year_hours"))
+
+
+def hourly_totals(emissions: DataFrame, hours: DataFrame, profiles: DataFrame, holidays: DataFrame, zones: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, pollutant, prefix, hour_ts, amount, unit): sums over records of hourly_by_profile, for any number of hours.
+
+    Hours fall into classes of month, weekday and hour of the day. Rates are added up by codes, zone and interval; profiles multiply these sums once a class, and codes are added up again; only those sums meet the hours of their class. So work follows classes (2,016 a year), not records times hours.
+    """
+    by = by or []
+    keys = [*by, *SPECIES, "unit", "tz", "begin_ts", "end_ts"]
+    sums = with_profiles(reaching(emissions, hours).groupBy(*keys, "month_code", "week_code", "day_code").agg(F.sum("rate").alias("rate")), profiles)
+    missing = F.raise_error(F.concat(F.lit("no temporal profile for "), F.concat_ws("/", "month_code", "week_code", "day_code"))).cast("double")
+    whole = F.col("_m").isNotNull() & F.col("_w").isNotNull() & F.col("_d").isNotNull() & F.col("_e").isNotNull()
+    sums = sums.withColumn("rate", F.when(whole, F.col("rate")).otherwise(missing))
+    # local months that the interval can touch: a day around it covers every zone
+    first, last = F.date_sub(F.to_date("begin_ts"), 1), F.date_add(F.to_date("end_ts"), 1)
+    months = F.array_distinct(F.transform(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.make_ym_interval(F.lit(0), F.lit(1))), lambda d: F.month(d) - 1))
+    day_class = lambda w: F.when(w < 5, F.col("_d")).otherwise(F.col("_e"))
+    by_month = sums.withColumn("month", F.explode(months)).withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    shares = by_month.withColumn("rate", F.col("rate") * F.get("_m", F.col("month")) * F.get("_w", F.col("weekday"))).select(*keys, "month", "weekday", "rate", F.posexplode(day_class(F.col("weekday"))).alias("hour", "_share"))
+    classes = shares.groupBy(*keys, "month", "weekday", "hour").agg(F.sum(F.col("rate") * F.col("_share")).alias("rate"))
+    hour_end = F.col("hour_ts") + F.make_dt_interval(F.lit(0), F.lit(1))
+    met = classes.join(calendar(hours, zones, holidays), ["tz", "month", "weekday", "hour"]).where((F.col("end_ts") > F.col("hour_ts")) & (F.col("begin_ts") < hour_end))
+    seconds = seconds_between(F.greatest("begin_ts", "hour_ts"), F.least("end_ts", hour_end))
+    amount_ = F.col("rate") * seconds / F.col("weeks") * F.col("year_hours")
+    return met.groupBy(*by, *SPECIES, "hour_ts", total_unit().alias("unit")).agg(F.sum(amount_).alias("amount"))
+
+
 MEASURES = ["nox", "so2", "gload", "sload", "heat"]
 
 
@@ -117,14 +187,16 @@ def hour_key(standard: Column) -> Column:
 
 
 def hourly_by_cem(emissions: DataFrame, hours: DataFrame, cem: DataFrame, sums: DataFrame | None = None) -> DataFrame:
-    """emissions (with oris, boiler and tz) of measured units: the record's total times the hour's share; hours without data have none."""
+    """emissions (with oris, boiler and tz) of measured units: the record's total times the hour's share; hours without data have none.
+
+    Hours are a table by zone, with the key under which measurements of that hour stand, and join by the zone: keys are made once a zone and hour, not once a record and hour.
+    """
     sums = cem_sums(cem) if sums is None else sums
     by = [c for c in emissions.columns if c not in ("begin_ts", "end_ts", "rate", "unit")]
     whole = emissions.groupBy(*by).agg(F.sum(amount()).alias("total"), F.min(total_unit()).alias("unit"))
-    span = hours.agg(F.min("hour_ts").alias("lo"), F.max("hour_ts").alias("hi")).first()
-    between = F.sequence(F.lit(span["lo"]).cast("timestamp"), F.lit(span["hi"]).cast("timestamp"), F.make_dt_interval(F.lit(0), F.lit(1)))
-    rows = whole.join(sums, ["oris", "boiler"]).withColumn("hour_ts", F.explode(between)).join(hours.select("hour_ts").distinct(), "hour_ts", "left_semi")
-    keyed = rows.withColumn("hour_key", hour_key(standard_time(F.col("hour_ts"), F.col("tz"))))
+    zones = emissions.agg(F.collect_set("tz")).scalar()
+    times = hours.select("hour_ts").distinct().withColumn("tz", F.explode(zones)).withColumn("hour_key", hour_key(standard_time(F.col("hour_ts"), F.col("tz"))))
+    keyed = whole.join(sums, ["oris", "boiler"]).join(times, "tz")
     return keyed.join(cem, ["oris", "boiler", "hour_key"], "left").withColumn("amount", F.col("total") * cem_share(F.col("pollutant"))).select(*by, "hour_ts", "amount", "unit")
 
 

@@ -86,9 +86,10 @@ HOURLY = f"SELECT fips, pollutant, prefix, hour_ts, in_hour * t_factor * date_di
 
 def hourly_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours of a day; records of one place, code, zone, pollutant and interval are added up before hours multiply them."""
-    coded = tm.assign_temporal(tm.with_zone(emissions_of(spark, sf_dir), view(spark, sf_dir, "zones")), temporal_ref(spark, sf_dir))
+    hours = hours_of(spark, sf_dir, "1996-06-30 12:00:00", 24)
+    coded = tm.assign_temporal(tm.with_zone(tm.reaching(emissions_of(spark, sf_dir), hours), view(spark, sf_dir, "zones")), temporal_ref(spark, sf_dir))
     keys = ["fips", "tz", "month_code", "week_code", "day_code", "pollutant", "prefix", "begin_ts", "end_ts", "unit"]
-    return tm.hourly_emissions(coded.groupBy(*keys).agg(F.sum("rate").alias("rate")), hours_of(spark, sf_dir, "1996-06-30 12:00:00", 24), profiles_of(spark, sf_dir), view(spark, sf_dir, "holidays"))
+    return tm.hourly_emissions(coded.groupBy(*keys).agg(F.sum("rate").alias("rate")), hours, profiles_of(spark, sf_dir), view(spark, sf_dir, "holidays"))
 
 
 @query(f"SELECT pollutant, prefix, hour_ts, round(sum(amount), 2) AS amount FROM ({HOURLY}) y GROUP BY ALL")
@@ -96,6 +97,21 @@ def hourly_by_profile(spark, sf_dir):
     return hourly_of(spark, sf_dir).groupBy("pollutant", "prefix", "hour_ts").agg(F.round(F.sum("amount"), 2).alias("amount"))
 
 
+YEAR = "(SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31 23:00:00', INTERVAL 1 HOUR)) AS hour_ts) h"
+BY_YEAR = f"""SELECT i.tz, i.code, i.pollutant, i.prefix, h.hour_ts, {LOCAL.replace("z.tz", "i.tz")} AS local_ts, sum(i.rate * date_diff('second', greatest(i.begin_ts, h.hour_ts), least(i.end_ts, h.hour_ts + INTERVAL 1 HOUR))) AS in_hour
+FROM (SELECT z.tz, c.code, i.pollutant, i.prefix, i.begin_ts, i.end_ts, sum(i.tons * 907.185 / date_diff('second', i.begin_ts, i.end_ts)) AS rate FROM {{inv}} i JOIN {{zones}} z ON z.fips = i.fips JOIN ({CODE}) c ON c.scc = i.scc AND c.fips = i.fips WHERE i.end_ts > TIMESTAMP '1996-01-01' AND i.begin_ts < TIMESTAMP '1997-01-01' GROUP BY ALL) i
+JOIN {YEAR} ON i.end_ts > h.hour_ts AND i.begin_ts < h.hour_ts + INTERVAL 1 HOUR GROUP BY ALL"""
+
+
+@query(f"SELECT pollutant, prefix, hour_ts, round(sum(in_hour * t_factor * date_diff('hour', date_trunc('year', hour_ts), date_trunc('year', hour_ts) + INTERVAL 1 YEAR)), 2) AS amount FROM ({factor_sql(BY_YEAR)}) f GROUP BY ALL")
+def year_of_hours(spark, sf_dir):
+    """All 8,784 hours of a year by classes of hours."""
+    hours, zones = hours_of(spark, sf_dir, "1996-01-01", 366 * 24), view(spark, sf_dir, "zones")
+    coded = tm.assign_temporal(tm.with_zone(tm.reaching(emissions_of(spark, sf_dir), hours), zones), temporal_ref(spark, sf_dir))
+    out = tm.hourly_totals(coded, hours, profiles_of(spark, sf_dir), view(spark, sf_dir, "holidays"), zones)
+    return out.select("pollutant", "prefix", "hour_ts", F.round("amount", 2).alias("amount"))
+
+
 SUMS = "SELECT oris, boiler, sum(cast(nox AS double)) AS nox_sum, sum(cast(so2 AS double)) AS so2_sum, sum(cast(gload AS double)) AS gload_sum, sum(cast(sload AS double)) AS sload_sum, sum(cast(heat AS double)) AS heat_sum FROM {cem_raw} GROUP BY oris, boiler HAVING sum(gload) > 0 OR sum(sload) > 0 OR sum(heat) > 0"
 
 
