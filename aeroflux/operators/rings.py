@@ -222,3 +222,104 @@ def thinned(rings: Rings, tolerance: float) -> Rings:
         keep[far[open_]] = True
         first, last = np.concatenate([first[open_], far[open_]]), np.concatenate([far[open_], last[open_]])
     return rings.points(keep)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of grid cells [row0, row1) x [col0, col1) of batch rows; a full one has no rings and is covered wholly, the others are single cells whose rings carry the block's number."""
+
+    row: np.ndarray
+    bounds: np.ndarray
+    full: np.ndarray
+    rings: Rings
+
+
+def sizes(kind: str, rings: Rings, count: int) -> np.ndarray:
+    """Area, length or number of points of the rings of each of so many owners."""
+    if kind == "polygon":
+        return np.abs(np.bincount(rings.owner, weights=areas(rings), minlength=count)) if len(rings.x) else np.zeros(count)
+    if kind == "point":
+        return np.bincount(np.repeat(rings.owner, rings.n), minlength=count).astype(float)
+    owner, p, q = segments(rings, close=False)
+    return np.bincount(owner, weights=np.hypot(rings.x[q] - rings.x[p], rings.y[q] - rings.y[p]), minlength=count)
+
+
+def half(kind: str, rings: Rings, axis: int, low: np.ndarray, middle: np.ndarray, high: np.ndarray, upper: bool) -> Rings:
+    """The lower or upper part of each owner's rings, which lie between low and high."""
+    if kind != "polygon":
+        return cut(kind, rings, axis, middle if upper else low, high if upper else middle)
+    sign = 1.0 if upper else -1.0
+    along, across = np.full(len(rings.n), sign), np.zeros(len(rings.n))
+    part = clip(rings, *((along, across) if axis == 0 else (across, along)), sign * middle[rings.owner])
+    return part.take(np.flatnonzero(part.n > 2))
+
+
+def whole(rings: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which blocks, whose corners are x[i, 0], y[i, 0] and x[i, 1], y[i, 1], are covered wholly: one ring of the block's area that runs along its border. Several rings could cover one part twice."""
+    count = len(x)
+    box = (x[:, 1] - x[:, 0]) * (y[:, 1] - y[:, 0])
+    likely = (np.bincount(rings.owner, minlength=count) == 1) & (sizes("polygon", rings, count) >= box * (1 - 1e-9))
+    of = np.repeat(rings.owner, rings.n)
+    near = likely[of]
+    of, px, py = of[near], rings.x[near], rings.y[near]
+    away = np.minimum(np.abs(px[:, None] - x[of]).min(axis=1) / (x[of, 1] - x[of, 0]), np.abs(py[:, None] - y[of]).min(axis=1) / (y[of, 1] - y[of, 0]))
+    inside = np.bincount(of[away > 1e-9], minlength=count) > 0
+    return likely & ~inside
+
+
+def cover(kind: str, rings: Rings, x0: float, y0: float, dx: float, dy: float) -> Blocks:
+    """The cells that each row's rings touch, as a tree of halved blocks.
+
+    A block is halved along its longer side until it is covered wholly or is one cell. A ring's points are copied once a level, not once a row or column of cells, and what is covered wholly needs no geometry.
+    """
+    bounds = np.zeros((0, 4), np.int64)
+    row = np.zeros(0, np.int64)
+    if len(rings.x):
+        rings = rings.take(np.flatnonzero(rings.n > 0))
+        row, number = np.unique(rings.owner, return_inverse=True)
+        rings = Rings(rings.x, rings.y, rings.n, number)
+        of = np.repeat(number, rings.n)
+        span = lambda v, origin, step: [np.floor((f.reduceat(v, np.searchsorted(of, np.arange(len(row)))) - origin) / step).astype(np.int64) for f in (np.minimum, np.maximum)]
+        (r0, r1), (c0, c1) = span(rings.y, y0, dy), span(rings.x, x0, dx)
+        bounds = np.stack([r0, r1 + 1, c0, c1 + 1], axis=1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, Rings]] = []
+    while len(row):
+        x, y = x0 + bounds[:, 2:] * dx, y0 + bounds[:, :2] * dy
+        full = whole(rings, x, y) if kind == "polygon" else np.zeros(len(row), bool)
+        tall, wide = bounds[:, 1] - bounds[:, 0], bounds[:, 3] - bounds[:, 2]
+        done = full | ((tall == 1) & (wide == 1))
+        found.append((row[done], bounds[done], full[done], owned(rings, done & ~full, done)))
+        halves = []
+        for axis, chosen in ((1, ~done & (tall >= wide)), (0, ~done & (tall < wide))):
+            part = owned(rings, chosen, chosen)
+            own, at = bounds[chosen], 0 if axis == 1 else 2
+            middle = (own[:, at] + own[:, at + 1]) // 2
+            place = lambda n: (y0 + n * dy) if axis == 1 else (x0 + n * dx)  # noqa: B023, E731
+            for upper in (False, True):
+                kept = half(kind, part, axis, place(own[:, at]), place(middle), place(own[:, at + 1]), upper)
+                mine = own.copy()
+                mine[:, at if upper else at + 1] = middle
+                some = np.bincount(kept.owner, minlength=len(mine)) > 0
+                halves.append((row[chosen][some], mine[some], owned(kept, some, some)))
+        row, bounds = (np.concatenate(v) for v in list(zip(*halves))[:2])
+        rings = joined([h[2] for h in halves], [len(h[0]) for h in halves])
+    if not found:
+        return Blocks(row, bounds, np.zeros(0, bool), Rings(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    return Blocks(*(np.concatenate([f[k] for f in found]) for k in range(3)), joined([f[3] for f in found], [len(f[0]) for f in found]))
+
+
+def owned(rings: Rings, wanted: np.ndarray, numbered: np.ndarray) -> Rings:
+    """The rings of the wanted owners, who get new numbers among the numbered ones."""
+    part = rings.take(np.flatnonzero(wanted[rings.owner]))
+    return Rings(part.x, part.y, part.n, (np.cumsum(numbered) - 1)[part.owner])
+
+
+def joined(parts: list[Rings], owners: list[int]) -> Rings:
+    """Rings behind each other, owners of each part counted on from the part before."""
+    first = np.cumsum([0, *owners[:-1]])
+    return Rings(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("x", "y", "n")), np.concatenate([p.owner + f for p, f in zip(parts, first)]))
+
+
+def in_order(rings: Rings) -> Rings:
+    """The rings by their owners."""
+    return rings.take(np.argsort(rings.owner, kind="stable"))

@@ -1,6 +1,6 @@
 """Spatial surrogates: shares of an area's emissions in grid cells, from shapes and weights or from given tables.
 
-Shapes have rings of points (array<array<struct<x,y>>>); holes are wound against their shells. To make a surrogate, the plane is tiled with the grid's cells, also beyond the grid; input and weight shapes are cut to tiles and meet by an equi-join on the tile. The size of a common part is the exact sum over signed triangles.
+Shapes have rings of points (array<array<struct<x,y>>>); holes are wound against their shells. To make a surrogate, the plane is tiled with the grid's cells, also beyond the grid; input and weight shapes are cut to tiles by a tree of halved blocks, whose wholly covered ones need no geometry, and meet by an equi-join on the tile. The size of a common part is the exact sum over signed triangles.
 """
 
 from __future__ import annotations
@@ -173,34 +173,38 @@ def with_rings(batch: pa.RecordBatch, rows: np.ndarray, rings: geo.Rings) -> pa.
     return batch.take(pa.array(rows)).set_column(place, field, geo.write(rings, rows, field.type))
 
 
+def geometry_of(shapes: DataFrame) -> T.DataType:
+    return shapes.schema["rings"].dataType
+
+
 def by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
     for kind in pc.unique(batch.column("kind")).to_pylist():
         yield kind, batch.filter(pc.equal(batch.column("kind"), kind))
 
 
-def strips(shapes: DataFrame, strip: str, axis: int, origin: float, step: float) -> DataFrame:
-    """shapes cut along an axis to the strips that their extent touches, with the strip's number."""
-    low, high = (("xmin", "xmax"), ("ymin", "ymax"))[axis]
-    n = lambda c: F.floor((F.col(c) - origin) / step).cast("int")
-    spread = shapes.select("*", *extent(F.col("rings"))).withColumn(strip, F.explode(F.sequence(n(low), n(high)))).drop("xmin", "ymin", "xmax", "ymax")
+def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
+    """(key, kind, row, col, full, size, rings): the plane's tiles that shapes touch, with the part of the shape in each and its area, length or number of points; rows and columns may lie off the grid.
+
+    Tiles that a polygon covers wholly are found as blocks of any size and carry a flag and no rings; blocks become tiles only here, as rows of a few numbers.
+    """
+    names = ["row0", "row1", "col0", "col1"]
+    fields = [*shapes.select(key, "kind").schema.fields, *(T.StructField(n, T.IntegerType()) for n in names), T.StructField("full", T.BooleanType()), T.StructField("size", T.DoubleType()), shapes.schema["rings"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.schema.get_field_index("rings")
             for kind, part in by_kind(batch):
-                start = origin + part.column(strip).to_numpy() * step
-                rings = geo.cut(kind, geo.read(part.column("rings")), axis, start, start + step)
-                yield with_rings(part, np.unique(rings.owner), rings)
+                found = geo.cover(kind, geo.read(part.column("rings")), grid.x0, grid.y0, grid.dx, grid.dy)
+                size = np.where(found.full, grid.dx * grid.dy, geo.sizes(kind, found.rings, len(found.row)))
+                rows = pa.array(found.row)
+                by_block = geo.in_order(found.rings)
+                columns = [part.column(key).take(rows), part.column("kind").take(rows), *(pa.array(found.bounds[:, k], pa.int32()) for k in range(4)), pa.array(found.full), pa.array(size), geo.write(by_block, np.arange(len(found.row)), batch.schema.field(place).type)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return spread.mapInArrow(run, spread.schema)
-
-
-def tiles(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
-    """(key, kind, row, col, rings): shapes cut to the plane's tiles that they touch; rows and columns may lie off the grid.
-
-    Rows are cut first and their parts into columns, so whole rings are copied once a row only.
-    """
-    rows = strips(shapes.select(key, "kind", "rings"), "row", 1, grid.y0, grid.dy)
-    return strips(rows, "col", 0, grid.x0, grid.dx).select(key, "kind", "rings", "row", "col")
+    blocks = shapes.select(key, "kind", "rings").mapInArrow(run, T.StructType(fields))
+    each = lambda low, high: F.explode(F.sequence(F.col(low), F.col(high) - 1))
+    cells = blocks.withColumn("row", each("row0", "row1")).withColumn("col", each("col0", "col1"))
+    return cells.select(key, "kind", "row", "col", "full", "size", F.when(~F.col("full"), F.col("rings")).alias("rings"))
 
 
 def create_surrogate(inputs: DataFrame, weights: DataFrame, grid: Grid, srg_code: str) -> DataFrame:
@@ -208,15 +212,19 @@ def create_surrogate(inputs: DataFrame, weights: DataFrame, grid: Grid, srg_code
 
     The denominator counts all of the shape, also off the grid; cells without weight are absent. A tile full of parts is split by Spark's own skew handling of the join.
     """
-    parts = tiles(inputs.withColumn("kind", F.lit("polygon")), grid, "shape_id").drop("kind").withColumnRenamed("rings", "shape")
+    parts = tiles(inputs.withColumn("kind", F.lit("polygon")), grid, "shape_id").select("shape_id", "row", "col", F.col("full").alias("whole"), F.col("size").alias("held"), F.col("rings").alias("shape"))
     others = tiles(weights, grid, "weight_id").join(weights.select("weight_id", "weight"), "weight_id")
-    met = parts.join(others, ["row", "col"])
+    # a tile that one side covers wholly has the other side's size; only where both have an outline do outlines go on
+    simple = F.when(F.col("whole"), F.col("size")).when(F.col("full"), F.col("held"))
+    outline = lambda c: F.when(~F.col("whole") & ~F.col("full"), F.col(c)).otherwise(F.array().cast(geometry_of(weights))).alias(c)
+    met = parts.join(others, ["row", "col"]).select("shape_id", "row", "col", "kind", "weight", simple.alias("simple"), outline("rings"), outline("shape"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, part in by_kind(batch):
-                sizes = geo.common_sizes(kind, geo.read(part.column("rings")), geo.read(part.column("shape")), part.num_rows)
-                sizes *= part.column("weight").to_numpy(zero_copy_only=False)
+                common = geo.common_sizes(kind, geo.read(part.column("rings")), geo.read(part.column("shape")), part.num_rows)
+                simple = part.column("simple").to_numpy(zero_copy_only=False)
+                sizes = np.where(np.isnan(simple), common, simple) * part.column("weight").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column("shape_id"), part.column("row"), part.column("col"), pa.array(sizes)], names=["shape_id", "row", "col", "size"])
 
     schema = T.StructType([*met.select("shape_id", "row", "col").schema.fields, T.StructField("size", T.DoubleType())])

@@ -266,5 +266,5 @@ def cells_under_shapes(spark, sf_dir):
     """Which cells of a regular grid each shape touches, through tiles of the plane."""
     parts = sg.tiles(boxes(view(spark, sf_dir, "shapes"), "shape_id").withColumn("kind", F.lit("polygon")), GRID, "shape_id")
     on = parts.join(grids.regular_grid(spark, GRID).select("row", "col"), ["row", "col"])
-    real = on.where(sg.size_of(F.col("kind"), F.col("rings")) > 0)
+    real = on.where(F.col("size") > 0)
     return real.groupBy("shape_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("row") * GRID.nx + F.col("col")).alias("numbers"))
