@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from aeroflux.operators import datums, grids
 from aeroflux.operators import surrogates as sg
-from aeroflux.operators.grids import Grid
-from aeroflux.plans.spatial_queries import GRID, surrogate_sql
+from aeroflux.operators.grids import Grid, Projection
+from aeroflux.plans.spatial_queries import GRID, surrogate_of, surrogate_sql
 from aeroflux.plans.views import numbers, oracle, run, view
 from aeroflux.sources import geometry
 
@@ -67,6 +67,23 @@ def stacks_shifted_by_nodes(spark, sf_dir):
     return moved.select("source_id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "shifted")
 
 
+@query("SELECT source_id, round(radians(lon + 96.137) * 6370997.0 * cos(radians(30)), 3) AS x, round(ln(tan(radians(lat) / 2 + pi() / 4)) * 6370997.0 * cos(radians(30)), 3) AS y FROM {stacks}")
+def stacks_on_mercator(spark, sf_dir):
+    x, y = grids.project(F.col("lon"), F.col("lat"), Projection("mercator", 30.0, lon0=-96.137))
+    return view(spark, sf_dir, "stacks").select("source_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+COVERED = f"SELECT 'mixed' AS srg_code, grid, shape_id, row, col, round(sum(weight * f), 9) AS weight, bool_or(covered) AS covered FROM (SELECT *, 0.5 AS f FROM ({surrogate_sql(1, '101')}) a UNION ALL SELECT *, 0.25 FROM ({surrogate_sql(2, '102')}) b) u GROUP BY ALL"
+
+
+@query(COVERED)
+def merged_surrogate_covered(spark, sf_dir):
+    """A merged surrogate with its shapes' flag of lying on the grid."""
+    both = surrogate_of(spark, sf_dir, 1, "101").unionByName(surrogate_of(spark, sf_dir, 2, "102"))
+    merged = sg.merge_surrogates(both, {"mixed": {"101": 0.5, "102": 0.25}})
+    return merged.select("srg_code", "grid", "shape_id", "row", "col", F.round("weight", 9).alias("weight"), "covered")
+
+
 # --- shapes ----------------------------------------------------------------------------------------------------------
 
 
@@ -134,11 +151,11 @@ def frame_surrogate(spark: SparkSession, sf_dir: str, weights: DataFrame) -> Dat
     return sg.create_surrogate(inputs, sg.weight_shapes(weights, GRID, ["attr"], [1.0]), GRID, "300")
 
 
-def frame_sql(total: str, part) -> str:
-    """Shares of frames: part(x1, y1, x2, y2) is the weight's size inside a box, total its whole size."""
+def frame_sql(total: str, part, left: str = "x1", bottom: str = "y1") -> str:
+    """Shares of frames: part(x1, y1, x2, y2) is the weight's size inside a box, total its whole size; left and bottom are its least coordinates."""
     cell = "(SELECT r.i AS row, c.i AS col, c.i * 5.0 AS cx1, r.i * 5.0 AS cy1, c.i * 5.0 + 5 AS cx2, r.i * 5.0 + 5 AS cy2 FROM " + numbers(7, "r(i)") + " CROSS JOIN " + numbers(8, "c(i)") + ")"
     cut = lambda a, b, c, d: part(f"greatest({a}, cx1)", f"greatest({b}, cy1)", f"greatest(greatest({a}, cx1), least({c}, cx2))", f"greatest(greatest({b}, cy1), least({d}, cy2))")
-    w = f"(SELECT *, attr / {total} AS wt FROM {{weights}} WHERE attr > 0 AND x1 <= 40 AND y1 <= 35)"
+    w = f"(SELECT *, attr / {total} AS wt FROM {{weights}} WHERE attr > 0 AND {left} <= 40 AND {bottom} <= 35)"
     s = f"(SELECT shape_id, x1 AS sx1, y1 AS sy1, x2 AS sx2, y2 AS sy2, {', '.join(f'{h} AS h{i}' for i, h in enumerate(HOLE))}, x1 >= 0 AND y1 >= 0 AND x2 <= 40 AND y2 <= 35 AS covered FROM {{shapes}} WHERE x1 <= 40 AND y1 <= 35)"
     inside = f"({part('sx1', 'sy1', 'sx2', 'sy2')} - {part('h0', 'h1', 'h2', 'h3')})"
     in_cell = f"({cut('sx1', 'sy1', 'sx2', 'sy2')} - {cut('h0', 'h1', 'h2', 'h3')})"
@@ -163,14 +180,14 @@ def surrogate_of_triangles(spark, sf_dir):
     return shares(frame_surrogate(spark, sf_dir, rows.select("weight_id", F.lit("polygon").alias("kind"), "rings", "attr")))
 
 
-@query(frame_sql("(x2 - x1)", lambda a, b, c, d: f"(CASE WHEN y1 + 0.375 BETWEEN {b} AND {d} THEN greatest(0.0, least({c}, x2) - greatest({a}, x1)) ELSE 0.0 END)"))
+@query(frame_sql("(x2 - x1)", lambda a, b, c, d: f"(CASE WHEN y1 + 0.375 BETWEEN {b} AND {d} THEN greatest(0.0, least({c}, x2) - greatest({a}, x1)) ELSE 0.0 END)", bottom="y1 + 0.375"))
 def surrogate_of_lines(spark, sf_dir):
     """Frames against level lines, by length."""
     rows = view(spark, sf_dir, "weights").withColumn("rings", F.array(ring(("x1", "y1 + 0.375"), ("x2", "y1 + 0.375"))))
     return shares(frame_surrogate(spark, sf_dir, rows.select("weight_id", F.lit("line").alias("kind"), "rings", "attr")))
 
 
-@query(frame_sql("1.0", lambda a, b, c, d: f"(CASE WHEN x1 + 0.625 BETWEEN {a} AND {c} AND y1 + 0.375 BETWEEN {b} AND {d} THEN 1.0 ELSE 0.0 END)"))
+@query(frame_sql("1.0", lambda a, b, c, d: f"(CASE WHEN x1 + 0.625 BETWEEN {a} AND {c} AND y1 + 0.375 BETWEEN {b} AND {d} THEN 1.0 ELSE 0.0 END)", "x1 + 0.625", "y1 + 0.375"))
 def surrogate_of_points(spark, sf_dir):
     """Frames against points, by their number."""
     rows = view(spark, sf_dir, "weights").withColumn("rings", F.array(ring(("x1 + 0.625", "y1 + 0.375"))))

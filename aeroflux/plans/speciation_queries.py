@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +131,12 @@ for _f, _mass in ((speciated_moles, False), (speciated_mass, True)):
 def double_counted_species(spark, sf_dir):
     _, dropped = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", partial=True)
     return dropped.groupBy("prefix", "pollutant").agg(F.round(F.sum(em.amount()), 1).alias("total"))
+
+
+@query(f"""SELECT f.grp AS pollutant, 'kmol' AS unit, round(sum(t.tons * 907.185 * f.molar), 2) AS total FROM ({TYPED}) t JOIN ({FACTORS}) f ON f.species_id = (SELECT min(species_id) FROM {{species}}) WHERE t.spec_type = 'Single' GROUP BY ALL""")
+def grouped_singles(spark, sf_dir):
+    """A single pollutant that stands for a species' mechanism groups."""
+    data = data_of(spark, sf_dir)
+    grouped = replace(data, spec_names=data.spec_names.withColumn("grouped", F.lit(True))).persisted()
+    out, _ = sp.speciate(emissions_of(spark, sf_dir).where("prefix = 'EXH' AND pollutant = 'NOX'"), grouped, "M1", partial=True)
+    return out.groupBy("pollutant", em.total_unit().alias("unit")).agg(F.round(F.sum(em.amount()), 2).alias("total"))
