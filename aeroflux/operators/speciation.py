@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aeroflux.functions import periods
 from aeroflux.functions.codes import full_name
+from aeroflux.operators.emissions import amount, total_unit
 from aeroflux.operators.matching import fallback, level_of, levels, match_code_double
 
 # Speciation types and the kind of profile each takes.
@@ -158,33 +159,57 @@ def _profile_parts(data: SpeciationData, groups: DataFrame) -> DataFrame:
     return parts.join(data.voc_to_tog.select("code", F.col("factor").alias("tog")), "code", "left")
 
 
-def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: bool = False, partial: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(emissions, dropped) by species or mechanism group; dropped holds what single pollutants of the record state already.
-
-    One pass: distinct keys are resolved to entries and codes, and every row gets one array of its results, whatever its type, which is exploded once. Species that a record states are gathered in a window over the record before rows multiply.
-    """
-    keep = [c for c in emissions.columns if c in ("sector", "file", "fips", "scc", "country")]
-    groups = _groups(data, mechanism, mass)
+def _coded(emissions: DataFrame, data: SpeciationData, groups: DataFrame, partial: bool) -> DataFrame:
+    """emissions with what decides their results: spec_type, entry, the species that their record states, and kind, code and code_fraction of a profile; a combination gives several rows."""
     rows = emissions.withColumns({"full_name": full_name(), "period": periods.period_of(F.col("begin_ts"), F.col("end_ts")), "country_fips": F.concat(F.col("country").cast("string"), F.col("fips"))})
     found = rows.join(_resolved(rows, data, groups, partial), ["scc", "full_name", "pollutant"], "left")
     nothing = F.raise_error(F.concat(F.lit("no speciation type for "), F.col("full_name"))).cast("string")
     found = found.withColumn("spec_type", F.coalesce("entry.type", nothing))
     single, profiled = F.col("spec_type") == "Single", F.col("spec_type").isin(*PROFILE_KIND)
-    stated = F.flatten(F.collect_set(F.when(single, F.col("entry.stated"))).over(Window.partitionBy("record_key")))
+    stated = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(single, F.col("entry.stated"))).over(Window.partitionBy("record_key")))))
     found = found.withColumn("stated", stated).join(_combinations(rows, data.spec_combo, partial), ["period", "pollutant", "country_fips"], "left")
 
     fail = lambda text, *what: F.raise_error(F.concat(F.lit(text), F.concat_ws("/", *what)))
     codes_type = "array<struct<code:string,fraction:double>>"
     plain = F.array(F.struct(F.col("code"), F.lit(1.0).alias("fraction"))).cast(codes_type)
-    combined_ = F.coalesce(F.col("combined").cast(codes_type), fail("no combination for ", "pollutant", "country_fips").cast(codes_type))
-    codes = F.when(~profiled, F.array(F.lit(None).cast("struct<code:string,fraction:double>"))).when(F.col("code").isNull(), fail("no speciation profile for ", "scc", "full_name").cast(codes_type)).when(F.col("code") == "COMBO", combined_).otherwise(plain)
+    several = F.coalesce(F.col("combined").cast(codes_type), fail("no combination for ", "pollutant", "country_fips").cast(codes_type))
+    codes = F.when(~profiled, F.array(F.lit(None).cast("struct<code:string,fraction:double>"))).when(F.col("code").isNull(), fail("no speciation profile for ", "scc", "full_name").cast(codes_type)).when(F.col("code") == "COMBO", several).otherwise(plain)
     kind = F.lit(None).cast("string")
     for spec_type, name in PROFILE_KIND.items():
         kind = F.when(F.col("spec_type") == spec_type, name).otherwise(kind)
-    each = found.select(*keep, *OUT, "spec_type", "entry", "stated", F.explode(codes).alias("c")).withColumns({"kind": kind, "code": F.col("c.code"), "code_fraction": F.col("c.fraction")}).drop("c")
-    with_parts = each.join(_profile_parts(data, groups), ["kind", "code"], "left").withColumn("results", _results(mechanism, mass))
-    out = with_parts.select(*keep, *OUT, F.explode("results").alias("r")).withColumns({"pollutant": F.col("r.pollutant"), "unit": F.col("r.unit"), "rate": F.col("rate") * F.col("r.factor")})
-    return out.where("NOT r.doubled").select(*keep, *OUT), out.where("r.doubled").select(*keep, *OUT)
+    return found.select(*emissions.columns, "spec_type", "entry", "stated", F.explode(codes).alias("c")).withColumns({"kind": kind, "code": F.col("c.code"), "code_fraction": F.col("c.fraction")}).drop("c")
+
+
+def _spread(coded: DataFrame, data: SpeciationData, groups: DataFrame, mechanism: str, mass: bool, keep: list[str], amount: str) -> DataFrame:
+    """Every row's results, exploded once; ``amount`` is multiplied, ``doubled`` marks what a single pollutant states."""
+    with_parts = coded.join(_profile_parts(data, groups), ["kind", "code"], "left").withColumn("results", _results(mechanism, mass))
+    return with_parts.select(*keep, F.explode("results").alias("r")).withColumns({"pollutant": F.col("r.pollutant"), "unit": F.col("r.unit"), amount: F.col(amount) * F.col("r.factor"), "doubled": F.col("r.doubled")}).drop("r")
+
+
+def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: bool = False, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(emissions, dropped) by species or mechanism group; dropped holds what single pollutants of the record state already.
+
+    One pass: distinct keys are resolved to entries and codes, and every row gets one array of its results, whatever its type, which is exploded once. Species that a record states are gathered in a window over the record before rows multiply.
+    """
+    keep = [*(c for c in emissions.columns if c in ("sector", "file", "fips", "scc", "country")), *OUT]
+    groups = _groups(data, mechanism, mass)
+    out = _spread(_coded(emissions, data, groups, partial), data, groups, mechanism, mass, keep, "rate")
+    return out.where("NOT doubled").select(*keep), out.where("doubled").select(*keep)
+
+
+def speciated_totals(emissions: DataFrame, data: SpeciationData, mechanism: str, by: list[str] | None = None, mass: bool = False, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(totals, dropped) of speciate by the columns ``by`` of emissions: (by, pollutant, total, unit).
+
+    Rows that become the same species in the same shares are added up before they multiply by species, so what is exploded follows codes, not records.
+    """
+    by = by or []
+    groups = _groups(data, mechanism, mass)
+    same = [*by, "unit", "spec_type", "entry", "stated", "kind", "code", "code_fraction"]
+    coded = _coded(emissions, data, groups, partial).groupBy(*same).agg(F.sum(amount()).alias("total"))
+    out = _spread(coded, data, groups, mechanism, mass, [*by, "unit", "total"], "total")
+    sums = out.groupBy(*by, "pollutant", total_unit().alias("unit"), "doubled").agg(F.sum("total").alias("total"))
+    columns = [*by, "pollutant", "total", "unit"]
+    return sums.where("NOT doubled").select(*columns), sums.where("doubled").select(*columns)
 
 
 def _results(mechanism: str, mass: bool) -> Column:

@@ -140,3 +140,22 @@ def grouped_singles(spark, sf_dir):
     grouped = replace(data, spec_names=data.spec_names.withColumn("grouped", F.lit(True))).persisted()
     out, _ = sp.speciate(emissions_of(spark, sf_dir).where("prefix = 'EXH' AND pollutant = 'NOX'"), grouped, "M1", partial=True)
     return out.groupBy("pollutant", em.total_unit().alias("unit")).agg(F.round(F.sum(em.amount()), 2).alias("total"))
+
+
+def speciated_by_sector(spark, sf_dir):
+    """Moles of groups and species by sector: rows are added up by their codes before they become species."""
+    out, _ = sp.speciated_totals(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", ["sector"], partial=True)
+    return out.select("sector", "pollutant", "unit", F.round("total", 2).alias("total"))
+
+
+QUERIES["speciated_by_sector"] = speciated_by_sector
+ORACLE_SQL["speciated_by_sector"] = wrapped(
+    speciated_sql(False)
+    .replace("SELECT pollutant, unit, round(", "SELECT sector, pollutant, unit, round(")
+    .replace("AS pollutant, 'kmol' AS unit, p.amount", "AS pollutant, p.sector, 'kmol' AS unit, p.amount")
+    .replace("p.species_id, 'kmol', p.amount", "p.species_id, p.sector, 'kmol', p.amount")
+    .replace("p.species_id, 'kg', p.amount", "p.species_id, p.sector, 'kg', p.amount")
+    .replace("s.species_id, 'kmol', t.tons", "s.species_id, t.sector, 'kmol', t.tons")
+    .replace("SELECT x.species, 'kg', t.tons", "SELECT x.species, t.sector, 'kg', t.tons")
+    .replace("SELECT t.record_key, t.pollutant", "SELECT t.record_key, t.sector, t.pollutant")
+)

@@ -322,6 +322,9 @@ def test_speciation_of_every_type(spark):
     for r in dropped.collect():
         gone[r["record_key"], r["pollutant"]] += r["rate"]
     assert gone == pytest.approx({("b", "ethane"): 60 * 0.5 * 2 * 0.5 + 60 * 0.5, ("b", "benzene"): 60 * 0.5 * 2 * 0.5})
+    for rows_of, sums_of in zip(speciation.speciate(df, data, "M", partial=True), speciation.speciated_totals(df, data, "M", ["record_key"], partial=True)):
+        by_row = {(r["record_key"], r["pollutant"], r["unit"][:-2]): r["total"] for r in rows_of.groupBy("record_key", "pollutant", "unit").agg((F.sum("rate") * 365 * 86400).alias("total")).collect()}
+        assert {(r["record_key"], r["pollutant"], r["unit"]): r["total"] for r in sums_of.collect()} == pytest.approx(by_row)
     with pytest.raises(Exception, match="no combination"):
         speciation.speciate(df.where("record_key = 'b'").withColumn("fips", F.lit("99999")), data, "M", partial=True)[0].collect()
     with pytest.raises(Exception, match="no speciation profile"):
