@@ -6,6 +6,8 @@ A bucket's collection is built column by column: each round inserts one symbol p
 
 Streams stay in memory, not in files, because buckets are bounded: equal runs are collapsed before the construction, already in the task that cuts them out; a hash with very many runs is dealt out by whole strings.
 
+Most runs are settled by their hashes: two runs are taken for equal if bucket, 40 bits of the smallest gram's hash, the length and 64 bits of the run's hash agree, and their bytes are not compared. So a removal can be wrong where two different runs of one length agree in more than 104 bits of hashes; among n runs the chance of one such pair is below n * n / 2**105, which is 2e-8 for 10**12 runs.
+
 Defined results: a null text is empty; matches never cross documents; rows with the same doc_id are told apart by a hash of their text, and identical rows are one document; a null doc_id comes first; texts shorter than ``length`` stay whole; other columns are ignored.
 """
 
