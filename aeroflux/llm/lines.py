@@ -6,7 +6,7 @@ Recurrence counts documents that differ: copies and near copies (``nearcopies``:
 
 One pass over the texts gives the lines' hashes and the documents' near-copy keys. Only leaves that enough documents have are looked at further, which are few. Their lines meet by equal segments of the places behind the leading words, which misses no pair within the allowed share of variable places; a leaf is never held by one task, and a segment that many lines share is dealt to pairs of chunks (``linking``).
 
-Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every document that has it; repeated rows and equal texts are one group; other columns pass through unchanged, whatever their names.
+Defined results: a null text stays null; lines without a word always stay and keep their place; line ends are line feeds; a template counts once for every document that has it; repeated rows and equal texts are one group; other columns pass through unchanged, whatever their names. Texts of any length are parsed whole, in blocks of about 2 MB cut at white space. Lines are told apart by 64-bit hashes, their words by 32 bits: a chance agreement (once in 4.3 billion pairs of different words) counts as an equal place, and no agreement is ever missed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from aeroflux.llm import nearcopies
 from aeroflux.llm.common import checkpoint, prepare, stored
 from aeroflux.llm.linking import connected, stars
-from aeroflux.llm.wording import Words, stretches
+from aeroflux.llm.wording import CODE, Words, stretches
 
 #: Documents that must share a template, leading words of a leaf, and the share of places that may vary.
 MIN_DOCS, LEADING, VARIABLE = 4, 3, 0.2
@@ -51,7 +51,8 @@ def _rows_of(texts: list[bytes | None], nodes: np.ndarray) -> pa.RecordBatch:
     again = np.r_[False, (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])] if len(order) else np.zeros(0, bool)
     keep = np.sort(order[~again])
     codes = words.codes().tobytes()
-    data = [codes[2 * a : 2 * (a + n)] for a, n in zip(start[keep].tolist(), count[keep].tolist())]
+    wide = CODE.itemsize
+    data = [codes[wide * a : wide * (a + n)] for a, n in zip(start[keep].tolist(), count[keep].tolist())]
     keys = nearcopies.keys_of(words)
     own = [i for i, k in enumerate(keys) if k is not None]
     none = pa.nulls(len(own), pa.int64())
@@ -117,7 +118,7 @@ def recurring(leaf: list[tuple[int, set, bytes]], min_docs: int = MIN_DOCS, vari
         return i
 
     if leaf:
-        for i, j in spanning(np.stack([np.frombuffer(codes, "<u2") for _, _, codes in leaf]), variable):
+        for i, j in spanning(np.stack([np.frombuffer(codes, CODE) for _, _, codes in leaf]), variable):
             x, y = top(i), top(j)
             root[max(x, y)] = min(x, y)
     of: dict[int, set] = {}
@@ -128,20 +129,21 @@ def recurring(leaf: list[tuple[int, set, bytes]], min_docs: int = MIN_DOCS, vari
 
 def templates(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK) -> DataFrame:
     """(line, template) of lines that others of their leaf are like, from (line, leaf, data), each line once."""
+    wide = CODE.itemsize
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes = [], []
             for line, leaf, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b in segments(len(codes) // 2, variable):
-                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, a) + codes[2 * a : 2 * b]) - (1 << 63))
+                for a, b in segments(len(codes) // wide, variable):
+                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, a) + codes[wide * a : wide * b]) - (1 << 63))
                     nodes.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
 
     def judge(mine: list[bytes], its: list[bytes]) -> list[bool]:
         out = []
         for a, b in zip(mine, its):
-            x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+            x, y = np.frombuffer(a, CODE), np.frombuffer(b, CODE)
             out.append(len(x) == len(y) and int((x != y).sum()) <= int(len(x) * variable))
         return out
 
@@ -149,7 +151,7 @@ def templates(lines: DataFrame, variable: float = VARIABLE, chunk: int = CHUNK)
         found = []
         edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            codes = np.frombuffer(b"".join(data[a:b]), "<u2").reshape(b - a, -1)  # a star's lines are of one leaf
+            codes = np.frombuffer(b"".join(data[a:b]), CODE).reshape(b - a, -1)  # a star's lines are of one leaf
             found += [(a + i, a + j) for i, j in spanning(codes, variable, label[a:b], None if part is None else part[a:b])]
         return found
 

@@ -4,7 +4,7 @@ Filters over byte windows are learned by gradient descent; a document is covered
 
 ``sample`` draws the bounded training rows, ``train`` fits on the driver, ``score`` runs over every whole text inside Arrow batches.
 
-Defined results: null and empty texts are scored as no chunk (all features zero); without usable labels every score is 0.5; repeated rows give repeated results; other columns are ignored.
+Defined results: null and empty texts are scored as no chunk (all features zero); without usable labels every score is 0.5; repeated rows give repeated results; other columns are ignored. Texts of any length are scored whole: beside its bytes, a text needs 64 bytes for each of its chunks and one group of GROUP chunks unfolded.
 """
 
 from __future__ import annotations
@@ -25,13 +25,20 @@ CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 1024, 64, 6, 2, 8, 16
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 7
 THRESHOLD = 0.3
 STEP = CHUNK - OVERLAP
+#: Chunks that are unfolded together when texts are scored.
+GROUP = 512
+
+
+def chunk_count(size: int) -> int:
+    """Chunks that cover so many bytes."""
+    return max(1, -(-(size - OVERLAP) // STEP)) if size else 0
 
 
 def chunks_of(data: np.ndarray) -> np.ndarray:
     """Overlapping chunks that cover all bytes, as (count, CHUNK) symbols; 0 pads, byte b is b + 1."""
     if data.size == 0:
         return np.zeros((0, CHUNK), np.int32)
-    count = max(1, -(-(data.size - OVERLAP) // STEP))
+    count = chunk_count(data.size)
     padded = np.zeros((count - 1) * STEP + CHUNK, np.int32)
     padded[: data.size] = data
     padded[: data.size] += 1
@@ -163,28 +170,26 @@ def _gradients(network: Network, chunks: np.ndarray, document: np.ndarray, label
 
 
 def document_features(network: Network, tables: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Features of a batch's texts; chunks are pooled in groups of bounded size."""
-    features = np.zeros((len(texts), 2 * FILTERS), np.float32)
+    """Features of a batch's texts; at most GROUP chunks are unfolded at a time, a long text's in several groups."""
+    pooled, document = [np.zeros((0, FILTERS), np.float32)], [np.zeros(0, np.int64)]
     group: list[np.ndarray] = []
-    owners: list[int] = []
 
     def flush() -> None:
-        if owners:
-            document = np.repeat(owners, [len(c) for c in group])
-            pooled, _ = network.pooled(np.concatenate(group), tables)
-            features[owners] = network.features(pooled, document, len(texts))[owners]
+        if group:
+            pooled.append(network.pooled(np.concatenate(group), tables)[0])
             group.clear()
-            owners.clear()
 
     for i, text in enumerate(texts):
-        chunks = chunks_of(np.frombuffer(text.as_py() or b"", np.uint8))
-        if len(chunks):
-            group.append(chunks)
-            owners.append(i)
-        if sum(map(len, group)) >= 512:
-            flush()
+        data = np.frombuffer(text.as_py() or b"", np.uint8)
+        count = chunk_count(data.size)
+        document.append(np.full(count, i))
+        for first in range(0, count, GROUP):
+            some = min(GROUP, count - first)
+            group.append(chunks_of(data[first * STEP : (first + some - 1) * STEP + CHUNK]))
+            if sum(map(len, group)) >= GROUP:
+                flush()
     flush()
-    return features
+    return network.features(np.concatenate(pooled), np.concatenate(document), len(texts))
 
 
 def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:

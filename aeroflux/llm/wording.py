@@ -15,6 +15,8 @@ import xxhash
 BLOCK = 1 << 21
 #: Words over so many bytes are hashed one by one.
 LONG_WORD = 128
+#: What a line keeps of each word: 32 bits, so two different words are taken for equal once in 4.3 billion.
+CODE = np.dtype("<u4")
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -123,8 +125,8 @@ class Words:
         return number, stir(sums ^ size), leaf, start, count
 
     def codes(self) -> np.ndarray:
-        """16 bits of each word's hash, to compare words by."""
-        return (self.exact >> np.uint64(48)).astype("<u2")
+        """The upper half of each word's hash, to compare words by."""
+        return (self.exact >> np.uint64(32)).astype(CODE)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, where each text's begin): every shingle of so many words, repeats included; a shorter text is one shingle."""

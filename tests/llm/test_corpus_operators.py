@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from aeroflux.llm import ann, langid, lines, media, mixing, packing, quality, sharding, simhash, suffix
+from aeroflux.llm import ann, langid, lines, media, mixing, packing, quality, sharding, simhash, suffix, wording
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, row_id long"
@@ -337,10 +337,10 @@ def test_line_templates(spark):
 
 
 def test_template_generalises_variable_places():
-    leaf = [(k, {k}, np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + k], "<u2").tobytes()) for k in range(6)]
+    leaf = [(k, {k}, np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + k], wording.CODE).tobytes()) for k in range(6)]
     assert sorted(lines.recurring(leaf)) == list(range(6))
     assert lines.recurring([(line, {0}, codes) for line, _, codes in leaf]) == []
-    apart = [(k, {k}, np.arange(10 * k, 10 * k + 10).astype("<u2").tobytes()) for k in range(6)]
+    apart = [(k, {k}, np.arange(10 * k, 10 * k + 10).astype(wording.CODE).tobytes()) for k in range(6)]
     assert lines.recurring(apart) == [] and lines.recurring([]) == []
 
 

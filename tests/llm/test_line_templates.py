@@ -4,7 +4,7 @@ import random
 
 from test_corpus_operators import words
 
-from aeroflux.llm import lines
+from aeroflux.llm import lines, wording
 
 
 def test_documents_that_share_a_passage_differ(spark):
@@ -56,3 +56,22 @@ def test_templates_of_one_leaf_equal_brute_force(spark):
         top = {r["line"]: r["template"] for r in lines.templates(distinct, chunk=chunk).collect()}
         of = [top.get(h, h) for h in hashes]
         assert all((of[i] == of[j]) == (find(i) == find(j)) for i in range(len(texts)) for j in range(i))
+
+
+def test_words_that_agree_in_sixteen_bits_are_different(spark):
+    """Lines of ten words, two of which may vary, differ in three places; two words of one place agree in the upper 16 bits of their hashes."""
+    rng = random.Random(31)
+    seen, pair = {}, None
+    while pair is None:
+        some = [words(rng, 1) for _ in range(2000)]
+        hashes = wording.Words([" ".join(some).encode()], exact=True).exact.tolist()
+        for word, value in zip(some, hashes):
+            other = seen.setdefault(value >> 48, word)
+            if other != word:
+                pair = pair or (other, word)
+    start = "the same three words that all share "
+    lines_of = [start + "%s %s %s" % x for x in (("aa", "ab", pair[0]), ("ba", "bb", pair[1]))]
+    frame = spark.createDataFrame([(k, words(rng, 30) + "\n" + lines_of[k % 2]) for k in range(6)], "doc_id long, text string")
+    assert all(r["n_dropped"] == 0 for r in lines.drop_lines(frame).collect())
+    apart = lines.templates(lines.parsed(frame).where("line IS NOT NULL").dropDuplicates(["line"]).select("line", "leaf", "data"))
+    assert apart.groupBy("template").count().where("count > 1").count() == 0

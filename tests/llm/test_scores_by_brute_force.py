@@ -4,8 +4,10 @@ import hashlib
 import io
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from test_corpus_operators import words
@@ -96,3 +98,21 @@ def test_resize_of_tall_images_holds_few_rows():
     image[:250_000] = 3
     small = media.area_resize(image, 8, 9)
     assert (small[:4] == pytest.approx(3)) and (small[4:] == pytest.approx(7))
+
+
+def test_quality_of_a_long_text_needs_little_memory_and_no_other_result():
+    """Groups of a text's chunks give what all of them at once give; of 12 MB no unfolded copy is held."""
+    rng = np.random.default_rng(3)
+    network = quality.Network(seed=11)
+    tables = network.tables()
+    data = rng.integers(1, 255, 12_000_000, dtype=np.uint8).tobytes()
+    texts = pa.array([b"short", data, b"", data[: quality.STEP * quality.GROUP + quality.OVERLAP], None, data[: quality.STEP * quality.GROUP + quality.OVERLAP + 1]], pa.binary())
+    tracemalloc.start()
+    got = quality.document_features(network, tables, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(data)
+    for i, text in enumerate(texts):
+        chunks = quality.chunks_of(np.frombuffer(text.as_py() or b"", np.uint8))
+        pooled = network.pooled(chunks, tables)[0]
+        assert np.array_equal(got[i], network.features(pooled, np.zeros(len(chunks), np.int64), 1)[0])
