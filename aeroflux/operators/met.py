@@ -56,35 +56,54 @@ def plume_rise(height: Column, diameter: Column, temperature: Column, velocity:
     return F.when(momentum, d * F.pow(v, F.lit(1.4)) / F.pow(w, F.lit(1.4))).when(stable, calm).otherwise(rough)
 
 
-def profiles(met: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each column of air: its levels in order."""
-    level = F.struct("k", "height", "temp", "wind", "stable", "s1")
-    return met.groupBy(*by).agg(F.sort_array(F.collect_list(level)).alias("levels"))
+def tops(met: DataFrame, by: list[str], kemit: int) -> DataFrame:
+    """(by, _top, _level): the top of each layer from 0 to kemit - 2, with the layer's k and air; the last but one layer has no top. ``air`` is null where a column lacks the layer itself."""
+    air = F.struct("temp", "wind", "stable", "s1")
+    below = F.lag(F.struct("k", air.alias("air"))).over(_column(by))
+    level = F.struct((F.col("k") - 1).cast("int").alias("k"), F.when(below["k"] == F.col("k") - 1, below["air"]).alias("air"))
+    bounded = met.select(*by, F.col("height").alias("_top"), level.alias("_level")).where(F.col("_level.k").between(0, kemit - 2) & F.col("_top").isNotNull())
+    last = met.where(F.col("k") == kemit - 2).select(*by, F.lit(float("inf")).alias("_top"), F.struct(F.col("k").cast("int").alias("k"), air.alias("air")).alias("_level"))
+    return bounded.unionByName(last)
 
 
-def layer_at(levels: Column, height: Column, kemit: int) -> Column:
-    """First layer whose top is at or over a height; the last but one layer if none is. A height that isn't a number fails."""
-    height = F.when(F.isnan(height), F.raise_error(F.lit("the plume's height is not a number")).cast("double")).otherwise(height)
-    tops = F.transform(F.sequence(F.lit(0), F.lit(kemit - 2)), lambda k: F.struct(k.alias("k"), F.get(levels, k + 1)["height"].alias("top")))
-    hit = F.filter(tops, lambda t: t["top"] >= height)
-    return F.coalesce(F.get(hit, F.lit(0))["k"], F.lit(kemit - 2))
+def layers_over(points: DataFrame, tops: DataFrame, by: list[str], height: str, name: str) -> DataFrame:
+    """points with ``name``, the lowest of their column's layers whose top is at or over a height, null if none is. A height that isn't a number fails.
+
+    Heights and tops of a column lie one behind the other in one sorted window, from the highest down, so the work follows their number, not their product; tops needn't grow with k.
+    """
+    number = F.when(F.isnan(height), F.raise_error(F.lit("the plume's height is not a number")).cast("double")).otherwise(F.col(height))
+    level = tops.schema["_level"].dataType
+    own = points.select("*", number.alias("_top"), F.lit(None).cast(level).alias("_level"), F.lit(True).alias("_point"))
+    both = own.unionByName(tops.withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy(F.col("_top").desc(), "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(name, F.when(F.col("_top").isNotNull(), F.min("_level").over(order))).where("_point")
+    return found.select(*points.columns, name)
+
+
+#: What a plume's layer depends on, beside the air.
+STACK = ["height_m", "diam_m", "temp_k", "vel_ms"]
 
 
 def plume_layer(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int) -> DataFrame:
-    """stacks (with the columns ``by`` of their cell) with layer: the stack's own layer gives the air, the rise gives the layer; off the grid it is 0."""
+    """stacks (with the columns ``by`` of their cell) with layer: the stack's own layer gives the air, the rise gives the layer; off the grid it is 0.
+
+    Equal stacks of a cell are worked out once. Stacks meet layers by sorted windows, so no row holds a whole column of air.
+    """
     if kemit <= 1:
         return stacks.withColumn("layer", F.lit(0))
-    joined = stacks.join(profiles(met, by), by, "left")
-    levels = F.col("levels")
     stack = F.greatest("height_m", F.lit(0.0))
-    top = F.element_at(levels, -1)["height"]
-    stack = F.when(stack > top, F.raise_error(F.concat(F.lit("a stack is higher than the layers: "), stack.cast("string"))).cast("double")).otherwise(stack)
-    at = layer_at(levels, stack, kemit)
-    air = F.get(levels, at)
+    columns = met.groupBy(*by).agg(F.max_by("height", "k").alias("_highest"))
+    own = stacks.select(*by, *STACK).distinct().join(columns, by)
+    too_high = F.raise_error(F.concat(F.lit("a stack is higher than the layers: "), stack.cast("string"))).cast("double")
+    own = own.withColumn("_height", F.when(stack > F.col("_highest"), too_high).otherwise(stack)).drop("_highest")
+    layers = tops(met, by, kemit)
+    air = F.col("_own.air")
     rise = plume_rise(F.col("height_m"), F.col("diam_m"), F.col("temp_k"), F.col("vel_ms"), air["temp"], air["wind"], air["stable"], air["s1"])
-    joined = joined.withColumn("rise", rise)
-    layer = layer_at(levels, F.greatest("height_m", F.lit(0.0)) + F.col("rise"), kemit)
-    return joined.withColumn("layer", F.when(levels.isNotNull(), layer).otherwise(F.lit(0))).drop("levels")
+    raised = layers_over(own, layers, by, "_height", "_own").where(F.col("_own.air").isNotNull()).select(*by, *STACK, (stack + rise).alias("_height"))
+    placed = layers_over(raised, layers, by, "_height", "_over").select(*by, *STACK, F.coalesce("_over.k", F.lit(kemit - 2)).alias("_layer"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*by, *STACK]]
+    joined = stacks.alias("s").join(placed.alias("l"), same, "left")
+    return joined.select(*(f"s.{c}" for c in stacks.columns if c != "layer"), F.coalesce("l._layer", F.lit(0)).alias("layer"))
 
 
 def plume_layer_by_hour(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int, hour: str = "hour_ts", frame: str = "frame_ts", oldest_hours: float | None = None) -> DataFrame:
@@ -98,9 +117,5 @@ def plume_layer_by_hour(stacks: DataFrame, met: DataFrame, by: list[str], kemit:
     if oldest_hours is not None:
         found = found.withColumn("_frame", F.when(F.timestamp_diff("SECOND", F.col("_frame"), F.col(hour)) <= oldest_hours * 3600, F.col("_frame")))
     timed = stacks.join(found, [*by, hour], "left")
-    shape = ["height_m", "diam_m", "temp_k", "vel_ms"]
-    distinct = timed.where(F.col("_frame").isNotNull()).select(*by, "_frame", *shape).distinct()
-    layers = plume_layer(distinct, met.withColumn("_frame", F.col(frame)), [*by, "_frame"], kemit)
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*by, "_frame", *shape]]
-    joined = timed.alias("s").join(layers.select(*by, "_frame", *shape, F.col("layer").alias("_layer")).alias("l"), same, "left")
-    return joined.select(*(f"s.{c}" for c in stacks.columns if c != "layer"), F.coalesce("l._layer", F.lit(0)).alias("layer"))
+    # before the first frame there is no column of air to meet, so the layer is 0
+    return plume_layer(timed, met.withColumn("_frame", F.col(frame)), [*by, "_frame"], kemit).drop("_frame")
