@@ -93,7 +93,8 @@ def plume_layer(stacks: DataFrame, met: DataFrame, by: list[str], kemit: int) ->
         return stacks.withColumn("layer", F.lit(0))
     stack = F.greatest("height_m", F.lit(0.0))
     columns = met.groupBy(*by).agg(F.max_by("height", "k").alias("_highest"))
-    own = stacks.select(*by, *STACK).distinct().join(columns, by)
+    # Spark's estimate of stacks in hours is that of the stacks alone, so it would send them to every executor: hints keep these joins shuffled
+    own = stacks.select(*by, *STACK).distinct().hint("merge").join(columns, by)
     too_high = F.raise_error(F.concat(F.lit("a stack is higher than the layers: "), stack.cast("string"))).cast("double")
     own = own.withColumn("_height", F.when(stack > F.col("_highest"), too_high).otherwise(stack)).drop("_highest")
     layers = tops(met, by, kemit)
@@ -116,6 +117,6 @@ def plume_layer_by_hour(stacks: DataFrame, met: DataFrame, by: list[str], kemit:
     found = latest_time(stacks, met, by, hour, frame, "_frame")
     if oldest_hours is not None:
         found = found.withColumn("_frame", F.when(F.timestamp_diff("SECOND", F.col("_frame"), F.col(hour)) <= oldest_hours * 3600, F.col("_frame")))
-    timed = stacks.join(found, [*by, hour], "left")
+    timed = stacks.hint("merge").join(found, [*by, hour], "left")
     # before the first frame there is no column of air to meet, so the layer is 0
     return plume_layer(timed, met.withColumn("_frame", F.col(frame)), [*by, "_frame"], kemit).drop("_frame")

@@ -3,7 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from aeroflux.operators import met
+from aeroflux.operators.temporal import steps
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
 STACKS = "id int, row int, height_m double, diam_m double, temp_k double, vel_ms double"
@@ -46,3 +49,12 @@ def test_no_row_holds_a_column_of_air(spark):
     air, stacks = air_and_stacks(spark)
     got = met.plume_layer(spark.createDataFrame(stacks, STACKS), spark.createDataFrame(air, AIR), ["row"], 40)
     assert "collect_list" not in plan(got)
+
+
+def test_stacks_in_hours_are_not_broadcast(spark):
+    air, stacks = air_and_stacks(spark)
+    start = F.lit("2024-01-01").cast("timestamp")
+    hours = steps(spark.createDataFrame(stacks, STACKS), start, start + F.make_dt_interval(F.lit(1)))
+    got = met.plume_layer_by_hour(hours, spark.createDataFrame(air, AIR).withColumn("frame_ts", start), ["row"], 40)
+    assert plan(got).count("SortMergeJoin") >= 2
+    assert {r["id"]: r["layer"] for r in got.collect()} == {s[0]: layer_by_hand(air, s, 40) for s in stacks}
