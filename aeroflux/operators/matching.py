@@ -48,6 +48,12 @@ def _matched(df: DataFrame, columns: list[str], ref: DataFrame, ref_columns: lis
     return found.groupBy(*by, *columns).agg(F.min_by("_value", "_level").alias(value))
 
 
+def _classes(df: DataFrame, column: str, ref: DataFrame, ref_column: str, name: str, by: list[str]) -> DataFrame:
+    """Each distinct code with its class: the most specific code of the reference that it meets. Code and class meet the same less specific ones, so pairs of codes match as pairs of classes do, of which there are no more than the reference's codes make. One row for each code of a list, so small that it can be sent to all executors."""
+    own = ref.select(*by, ref_column, F.col(ref_column).alias(name)).distinct()
+    return _matched(df, [column], own, [ref_column], name, by)
+
+
 def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
     """df with the value of the most specific matching row of ref; null without a match, or an error if required.
 
@@ -59,9 +65,13 @@ def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, valu
 
 
 def match_code_double(df: DataFrame, first: str, second: str, ref: DataFrame, ref_first: str, ref_second: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
-    """As match_code with two codes: the first code's fallbacks are the outer loop, the second's the inner one."""
+    """As match_code with two codes: the first code's fallbacks are the outer loop, the second's the inner one. Fallbacks are tried on pairs of classes (see _classes), never on pairs of codes."""
     by = by or []
-    out = df.join(_matched(df, [first, second], ref, [ref_first, ref_second], value, by), [*by, first, second], "left")
+    classed = df
+    for column, ref_column, name in ((first, ref_first, "_first"), (second, ref_second, "_second")):
+        classed = classed.join(F.broadcast(_classes(df, column, ref, ref_column, name, by)), [*by, column], "left")
+    pairs = ["_first", "_second"]
+    out = classed.join(_matched(classed, pairs, ref, [ref_first, ref_second], value, by), [*by, *pairs], "left").select(*df.columns, value)
     return _required(out, value, F.concat_ws("/", first, second)) if required else out
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aeroflux.operators import met
+from aeroflux.operators import matching, met
 from aeroflux.operators.temporal import steps
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
@@ -58,3 +58,20 @@ def test_stacks_in_hours_are_not_broadcast(spark):
     got = met.plume_layer_by_hour(hours, spark.createDataFrame(air, AIR).withColumn("frame_ts", start), ["row"], 40)
     assert plan(got).count("SortMergeJoin") >= 2
     assert {r["id"]: r["layer"] for r in got.collect()} == {s[0]: layer_by_hand(air, s, 40) for s in stacks}
+
+
+def test_fallbacks_are_tried_on_classes_not_on_pairs(spark, monkeypatch):
+    pairs = spark.range(600).selectExpr("lpad(cast(id % 60 + 1000 as string), 6, '2') AS a", "lpad(cast(id % 50 as string), 3, '1') AS b")
+    ref = spark.createDataFrame([("221000", "110", 1), ("221050", "100", 2), ("200000", "110", 3), ("000000", "000", 4)], "a string, b string, v int")
+    tried, plain = [], matching._matched
+
+    def counted(df, columns, *rest):
+        tried.append((len(columns), df.select(*columns).distinct().count()))
+        return plain(df, columns, *rest)
+
+    monkeypatch.setattr(matching, "_matched", counted)
+    rows = matching.match_code_double(pairs, "a", "b", ref, "a", "b", "v").distinct().collect()
+    assert max(n for k, n in tried if k == 2) <= 12 < pairs.distinct().count()
+    known = {(a, b): v for a, b, v in [("221000", "110", 1), ("221050", "100", 2), ("200000", "110", 3), ("000000", "000", 4)]}
+    falls = lambda c: [c[: len(c) - z] + "0" * z for z in range(len(c) + 1)]
+    assert all(r["v"] == next(known[x, y] for x in falls(r["a"]) for y in falls(r["b"]) if (x, y) in known) for r in rows)
