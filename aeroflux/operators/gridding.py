@@ -81,9 +81,14 @@ def gridded_output(out: Outputter, areas: DataFrame, area_cells: DataFrame, area
     return whole
 
 
+def _keyed(cells: DataFrame, on: list[str]) -> DataFrame:
+    """(on, grid, row, col, weight) behind a generator: else Spark infers from equal keys that what cells were filtered by (their shapes' geometry) holds for the emissions too, and works it out for each of their rows."""
+    return cells.select(F.explode(F.array(F.struct(*on, *CELL, "weight"))).alias("_cell")).select("_cell.*")
+
+
 def spatialize(emissions: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
     """emissions x the cells of their shape or point: ``on`` names the columns that cells are keyed by."""
-    return emissions.join(cells.select(*on, *CELL, "weight"), on)
+    return emissions.join(_keyed(cells, on), on)
 
 
 def gridded_totals(emissions: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
@@ -104,7 +109,7 @@ def gridded_hourly(hourly: DataFrame, cells: DataFrame, on: list[str]) -> DataFr
     if "layer" not in hourly.columns:
         hourly = hourly.withColumn("layer", F.lit(0))
     whole = hourly.groupBy(*on, "hour_ts", "layer", *SPECIES).agg(F.sum("amount").alias("amount"), F.min("unit").alias("unit"))
-    spread = whole.join(cells.select(*on, *CELL, "weight"), on)
+    spread = whole.join(_keyed(cells, on), on)
     return spread.groupBy("hour_ts", "grid", "layer", "row", "col", *SPECIES).agg(F.sum(F.col("amount") * F.col("weight")).alias("value"), F.min("unit").alias("unit"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aeroflux.operators import matching, met
+from aeroflux.operators import gridding, matching, met
 from aeroflux.operators.temporal import steps
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
@@ -75,3 +75,13 @@ def test_fallbacks_are_tried_on_classes_not_on_pairs(spark, monkeypatch):
     known = {(a, b): v for a, b, v in [("221000", "110", 1), ("221050", "100", 2), ("200000", "110", 3), ("000000", "000", 4)]}
     falls = lambda c: [c[: len(c) - z] + "0" * z for z in range(len(c) + 1)]
     assert all(r["v"] == next(known[x, y] for x in falls(r["a"]) for y in falls(r["b"]) if (x, y) in known) for r in rows)
+
+
+def test_filters_of_cells_stay_off_the_facts(spark):
+    ring = F.array(F.col("shape_id") * 2.0, F.col("shape_id") * 3.0)
+    cells = spark.range(9).select((F.col("id") % 3).alias("shape_id"), F.lit("g").alias("grid"), F.col("id").alias("row"), F.lit(0).alias("col"), F.lit(0.5).alias("weight")).where(F.array_max(F.transform(ring, lambda x: x)) >= 3.0)
+    start = F.lit("2024-01-01").cast("timestamp")
+    facts = spark.range(40).select((F.col("id") % 4).alias("shape_id"), F.lit("CO").alias("pollutant"), F.lit("").alias("prefix"), start.alias("hour_ts"), start.alias("begin_ts"), (start + F.make_dt_interval(F.lit(1))).alias("end_ts"), F.lit(1.0).alias("rate"), F.lit(2.0).alias("amount"), F.lit("kg/s").alias("unit"))
+    for out, value in ((gridding.gridded_totals(facts, cells, ["shape_id"]), 432000.0), (gridding.gridded_hourly(facts, cells, ["shape_id"]), 10.0)):
+        assert plan(out).count("array_max") == 1
+        assert {r["row"]: r["value"] for r in out.collect()} == {row: value for row in (1, 2, 4, 5, 7, 8)}
