@@ -109,7 +109,8 @@ def gridded_hourly(hourly: DataFrame, cells: DataFrame, on: list[str]) -> DataFr
     if "layer" not in hourly.columns:
         hourly = hourly.withColumn("layer", F.lit(0))
     whole = hourly.groupBy(*on, "hour_ts", "layer", *SPECIES).agg(F.sum("amount").alias("amount"), F.min("unit").alias("unit"))
-    spread = whole.join(_keyed(cells, on), on)
+    # the estimate of rows in hours is that of the rows before hours multiplied them, and either side may be large: neither is broadcast
+    spread = whole.hint("merge").join(_keyed(cells, on), on)
     return spread.groupBy("hour_ts", "grid", "layer", "row", "col", *SPECIES).agg(F.sum(F.col("amount") * F.col("weight")).alias("value"), F.min("unit").alias("unit"))
 
 
