@@ -85,3 +85,12 @@ def test_filters_of_cells_stay_off_the_facts(spark):
     for out, value in ((gridding.gridded_totals(facts, cells, ["shape_id"]), 432000.0), (gridding.gridded_hourly(facts, cells, ["shape_id"]), 10.0)):
         assert plan(out).count("array_max") == 1
         assert {r["row"]: r["value"] for r in out.collect()} == {row: value for row in (1, 2, 4, 5, 7, 8)}
+
+
+def test_amounts_in_hours_are_not_broadcast(spark):
+    cells = spark.range(3).select(F.col("id").alias("source_id"), F.lit("g").alias("grid"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.0).alias("weight"))
+    start = F.lit("2024-01-01").cast("timestamp")
+    hours = steps(spark.range(3).select(F.col("id").alias("source_id"), F.lit("CO").alias("pollutant"), F.lit("").alias("prefix"), F.lit(2.0).alias("amount"), F.lit("kg").alias("unit")), start, start + F.make_dt_interval(F.lit(1)))
+    out = gridding.gridded_hourly(hours, cells, ["source_id"])
+    assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
+    assert [r["value"] for r in out.collect()] == [6.0] * 24
