@@ -115,9 +115,12 @@ SECTIONS = {"monthly": 12, "weekly": 7, "diurnal weekday": 24, "diurnal weekend"
 def parse_temporal_profiles(lines: DataFrame) -> DataFrame:
     """(kind, code, slot, fraction): slots count from 0, fractions of a profile add up to 1; the last line of a code wins."""
     lines = lines.where(~F.col("value").startswith("#"))
-    mark = F.when(F.col("value").startswith("/"), F.lower(F.regexp_replace("value", "^[/ ]+|[/ ]+$", "")))
-    ordered = Window.partitionBy("file").orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("kind", F.last(mark, ignorenulls=True).over(ordered)).where(~F.col("value").startswith("/"))
+    mark = F.col("value").startswith("/")
+    # only marks are put in order, and a file has few: each holds up to the next, so no task holds a file's lines
+    following = F.lead("line_id").over(Window.partitionBy("file").orderBy("line_id"))
+    sections = lines.where(mark).select(F.col("file").alias("_file"), F.lower(F.regexp_replace("value", "^[/ ]+|[/ ]+$", "")).alias("kind"), F.col("line_id").alias("_from"), following.alias("_to"))
+    inside = (F.col("file") == F.col("_file")) & (F.col("line_id") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_id") < F.col("_to")))
+    rows = lines.where(~mark).join(F.broadcast(sections), inside, "left")
     count = F.lit(None).cast("int")
     for kind, n in SECTIONS.items():
         count = F.when(F.col("kind") == kind, F.lit(n)).otherwise(count)

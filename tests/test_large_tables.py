@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aeroflux.operators import gridding, matching, met
 from aeroflux.operators.temporal import steps
+from aeroflux.sources import references
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
 STACKS = "id int, row int, height_m double, diam_m double, temp_k double, vel_ms double"
@@ -94,3 +95,13 @@ def test_amounts_in_hours_are_not_broadcast(spark):
     out = gridding.gridded_hourly(hours, cells, ["source_id"])
     assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
     assert [r["value"] for r in out.collect()] == [6.0] * 24
+
+
+def test_lines_of_profiles_are_not_ordered_in_one_task(spark):
+    lines = [("f", i, t) for i, t in enumerate(["/WEEKLY/", "#no", "    1" + "   1" * 7, "    2" + "   1" * 7, "/MONTHLY/", "    1" + "   2" * 12, "/weekly/", "    2   7" + "   0" * 6])] + [("g", 0, "/MONTHLY/"), ("g", 1, "    9" + "   1" * 12)]
+    got = references.parse_temporal_profiles(spark.createDataFrame(lines, "file string, line_id long, value string"))
+    windows = [line for line in plan(got).splitlines() if " Window " in line]
+    assert not any("last(" in line for line in windows)  # of all lines, a window over a file's
+    shares = {(r["kind"], r["code"], r["slot"]): r["fraction"] for r in got.collect()}
+    assert len(shares) == 7 * 2 + 12 * 2
+    assert shares["weekly", "2", 0] == 1.0 and shares["weekly", "1", 0] == pytest.approx(1 / 7) and shares["monthly", "9", 11] == pytest.approx(1 / 12)
