@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeroflux.functions import codes
 from aeroflux.operators import surrogates as sg
 from aeroflux.plans.views import numbers, oracle, view
 from aeroflux.sources import inventory as inv
@@ -29,7 +30,8 @@ def lines_of(rows: DataFrame, value: Column, file: str, header: list[str], key:
     """The lines of one file: comments in its first block, then a line for each row."""
     top = rows.sparkSession.createDataFrame([(i, text) for i, text in enumerate(header)], "line_id long, value string").withColumn("block", F.lit(0).cast("long"))
     line_id = (F.col(key) + 100).cast("long")
-    data = rows.select(line_id.alias("line_id"), value.alias("value"), F.floor(line_id / 100_000).cast("long").alias("block"))
+    # behind a generator a line is put together once; else every filter of lines is moved in front of it and puts it together again. Blocks stay in front, so that headers don't put together other blocks' lines
+    data = rows.select(line_id.alias("line_id"), F.floor(line_id / 100_000).cast("long").alias("block"), F.explode(F.array(codes.apart(value))).alias("value"))
     return top.unionByName(data).select(F.lit("all").alias("sector"), F.lit(file).alias("file"), F.lit(month).alias("month"), "block", "line_id", "value")
 
 

@@ -104,7 +104,7 @@ def _record(kind: str, fips: Column, scc: Column, country: Column, pollutant: Co
     text = lambda name: more.get(name, F.lit(None)).cast("double" if name in NUMBERS else "string")
     return [
         F.lit(kind).alias("kind"),
-        fips.alias("fips"),
+        codes.apart(fips).alias("fips"),
         scc.alias("scc"),
         country.cast("int").alias("country"),
         more.get("source_type", F.lit(None)).cast("string").alias("source_type"),
@@ -184,21 +184,41 @@ def _delimited(kind: str, c: list[Column], factor: float) -> list[Column]:
     return _record("supplemental", codes.fips(c[1]), codes.scc(c[7]), country, c[8], F.when(F.exists(F.array(*c[14:45]), _present), days).otherwise(month), **place)
 
 
-def _fixed(kind: str, line: Column, factor: float) -> tuple[list[Column], Column]:
-    """Columns of a fixed-width line, and the pollutants' positions to explode; ``_i`` and ``_pol`` are one pollutant's."""
-    at = lambda a, b: F.substring(line, a + 1, b - a)
+#: Places of the fields of a fixed-width line's own part, and of each pollutant's part behind it.
+LINE_AT = {
+    "ida_point": {"fips": (0, 5), "plant_id": (5, 20), "point_id": (20, 35), "stack_id": (35, 47), "oris": (47, 53), "boiler": (53, 59), "segment": (59, 61), "plant": (61, 101), "scc": (101, 111), "height": (119, 123), "diameter": (123, 129), "temperature": (129, 133), "flow": (133, 143), "velocity": (143, 152), "sic": (226, 230), "lat": (230, 239), "lon": (239, 248)},
+    "ida_area": {"fips": (0, 5), "scc": (5, 15)},
+    "ida_mobile": {"fips": (0, 5), "scc": (15, 25)},
+}
+PART_AT = {
+    "ida_point": {"annual": (0, 13), "day": (13, 26), "ceff": (26, 33), "reff": (33, 36)},
+    "ida_area": {"annual": (0, 10), "day": (10, 20), "ceff": (31, 38), "reff": (38, 41), "rpen": (41, 47)},
+    "ida_mobile": {"annual": (0, 10), "day": (10, 20)},
+}
+
+
+def _fixed(kind: str, rows: DataFrame, factor: float) -> DataFrame:
+    """Records of fixed-width lines: a line's own fields are cut and read once, before its pollutants multiply them, and each pollutant's fields are cut once."""
     fixed, each = WIDTHS[kind]
-    start = F.lit(fixed) + F.col("_i") * each
-    part = lambda a, b: F.substring(line, start + a + 1, F.lit(b - a))
-    country, pol = F.col("country"), F.col("_pol")
+    place, part = LINE_AT[kind], PART_AT[kind]
+    keep = ["sector", "file", "line_id", "month", "year", "country"]
+    cut = rows.select(*keep, "pols", F.substring("value", fixed + 1, 1 << 20).alias("_parts"), *[F.substring("value", a + 1, b - a).alias(f"_{name}") for name, (a, b) in place.items()])
+    at = lambda name: F.col(f"_{name}")
+    own = {"_fips": codes.apart(codes.fips(at("fips"))), "_scc": codes.scc(at("scc"))}
     if kind == "ida_point":
-        names = {"plant_id": (5, 20), "point_id": (20, 35), "stack_id": (35, 47), "oris": (47, 53), "boiler": (53, 59), "segment": (59, 61), "plant": (61, 101)}
-        more = {k: codes.text(at(*v)) for k, v in names.items()} | {"sic": codes.sic(at(226, 230)), "ceff": codes.control(part(26, 33), 0.0), "reff": codes.control(part(33, 36), 100.0)}
-        more |= _stack(at(119, 123), at(123, 129), at(129, 133), at(133, 143), at(143, 152)) | _location(at(239, 248), at(230, 239), F.lit("L"), F.lit(""))
-        return _record("point", codes.fips(at(0, 5)), codes.scc(at(101, 111)), country, pol, _whole_period(part(0, 13), part(13, 26), factor), **more)
-    more = {"ceff": codes.control(part(31, 38), 0.0), "reff": codes.control(part(38, 41), 100.0), "rpen": codes.control(part(41, 47), 100.0)} if kind == "ida_area" else {}
-    code_at = (5, 15) if kind == "ida_area" else (15, 25)
-    return _record("polygon", codes.fips(at(0, 5)), codes.scc(at(*code_at)), country, pol, _whole_period(part(0, 10), part(10, 20), factor), **more)
+        numbers = ["height", "diameter", "temperature", "flow", "velocity"]
+        own |= {f"_{name}": codes.text(at(name)) for name in ("plant_id", "point_id", "stack_id", "oris", "boiler", "segment", "plant")} | {"_sic": codes.sic(at("sic"))}
+        own |= {f"_{name}": codes.number(at(name)) for name in numbers} | {f"_{name}": c for name, c in _location(at("lon"), at("lat"), F.lit("L"), F.lit("")).items()}
+        read = cut.withColumns(own).withColumns({f"_{name}": c for name, c in units.stack(*map(at, numbers)).items()})
+    else:
+        read = cut.withColumns(own)
+    start = F.col("_i") * each
+    one = read.select("*", F.posexplode("pols").alias("_i", "_pol"))
+    one = one.withColumns({f"_{name}": F.substring(F.col("_parts"), start + a + 1, F.lit(b - a)) for name, (a, b) in part.items()})
+    more = {name: at(name) for name in ("sic", *POINT)} if kind == "ida_point" else {}
+    more |= {name: codes.control(at(name), 0.0 if name == "ceff" else 100.0) for name in part if name in CONTROL}
+    whole = _record("point" if kind == "ida_point" else "polygon", at("fips"), at("scc"), F.col("country"), F.col("_pol"), _whole_period(at("annual"), at("day"), factor), **more)
+    return one.select("sector", "file", "line_id", *whole)
 
 
 def parse(lines: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
@@ -239,8 +259,7 @@ def parse(lines: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
     for name in WIDTHS:
         if name not in kinds:
             continue
-        rows = good.where(kind == name).select("*", F.posexplode("pols").alias("_i", "_pol"))
-        parts.append(rows.select("sector", "file", "line_id", *_fixed(name, value, factor)))
+        parts.append(_fixed(name, good.where(kind == name), factor))
     if not parts:
         name = "ff10_nonpoint"
         rows = good.where(F.lit(False)).withColumn("f", F.from_csv("value", ", ".join(f"c{i} string" for i in range(FIELDS[name]))))

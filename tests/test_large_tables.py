@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from aeroflux.operators import gridding, matching, met
 from aeroflux.operators.temporal import steps
-from aeroflux.sources import references
+from aeroflux.plans import ingest_queries
+from aeroflux.sources import inventory, references
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
 STACKS = "id int, row int, height_m double, diam_m double, temp_k double, vel_ms double"
@@ -105,3 +106,23 @@ def test_lines_of_profiles_are_not_ordered_in_one_task(spark):
     shares = {(r["kind"], r["code"], r["slot"]): r["fraction"] for r in got.collect()}
     assert len(shares) == 7 * 2 + 12 * 2
     assert shares["weekly", "2", 0] == 1.0 and shares["weekly", "1", 0] == pytest.approx(1 / 7) and shares["monthly", "9", 11] == pytest.approx(1 / 12)
+
+
+def test_lines_are_put_together_once(spark):
+    rows = spark.range(3).select("id", F.col("id").cast("string").alias("t"))
+    data = ingest_queries.lines_of(rows, F.concat("t", F.lit(",2")), "f", ["#a"]).where(F.length("value") > 0).where(~F.col("value").startswith("x"))
+    optimised = data._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("concat(") == 1
+    assert [r["value"] for r in data.orderBy("line_id").collect()] == ["#a", "0,2", "1,2", "2,2"]
+
+
+def test_fields_of_a_fixed_width_line_are_cut_once(spark):
+    head = "01001" + "P".ljust(15) + "1".ljust(15) + "S".ljust(12) + "7".ljust(6) + "B1".ljust(6) + "1".ljust(2) + "Plant".ljust(40) + "2280000000".ljust(18) + "10".ljust(4) + "2".ljust(6) + "100".ljust(4) + "0".ljust(10) + "10".ljust(9) + " " * 74 + "1234" + "30".ljust(9) + "-70".ljust(9) + " "
+    line = head + ("5".ljust(13) + " " * 13 + "1".ljust(7) + "80 " + " " * 16) * 2
+    lines = spark.createDataFrame([("s", "f", 0, 0, i, v) for i, v in enumerate(["#IDA", "#COUNTRY US", "#YEAR 2005", "#POLID NOX VOC", line])], "sector string, file string, month int, block long, line_id long, value string")
+    records, rejects = inventory.parse(lines, 1.0)
+    optimised = records._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("substring(value") <= 19
+    assert rejects.count() == 0
+    got = {r["pollutant"]: r for r in records.collect()}
+    assert set(got) == {"NOX", "VOC"} and all(r["fips"] == "01001" and r["point"]["plant"] == "Plant" and r["point"]["vel_ms"] == pytest.approx(3.048) and r["control"]["reff"] == 80 for r in got.values())
