@@ -33,7 +33,7 @@ def keep_pollutants(emissions: DataFrame, wanted: DataFrame | None) -> tuple[Dat
     if wanted is None:
         return emissions, emissions.where(F.lit(False))
     names = wanted.select("pollutant").distinct()
-    return emissions.join(names, "pollutant", "left_semi"), emissions.join(names, "pollutant", "left_anti")
+    return emissions.join(F.broadcast(names), "pollutant", "left_semi"), emissions.join(F.broadcast(names), "pollutant", "left_anti")
 
 
 def totals(emissions: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -92,7 +92,8 @@ def kept_and_dropped(emissions: DataFrame, wanted: DataFrame | None) -> DataFram
         marked = emissions.withColumn("status", F.lit("kept"))
     else:
         names = wanted.select("pollutant").distinct().withColumn("_wanted", F.lit(True))
-        marked = emissions.join(names, "pollutant", "left").withColumn("status", F.when(F.col("_wanted"), "kept").otherwise("dropped"))
+        # a list of names without an estimated size would send the emissions to as many tasks as there are pollutants
+        marked = emissions.join(F.broadcast(names), "pollutant", "left").withColumn("status", F.when(F.col("_wanted"), "kept").otherwise("dropped"))
     return totals(marked, ["sector", "file", "status"])
 
 

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aeroflux.operators import gridding, matching, met
+from aeroflux.operators import emissions, gridding, matching, met
 from aeroflux.operators.temporal import steps
-from aeroflux.plans import ingest_queries
+from aeroflux.plans import ingest_queries, views
 from aeroflux.sources import inventory, references
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
@@ -126,3 +126,18 @@ def test_fields_of_a_fixed_width_line_are_cut_once(spark):
     assert rejects.count() == 0
     got = {r["pollutant"]: r for r in records.collect()}
     assert set(got) == {"NOX", "VOC"} and all(r["fips"] == "01001" and r["point"]["plant"] == "Plant" and r["point"]["vel_ms"] == pytest.approx(3.048) and r["control"]["reff"] == 80 for r in got.values())
+
+
+def test_wanted_names_do_not_shuffle_the_emissions(spark):
+    start = F.lit("2024-01-01").cast("timestamp")
+    rows = spark.range(6).select(F.lit("s").alias("sector"), F.lit("f").alias("file"), F.when(F.col("id") < 2, "NOX").otherwise("CO").alias("pollutant"), F.lit("").alias("prefix"), start.alias("begin_ts"), (start + F.make_dt_interval(F.lit(1))).alias("end_ts"), F.lit(1.0).alias("rate"), F.lit("kg/s").alias("unit"))
+    got = emissions.kept_and_dropped(rows, spark.createDataFrame([("NOX",)], "pollutant string"))
+    assert "SortMergeJoin" not in plan(got)
+    assert {(r["status"], r["pollutant"], r["total"]) for r in got.collect()} == {("kept", "NOX", 172800.0), ("dropped", "CO", 345600.0)}
+
+
+def test_orders_are_hashed_in_the_inventory_view(spark, tmp_path):
+    spark.range(3).selectExpr("id AS o_orderkey", "'1' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(6).selectExpr("id % 4 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_extendedprice", "'A' AS l_returnflag", "'O' AS l_linestatus", "timestamp'2024-01-05' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    inv = views.view(spark, str(tmp_path), "inv")
+    assert "ShuffledHashJoin" in plan(inv) and inv.count() == 5
