@@ -33,7 +33,7 @@ def assign_temporal(sources: DataFrame, t_ref: DataFrame, exact: bool = False) -
 
 def with_zone(df: DataFrame, zones: DataFrame) -> DataFrame:
     """df with tz by FIPS; a place without a zone fails."""
-    found = df.join(zones.select("fips", "tz"), "fips", "left")
+    found = df.join(F.broadcast(zones.select("fips", "tz")), "fips", "left")
     return found.withColumn("tz", F.coalesce("tz", F.raise_error(F.concat(F.lit("no time zone for "), F.col("fips"))).cast("string")))
 
 
@@ -189,15 +189,17 @@ def hour_key(standard: Column) -> Column:
 def hourly_by_cem(emissions: DataFrame, hours: DataFrame, cem: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """emissions (with oris, boiler and tz) of measured units: the record's total times the hour's share; hours without data have none.
 
-    Hours are a table by zone, with the key under which measurements of that hour stand, and join by the zone: keys are made once a zone and hour, not once a record and hour.
+    Hours are a table by zone, with the key under which measurements of that hour stand: keys are made once a zone and hour. A unit's measurements meet the hours first, once a unit, zone and hour, whatever the number of records; records then meet the hours of their unit. Records are brought together by their own columns before they are added up, so that no task holds all records of a file.
     """
     sums = cem_sums(cem) if sums is None else sums
     by = [c for c in emissions.columns if c not in ("begin_ts", "end_ts", "rate", "unit")]
-    whole = emissions.groupBy(*by).agg(F.sum(amount()).alias("total"), F.min(total_unit()).alias("unit"))
+    whole = emissions.repartition(*by).groupBy(*by).agg(F.sum(amount()).alias("total"), F.min(total_unit()).alias("unit"))
     zones = emissions.agg(F.collect_set("tz")).scalar()
     times = hours.select("hour_ts").distinct().withColumn("tz", F.explode(zones)).withColumn("hour_key", hour_key(standard_time(F.col("hour_ts"), F.col("tz"))))
-    keyed = whole.join(sums, ["oris", "boiler"]).join(times, "tz")
-    return keyed.join(cem, ["oris", "boiler", "hour_key"], "left").withColumn("amount", F.col("total") * cem_share(F.col("pollutant"))).select(*by, "hour_ts", "amount", "unit")
+    place = ["oris", "boiler", "tz"]
+    places = emissions.select(*place).distinct()
+    measured = places.join(sums, ["oris", "boiler"]).join(F.broadcast(times), "tz").join(cem, ["oris", "boiler", "hour_key"], "left")
+    return whole.join(measured, place).withColumn("amount", F.col("total") * cem_share(F.col("pollutant"))).select(*by, "hour_ts", "amount", "unit")
 
 
 def hourly_emissions(emissions: DataFrame, hours: DataFrame, profiles: DataFrame, holidays: DataFrame, cem: DataFrame | None = None) -> DataFrame:

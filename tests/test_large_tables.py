@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aeroflux.operators import emissions, gridding, matching, met
+from aeroflux.operators import emissions, gridding, matching, met, temporal
 from aeroflux.operators.temporal import steps
 from aeroflux.plans import ingest_queries, views
 from aeroflux.sources import inventory, references
@@ -141,3 +141,15 @@ def test_orders_are_hashed_in_the_inventory_view(spark, tmp_path):
     spark.range(6).selectExpr("id % 4 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_extendedprice", "'A' AS l_returnflag", "'O' AS l_linestatus", "timestamp'2024-01-05' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
     inv = views.view(spark, str(tmp_path), "inv")
     assert "ShuffledHashJoin" in plan(inv) and inv.count() == 5
+
+
+def test_hours_of_measured_units_are_made_once_a_unit(spark):
+    start = F.lit("2024-01-01").cast("timestamp")
+    rows = spark.range(40).select(F.col("id").alias("source"), F.lit("7").alias("oris"), (F.col("id") % 2).cast("string").alias("boiler"), F.lit("NOX").alias("pollutant"), F.when(F.col("id") < 20, "UTC").otherwise("Australia/Brisbane").alias("tz"), start.alias("begin_ts"), (start + F.make_dt_interval(F.lit(1))).alias("end_ts"), F.lit(1.0).alias("rate"), F.lit("kg/s").alias("unit"))
+    cem = spark.createDataFrame([("7", b, f"240101 {h:02d}", float(h + 1), 0.0, 1.0, 0.0, 0.0) for b in "01" for h in range(4)], "oris string, boiler string, hour_key string, nox double, so2 double, gload double, sload double, heat double")
+    hours = temporal.steps(spark.range(1), start, start + F.make_dt_interval(F.lit(0), F.lit(3))).select("hour_ts")
+    out = temporal.hourly_by_cem(rows, hours, cem)
+    assert "REPARTITION_BY_COL" in plan(out)
+    got = {(r["source"], r["hour_ts"].hour): r["amount"] for r in out.collect()}
+    assert len(got) == 40 * 3
+    assert all(got[i, h] == pytest.approx(86400.0 * (h + 1) / 10 if i < 20 else 0.0) for i in range(40) for h in range(3))
