@@ -48,10 +48,26 @@ def _matched(df: DataFrame, columns: list[str], ref: DataFrame, ref_columns: lis
     return found.groupBy(*by, *columns).agg(F.min_by("_value", "_level").alias(value))
 
 
-def _classes(df: DataFrame, column: str, ref: DataFrame, ref_column: str, name: str, by: list[str]) -> DataFrame:
-    """Each distinct code with its class: the most specific code of the reference that it meets. Code and class meet the same less specific ones, so pairs of codes match as pairs of classes do, of which there are no more than the reference's codes make. One row for each code of a list, so small that it can be sent to all executors."""
-    own = ref.select(*by, ref_column, F.col(ref_column).alias(name)).distinct()
-    return _matched(df, [column], own, [ref_column], name, by)
+def _class_key(place: int | Column, code: Column) -> Column:
+    return F.concat((F.lit(place) if isinstance(place, int) else place).cast("string"), F.lit(":"), code)
+
+
+def _listed(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, _at, _code): the distinct codes of all columns, in one pass over df."""
+    each = F.array(*(F.struct(F.lit(k).alias("_at"), F.col(c).alias("_code")) for k, c in enumerate(columns)))
+    return df.select(*by, F.explode(each).alias("_c")).select(*by, "_c._at", "_c._code").distinct()
+
+
+def _classes(df: DataFrame, columns: list[str], ref: DataFrame, ref_columns: list[str], by: list[str]) -> DataFrame:
+    """(by, _key, _class): each distinct code of the columns with its class, the most specific code of the reference that it meets. Code and class meet the same less specific ones, so pairs of codes match as pairs of classes do. One row for each code of a list, so small that it can be sent to all executors; one table serves both columns, told apart by their keys, so that df is read once for both."""
+    of_level = F.lit(None)
+    for k, c in enumerate(ref_columns):
+        of_level = F.when(F.col("_at") == k, levels(ref, [c])).otherwise(of_level)
+    tried = _listed(df, columns, by).select("*", F.explode(of_level).alias("_level")).where(F.col("_level.z0") <= F.length("_code"))
+    tries = tried.withColumn("_try", fallback(F.col("_code"), F.col("_level.z0")))
+    own = _listed(ref, ref_columns, by).select(*by, "_at", F.col("_code").alias("_try"), F.col("_code").alias("_value"), level_of(["_code"]).alias("_level"))
+    found = tries.join(own, [*by, "_at", "_try", "_level"]).groupBy(*by, "_at", "_code").agg(F.min_by("_value", "_level").alias("_class"))
+    return found.select(*by, _class_key(F.col("_at"), F.col("_code")).alias("_key"), "_class")
 
 
 def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
@@ -64,14 +80,21 @@ def match_code(df: DataFrame, column: str, ref: DataFrame, ref_column: str, valu
     return _required(out, value, F.col(column)) if required else out
 
 
-def match_code_double(df: DataFrame, first: str, second: str, ref: DataFrame, ref_first: str, ref_second: str, value: str, by: list[str] | None = None, required: bool = False) -> DataFrame:
-    """As match_code with two codes: the first code's fallbacks are the outer loop, the second's the inner one. Fallbacks are tried on pairs of classes (see _classes), never on pairs of codes."""
+def match_code_double(df: DataFrame, first: str, second: str, ref: DataFrame, ref_first: str, ref_second: str, value: str, by: list[str] | None = None, required: bool = False, codes: DataFrame | None = None) -> DataFrame:
+    """As match_code with two codes: the first code's fallbacks are the outer loop, the second's the inner one. Fallbacks are tried on pairs of classes (see _classes), never on pairs of codes.
+
+    Pairs of classes are made of the reference's own codes, so their table is as large as the reference allows, whatever the rows; classes and pairs are sent to all executors, and df is never shuffled. ``codes`` is a table of the same codes that is cheaper to read than df.
+    """
     by = by or []
+    classes = _classes(df if codes is None else codes, [first, second], ref, [ref_first, ref_second], by)
     classed = df
-    for column, ref_column, name in ((first, ref_first, "_first"), (second, ref_second, "_second")):
-        classed = classed.join(F.broadcast(_classes(df, column, ref, ref_column, name, by)), [*by, column], "left")
-    pairs = ["_first", "_second"]
-    out = classed.join(_matched(classed, pairs, ref, [ref_first, ref_second], value, by), [*by, *pairs], "left").select(*df.columns, value)
+    for k, (column, name) in enumerate(((first, "_first"), (second, "_second"))):
+        own = classes.select(*by, F.col("_key").alias(f"_key{k}"), F.col("_class").alias(name))
+        classed = classed.withColumn(f"_key{k}", _class_key(k, F.col(column))).join(F.broadcast(own), [*by, f"_key{k}"], "left")
+    firsts, seconds = (ref.select(*by, F.col(c).alias(name)).distinct() for c, name in ((ref_first, "_first"), (ref_second, "_second")))
+    pairs = firsts.join(F.broadcast(seconds), by) if by else firsts.crossJoin(F.broadcast(seconds))
+    found = _matched(pairs, ["_first", "_second"], ref, [ref_first, ref_second], value, by)
+    out = classed.join(F.broadcast(found), [*by, "_first", "_second"], "left").select(*df.columns, value)
     return _required(out, value, F.concat_ws("/", first, second)) if required else out
 
 

@@ -153,3 +153,15 @@ def test_hours_of_measured_units_are_made_once_a_unit(spark):
     got = {(r["source"], r["hour_ts"].hour): r["amount"] for r in out.collect()}
     assert len(got) == 40 * 3
     assert all(got[i, h] == pytest.approx(86400.0 * (h + 1) / 10 if i < 20 else 0.0) for i in range(40) for h in range(3))
+
+
+def test_rows_are_not_shuffled_to_their_codes(spark):
+    known = {("221010", "110"): 1, ("221000", "100"): 2, ("200000", "110"): 3, ("000000", "000"): 4}
+    ref = spark.createDataFrame([(a, b, v) for (a, b), v in known.items()], "a string, b string, v int")
+    rows = spark.range(50).selectExpr("id", "lpad(cast(id % 30 + 1000 as string), 6, '2') AS a", "IF(id = 3, NULL, lpad(cast(id % 20 as string), 3, IF(id % 3 = 0, '9', '1'))) AS b")
+    out = matching.match_code_double(rows, "a", "b", ref, "a", "b", "v")
+    joins = [line for line in plan(out).splitlines() if "LeftOuter" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    falls = lambda c: [c[: len(c) - z] + "0" * z for z in range(len(c) + 1)]
+    for r in out.collect():
+        assert r["v"] == (None if r["id"] == 3 else next(known[x, y] for x in falls(r["a"]) for y in falls(r["b"]) if (x, y) in known))
