@@ -71,35 +71,31 @@ def profile_codes(emissions: DataFrame, spec_ref: DataFrame, spec_combo: DataFra
 
     The full name is looked up before the name. ``partial`` falls back to less specific codes; pollutant texts fall back as well, so rows for zeros serve all.
     """
-    ref = spec_ref.select("scc", "pol", "code")
     keys = ["scc", "full_name", "pollutant"]
-    distinct = emissions.select(*keys).distinct()
-    if partial:
-        full = match_code_double(distinct, "scc", "full_name", ref, "scc", "pol", "code").withColumnRenamed("code", "full_code")
-        found = match_code_double(full, "scc", "pollutant", ref, "scc", "pol", "code")
-    else:
-        full = distinct.join(ref.select("scc", F.col("pol").alias("full_name"), F.col("code").alias("full_code")), ["scc", "full_name"], "left")
-        found = full.join(ref.withColumnRenamed("pol", "pollutant"), ["scc", "pollutant"], "left")
-    coded = emissions.join(found.select(*keys, F.coalesce("full_code", "code").alias("code")), keys, "left")
+    found = _profile_of(_names(emissions), spec_ref, partial).groupBy(*keys).agg(F.min_by("code", _first_code()).alias("code"))
+    coded = emissions.join(F.broadcast(found), keys, "left")
     missing = F.raise_error(F.concat(F.lit("no speciation profile for "), F.concat_ws("/", "scc", "full_name"))).cast("string")
-    coded = coded.withColumn("code", F.coalesce("code", missing))
-    plain = coded.where(F.col("code") != "COMBO").withColumn("code_fraction", F.lit(1.0))
-    return plain.unionByName(combined(coded.where(F.col("code") == "COMBO").drop("code"), spec_combo, partial))
+    coded = combined(coded.withColumn("code", F.coalesce("code", missing)), spec_combo, partial, emissions)
+    several = F.coalesce(F.col("combined").cast(CODES), F.raise_error(F.concat(F.lit("no combination for "), F.concat_ws("/", "pollutant", "country_fips"))).cast(CODES))
+    codes = F.when(F.col("code") == "COMBO", several).otherwise(F.array(F.struct(F.col("code"), F.lit(1.0).alias("fraction"))).cast(CODES))
+    return coded.select(*emissions.columns, F.explode(codes).alias("c")).select(*emissions.columns, F.col("c.code").alias("code"), F.col("c.fraction").alias("code_fraction"))
+
 
+def with_place(emissions: DataFrame) -> DataFrame:
+    """emissions with the period and the country_fips that combinations are stated for."""
+    return emissions.withColumns({"period": periods.period_of(F.col("begin_ts"), F.col("end_ts")), "country_fips": F.concat(F.col("country").cast("string"), F.col("fips"))})
 
-def combined(emissions: DataFrame, spec_combo: DataFrame, partial: bool) -> DataFrame:
-    """Codes with fractions for the period, the pollutant and the place."""
-    period = periods.period_of(F.col("begin_ts"), F.col("end_ts"))
-    wanted = emissions.withColumn("period", period).withColumn("country_fips", F.concat(F.col("country").cast("string"), F.col("fips")))
-    grouped = spec_combo.groupBy("period", "pol", "country_fips").agg(F.collect_list(F.struct("code", "fraction")).alias("codes"))
+
+def combined(df: DataFrame, spec_combo: DataFrame, partial: bool, emissions: DataFrame) -> DataFrame:
+    """df with ``combined``, the codes with fractions of the combination for its period, pollutant and place, null without one; its codes are those of emissions, which is cheaper to read."""
+    grouped = spec_combo.groupBy("period", "pol", "country_fips").agg(F.collect_list(F.struct("code", "fraction")).alias("combined"))
+    placed = df if "country_fips" in df.columns else with_place(df)
     if partial:
-        found = match_code_double(wanted, "pollutant", "country_fips", grouped, "pol", "country_fips", "codes", by=["period"])
-    else:
-        found = wanted.join(grouped.withColumnRenamed("pol", "pollutant"), ["period", "pollutant", "country_fips"], "left")
-    missing = F.raise_error(F.concat(F.lit("no combination for "), F.concat_ws("/", "pollutant", "country_fips"))).cast(grouped.schema["codes"].dataType)
-    return found.select("*", F.explode(F.coalesce("codes", missing)).alias("c")).withColumn("code", F.col("c.code")).withColumn("code_fraction", F.col("c.fraction")).drop("codes", "c", "period", "country_fips")
+        return match_code_double(placed, "pollutant", "country_fips", grouped, "pol", "country_fips", "combined", by=["period"], codes=with_place(emissions))
+    return placed.join(F.broadcast(grouped.withColumnRenamed("pol", "pollutant")), ["period", "pollutant", "country_fips"], "left")
 
 
+CODES = "array<struct<code:string,fraction:double>>"
 OUT = ["record_key", "pollutant", "prefix", "begin_ts", "end_ts", "rate", "unit"]
 
 
@@ -124,32 +120,34 @@ def _entries(data: SpeciationData, groups: DataFrame) -> DataFrame:
     return about.select("pollutant_key", F.struct(kind.alias("type"), "single", "stated", "direct").alias("entry"))
 
 
-def _resolved(emissions: DataFrame, data: SpeciationData, groups: DataFrame, partial: bool) -> DataFrame:
-    """(scc, full_name, pollutant, entry, code) of the distinct keys: for each the entry and the profile code of its full name, else of its name."""
+def _names(emissions: DataFrame) -> DataFrame:
+    """(scc, full_name, pollutant, rank, name): the names under which each distinct key is looked up, in their order."""
     keys = ["scc", "full_name", "pollutant"]
-    names = emissions.select(*keys).distinct().select(*keys, F.posexplode(F.array_distinct(F.array("full_name", "pollutant"))).alias("rank", "name"))
-    typed = names.join(_entries(data, groups), names["name"] == F.col("pollutant_key"), "left")
-    if partial:
-        tried = typed.select("*", F.explode_outer(levels(data.spec_ref, ["scc", "pol"])).alias("level"))
-        tried = tried.withColumns({"_scc": fallback(F.col("scc"), F.col("level.z0")), "_pol": fallback(F.col("name"), F.col("level.z1"))})
-        fits = (F.col("level.z0") <= F.length("scc")) & (F.col("level.z1") <= F.length("name"))
-        tried = tried.withColumn("_scc", F.when(fits, F.col("_scc")))
-        ref = data.spec_ref.select(F.col("scc").alias("_scc"), F.col("pol").alias("_pol"), "code", level_of(["scc", "pol"]).alias("level"))
-        coded = tried.join(ref, ["_scc", "_pol", "level"], "left")
-    else:
-        ref = data.spec_ref.select("scc", F.col("pol").alias("name"), "code")
-        coded = typed.withColumn("level", F.lit(0)).join(ref, ["scc", "name"], "left")
-    order = F.when(F.col("code").isNotNull(), F.struct("rank", "level"))
-    return coded.groupBy(*keys).agg(F.min_by("entry", F.when(F.col("entry").isNotNull(), F.col("rank"))).alias("entry"), F.min_by("code", order).alias("code"))
-
-
-def _combinations(emissions: DataFrame, spec_combo: DataFrame, partial: bool) -> DataFrame:
-    """(period, pollutant, country_fips, combined): the codes with fractions of each combination that rows may need."""
-    grouped = spec_combo.groupBy("period", "pol", "country_fips").agg(F.collect_list(F.struct("code", "fraction")).alias("combined"))
+    return emissions.select(*keys).distinct().select(*keys, F.posexplode(F.array_distinct(F.array("full_name", "pollutant"))).alias("rank", "name"))
+
+
+def _profile_of(names: DataFrame, spec_ref: DataFrame, partial: bool) -> DataFrame:
+    """names with the profile code of each level of the reference at which the name has one."""
     if not partial:
-        return grouped.withColumnRenamed("pol", "pollutant")
-    wanted = emissions.select("period", "pollutant", "country_fips").distinct()
-    return match_code_double(wanted, "pollutant", "country_fips", grouped, "pol", "country_fips", "combined", by=["period"])
+        return names.withColumn("level", F.lit(0)).join(spec_ref.select("scc", F.col("pol").alias("name"), "code"), ["scc", "name"], "left")
+    tried = names.select("*", F.explode_outer(levels(spec_ref, ["scc", "pol"])).alias("level"))
+    tried = tried.withColumns({"_scc": fallback(F.col("scc"), F.col("level.z0")), "_pol": fallback(F.col("name"), F.col("level.z1"))})
+    fits = (F.col("level.z0") <= F.length("scc")) & (F.col("level.z1") <= F.length("name"))
+    tried = tried.withColumn("_scc", F.when(fits, F.col("_scc")))
+    ref = spec_ref.select(F.col("scc").alias("_scc"), F.col("pol").alias("_pol"), "code", level_of(["scc", "pol"]).alias("level"))
+    return tried.join(ref, ["_scc", "_pol", "level"], "left")
+
+
+def _first_code() -> Column:
+    return F.when(F.col("code").isNotNull(), F.struct("rank", "level"))
+
+
+def _resolved(emissions: DataFrame, data: SpeciationData, partial: bool) -> DataFrame:
+    """(scc, full_name, pollutant, spec_key, code) of the distinct keys: for each the key of the entry and the profile code of its full name, else of its name."""
+    known = data.speciation.select("pollutant_key", F.col("pollutant_key").alias("name")).distinct()
+    typed = _names(emissions).join(F.broadcast(known), "name", "left")
+    coded = _profile_of(typed, data.spec_ref, partial)
+    return coded.groupBy("scc", "full_name", "pollutant").agg(F.min_by("pollutant_key", F.when(F.col("pollutant_key").isNotNull(), F.col("rank"))).alias("spec_key"), F.min_by("code", _first_code()).alias("code"))
 
 
 def _profile_parts(data: SpeciationData, groups: DataFrame) -> DataFrame:
@@ -159,30 +157,34 @@ def _profile_parts(data: SpeciationData, groups: DataFrame) -> DataFrame:
     return parts.join(data.voc_to_tog.select("code", F.col("factor").alias("tog")), "code", "left")
 
 
-def _coded(emissions: DataFrame, data: SpeciationData, groups: DataFrame, partial: bool) -> DataFrame:
-    """emissions with what decides their results: spec_type, entry, the species that their record states, and kind, code and code_fraction of a profile; a combination gives several rows."""
-    rows = emissions.withColumns({"full_name": full_name(), "period": periods.period_of(F.col("begin_ts"), F.col("end_ts")), "country_fips": F.concat(F.col("country").cast("string"), F.col("fips"))})
-    found = rows.join(_resolved(rows, data, groups, partial), ["scc", "full_name", "pollutant"], "left")
+def _coded(emissions: DataFrame, data: SpeciationData, entries: DataFrame, partial: bool) -> DataFrame:
+    """emissions with what decides their results: spec_type, spec_key of their entry, the species that their record states, and kind, code and code_fraction of a profile; a combination gives several rows.
+
+    Tables of codes and entries are sent to all executors; the rows are shuffled once, by their record, and carry keys, not entries.
+    """
+    rows = with_place(emissions.withColumn("full_name", full_name()))
+    about = entries.select(F.col("pollutant_key").alias("spec_key"), F.col("entry.type").alias("spec_type"), F.when(F.col("entry.type") == "Single", F.col("entry.stated")).alias("_stated"))
+    found = rows.join(F.broadcast(_resolved(rows, data, partial)), ["scc", "full_name", "pollutant"], "left").join(F.broadcast(about), "spec_key", "left")
     nothing = F.raise_error(F.concat(F.lit("no speciation type for "), F.col("full_name"))).cast("string")
-    found = found.withColumn("spec_type", F.coalesce("entry.type", nothing))
-    single, profiled = F.col("spec_type") == "Single", F.col("spec_type").isin(*PROFILE_KIND)
-    stated = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(single, F.col("entry.stated"))).over(Window.partitionBy("record_key")))))
-    found = found.withColumn("stated", stated).join(_combinations(rows, data.spec_combo, partial), ["period", "pollutant", "country_fips"], "left")
+    found = found.withColumn("spec_type", F.coalesce("spec_type", nothing))
+    profiled = F.col("spec_type").isin(*PROFILE_KIND)
+    stated = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_stated").over(Window.partitionBy("record_key")))))
+    found = combined(found.withColumn("stated", stated), data.spec_combo, partial, emissions)
 
     fail = lambda text, *what: F.raise_error(F.concat(F.lit(text), F.concat_ws("/", *what)))
-    codes_type = "array<struct<code:string,fraction:double>>"
-    plain = F.array(F.struct(F.col("code"), F.lit(1.0).alias("fraction"))).cast(codes_type)
-    several = F.coalesce(F.col("combined").cast(codes_type), fail("no combination for ", "pollutant", "country_fips").cast(codes_type))
-    codes = F.when(~profiled, F.array(F.lit(None).cast("struct<code:string,fraction:double>"))).when(F.col("code").isNull(), fail("no speciation profile for ", "scc", "full_name").cast(codes_type)).when(F.col("code") == "COMBO", several).otherwise(plain)
+    plain = F.array(F.struct(F.col("code"), F.lit(1.0).alias("fraction"))).cast(CODES)
+    several = F.coalesce(F.col("combined").cast(CODES), fail("no combination for ", "pollutant", "country_fips").cast(CODES))
+    codes = F.when(~profiled, F.array(F.lit(None).cast("struct<code:string,fraction:double>"))).when(F.col("code").isNull(), fail("no speciation profile for ", "scc", "full_name").cast(CODES)).when(F.col("code") == "COMBO", several).otherwise(plain)
     kind = F.lit(None).cast("string")
     for spec_type, name in PROFILE_KIND.items():
         kind = F.when(F.col("spec_type") == spec_type, name).otherwise(kind)
-    return found.select(*emissions.columns, "spec_type", "entry", "stated", F.explode(codes).alias("c")).withColumns({"kind": kind, "code": F.col("c.code"), "code_fraction": F.col("c.fraction")}).drop("c")
+    return found.select(*emissions.columns, "spec_type", "spec_key", "stated", F.explode(codes).alias("c")).withColumns({"kind": kind, "code": F.col("c.code"), "code_fraction": F.col("c.fraction")}).drop("c")
 
 
-def _spread(coded: DataFrame, data: SpeciationData, groups: DataFrame, mechanism: str, mass: bool, keep: list[str], amount: str) -> DataFrame:
+def _spread(coded: DataFrame, data: SpeciationData, groups: DataFrame, entries: DataFrame, mechanism: str, mass: bool, keep: list[str], amount: str) -> DataFrame:
     """Every row's results, exploded once; ``amount`` is multiplied, ``doubled`` marks what a single pollutant states."""
-    with_parts = coded.join(_profile_parts(data, groups), ["kind", "code"], "left").withColumn("results", _results(mechanism, mass))
+    with_entry = coded.join(F.broadcast(entries.withColumnRenamed("pollutant_key", "spec_key")), "spec_key", "left")
+    with_parts = with_entry.join(F.broadcast(_profile_parts(data, groups)), ["kind", "code"], "left").withColumn("results", _results(mechanism, mass))
     return with_parts.select(*keep, F.explode("results").alias("r")).withColumns({"pollutant": F.col("r.pollutant"), "unit": F.col("r.unit"), amount: F.col(amount) * F.col("r.factor"), "doubled": F.col("r.doubled")}).drop("r")
 
 
@@ -193,7 +195,8 @@ def speciate(emissions: DataFrame, data: SpeciationData, mechanism: str, mass: b
     """
     keep = [*(c for c in emissions.columns if c in ("sector", "file", "fips", "scc", "country")), *OUT]
     groups = _groups(data, mechanism, mass)
-    out = _spread(_coded(emissions, data, groups, partial), data, groups, mechanism, mass, keep, "rate")
+    entries = _entries(data, groups)
+    out = _spread(_coded(emissions, data, entries, partial), data, groups, entries, mechanism, mass, keep, "rate")
     return out.where("NOT doubled").select(*keep), out.where("doubled").select(*keep)
 
 
@@ -204,9 +207,10 @@ def speciated_totals(emissions: DataFrame, data: SpeciationData, mechanism: str,
     """
     by = by or []
     groups = _groups(data, mechanism, mass)
-    same = [*by, "unit", "spec_type", "entry", "stated", "kind", "code", "code_fraction"]
-    coded = _coded(emissions, data, groups, partial).groupBy(*same).agg(F.sum(amount()).alias("total"))
-    out = _spread(coded, data, groups, mechanism, mass, [*by, "unit", "total"], "total")
+    entries = _entries(data, groups)
+    same = [*by, "unit", "spec_type", "spec_key", "stated", "kind", "code", "code_fraction"]
+    coded = _coded(emissions, data, entries, partial).groupBy(*same).agg(F.sum(amount()).alias("total"))
+    out = _spread(coded, data, groups, entries, mechanism, mass, [*by, "unit", "total"], "total")
     sums = out.groupBy(*by, "pollutant", total_unit().alias("unit"), "doubled").agg(F.sum("total").alias("total"))
     columns = [*by, "pollutant", "total", "unit"]
     return sums.where("NOT doubled").select(*columns), sums.where("doubled").select(*columns)

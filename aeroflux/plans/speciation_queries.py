@@ -111,8 +111,8 @@ def wrapped(sql: str) -> str:
 
 
 def speciated(spark: SparkSession, sf_dir: str, mass: bool) -> DataFrame:
-    out, _ = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", mass=mass, partial=True)
-    return out.groupBy("pollutant", em.total_unit().alias("unit")).agg(F.round(F.sum(em.amount()), 0 if mass else 2).alias("total"))
+    out, _ = sp.speciated_totals(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", mass=mass, partial=True)
+    return out.select("pollutant", "unit", F.round("total", 0 if mass else 2).alias("total"))
 
 
 def speciated_moles(spark, sf_dir):
@@ -129,8 +129,8 @@ for _f, _mass in ((speciated_moles, False), (speciated_mass, True)):
 
 @query(f"""SELECT p.pollutant AS source, p.prefix, 'n ' || p.species_id AS pollutant, round(sum(p.amount), 1) AS total FROM ({PARTS}) p JOIN ({DOUBLED}) d ON d.record_key = p.record_key AND d.species_id = p.species_id GROUP BY ALL""".replace("p.pollutant AS source, ", ""))
 def double_counted_species(spark, sf_dir):
-    _, dropped = sp.speciate(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", partial=True)
-    return dropped.groupBy("prefix", "pollutant").agg(F.round(F.sum(em.amount()), 1).alias("total"))
+    _, dropped = sp.speciated_totals(emissions_of(spark, sf_dir), data_of(spark, sf_dir).persisted(), "M1", ["prefix"], partial=True)
+    return dropped.select("prefix", "pollutant", F.round("total", 1).alias("total"))
 
 
 @query(f"""SELECT f.grp AS pollutant, 'kmol' AS unit, round(sum(t.tons * 907.185 * f.molar), 2) AS total FROM ({TYPED}) t JOIN ({FACTORS}) f ON f.species_id = (SELECT min(species_id) FROM {{species}}) WHERE t.spec_type = 'Single' GROUP BY ALL""")

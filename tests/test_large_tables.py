@@ -1,5 +1,6 @@
 """Steps whose work or memory grew faster than their tables: results against brute force, and what plans must not hold."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aeroflux.operators import emissions, gridding, matching, met, temporal
 from aeroflux.operators.temporal import steps
-from aeroflux.plans import ingest_queries, views
+from aeroflux.plans import ingest_queries, inventory_queries, speciation_queries, views
 from aeroflux.sources import inventory, references
 
 AIR = "row int, k int, height double, temp double, wind double, stable boolean, s1 double"
@@ -165,3 +166,11 @@ def test_rows_are_not_shuffled_to_their_codes(spark):
     falls = lambda c: [c[: len(c) - z] + "0" * z for z in range(len(c) + 1)]
     for r in out.collect():
         assert r["v"] == (None if r["id"] == 3 else next(known[x, y] for x in falls(r["a"]) for y in falls(r["b"]) if (x, y) in known))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_rows_are_shuffled_once_to_be_speciated(spark):
+    tables = "/root/testdata/sf0.001"
+    out, _ = speciation_queries.sp.speciated_totals(inventory_queries.emissions_of(spark, tables), speciation_queries.data_of(spark, tables), "M1", ["sector"], partial=True)
+    joins = [line for line in plan(out).splitlines() if "SortMergeJoin" in line and "LeftOuter" in line]
+    assert not any(f"{key}#" in line for line in joins for key in ("full_name", "country_fips", "kind", "spec_key", "_first"))
