@@ -23,7 +23,7 @@ def text(c: Column) -> Column:
 
 
 def apart(c: Column) -> Column:
-    """c itself, by a higher-order function: Spark compiles a projection that has one apart, in many short methods. A projection of dozens of fields in a whole stage is one method, which is too long for the JVM's compiler and stays interpreted."""
+    """c itself, by a higher-order function: Spark compiles a projection that has one apart, in many short methods. A projection of dozens of fields in a whole stage is one method, which is too long for the JVM's compiler and stays interpreted. What stands inside ``apart`` is not compiled at all, so c should be a plain column."""
     return F.transform(F.array(c), lambda x: x)[0]
 
 

@@ -30,8 +30,9 @@ def lines_of(rows: DataFrame, value: Column, file: str, header: list[str], key:
     """The lines of one file: comments in its first block, then a line for each row."""
     top = rows.sparkSession.createDataFrame([(i, text) for i, text in enumerate(header)], "line_id long, value string").withColumn("block", F.lit(0).cast("long"))
     line_id = (F.col(key) + 100).cast("long")
-    # behind a generator a line is put together once; else every filter of lines is moved in front of it and puts it together again. Blocks stay in front, so that headers don't put together other blocks' lines
-    data = rows.select(line_id.alias("line_id"), F.floor(line_id / 100_000).cast("long").alias("block"), F.explode(F.array(codes.apart(value))).alias("value"))
+    # behind a generator a line is put together once; else every filter of lines is moved in front of it and puts it together again. It is put together in front of the generator, by a projection that is compiled apart, as a generator's own argument is not compiled. Blocks stay in front, so that headers don't put together other blocks' lines
+    data = rows.select(codes.apart(line_id).alias("line_id"), F.floor(line_id / 100_000).cast("long").alias("block"), F.array(value).alias("_line"))
+    data = data.select("line_id", "block", F.explode("_line").alias("value"))
     return top.unionByName(data).select(F.lit("all").alias("sector"), F.lit(file).alias("file"), F.lit(month).alias("month"), "block", "line_id", "value")
 
 
@@ -40,8 +41,14 @@ def text(c: Column | str) -> Column:
 
 
 def delimited(count: int, **at: Column | str) -> Column:
-    """A comma-separated line of so many fields; ``_5`` names the sixth."""
-    return F.concat_ws(",", *[text(at[f"_{i}"]) if f"_{i}" in at else F.lit("") for i in range(count)])
+    """A comma-separated line of so many fields; ``_5`` names the sixth. Commas around empty fields are one text."""
+    parts, commas = [], 0
+    for i in range(count):
+        if f"_{i}" in at:
+            parts += ([F.lit("," * commas)] if commas else []) + [text(at[f"_{i}"])]
+            commas = 0
+        commas += i < count - 1
+    return F.concat(*parts, F.lit("," * commas))
 
 
 def fixed(*parts: tuple[int, Column | str]) -> Column:

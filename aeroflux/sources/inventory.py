@@ -104,7 +104,7 @@ def _record(kind: str, fips: Column, scc: Column, country: Column, pollutant: Co
     text = lambda name: more.get(name, F.lit(None)).cast("double" if name in NUMBERS else "string")
     return [
         F.lit(kind).alias("kind"),
-        codes.apart(fips).alias("fips"),
+        fips.alias("fips"),
         scc.alias("scc"),
         country.cast("int").alias("country"),
         more.get("source_type", F.lit(None)).cast("string").alias("source_type"),
@@ -156,6 +156,7 @@ def _stack(height: Column, diameter: Column, temperature: Column, flow: Column,
 def _delimited(kind: str, c: list[Column], factor: float) -> list[Column]:
     """Columns of a delimited line by kind of file; c are its fields."""
     text, country = codes.text, F.col("country")
+    c = [codes.apart(c[0]), *c[1:]]  # around a field alone, as what stands inside isn't compiled
     if kind == "orl_point":
         more = {"plant_id": text(c[1]), "point_id": text(c[2]), "stack_id": text(c[3]), "segment": text(c[4]), "plant": text(c[5]), "source_type": text(c[8]), "sic": codes.sic(c[14]), "mact": text(c[15]), "naics": codes.naics(c[16]), "ceff": codes.control(c[24], 0.0), "reff": codes.control(c[25], 100.0), "oris": text(c[29]), "boiler": text(c[30])}
         more |= _stack(*c[9:14]) | _location(c[18], c[19], c[17], F.lit(""))
@@ -204,7 +205,7 @@ def _fixed(kind: str, rows: DataFrame, factor: float) -> DataFrame:
     keep = ["sector", "file", "line_id", "month", "year", "country"]
     cut = rows.select(*keep, "pols", F.substring("value", fixed + 1, 1 << 20).alias("_parts"), *[F.substring("value", a + 1, b - a).alias(f"_{name}") for name, (a, b) in place.items()])
     at = lambda name: F.col(f"_{name}")
-    own = {"_fips": codes.apart(codes.fips(at("fips"))), "_scc": codes.scc(at("scc"))}
+    own = {"_fips": codes.fips(codes.apart(at("fips"))), "_scc": codes.scc(at("scc"))}
     if kind == "ida_point":
         numbers = ["height", "diameter", "temperature", "flow", "velocity"]
         own |= {f"_{name}": codes.text(at(name)) for name in ("plant_id", "point_id", "stack_id", "oris", "boiler", "segment", "plant")} | {"_sic": codes.sic(at("sic"))}
